@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernloom.llm import decontaminate
+from fernloom.llm import decontaminate, ngram_join
 
-QUERIES = {"op1_decontamination": decontaminate.op1_decontamination}
-ORACLE_SQL = {"op1_decontamination": decontaminate.OP1_SQL}
+QUERIES = {"op1_decontamination": decontaminate.op1_decontamination, "op2_ngram_join": ngram_join.op2_ngram_join}
+ORACLE_SQL = {"op1_decontamination": decontaminate.OP1_SQL, "op2_ngram_join": ngram_join.OP2_SQL}
