@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from fernloom.llm import decontaminate, ngram_join
+from fernloom.llm import decontaminate, line_dedup, ngram_join, substring_dedup
 
-QUERIES = {"op1_decontamination": decontaminate.op1_decontamination, "op2_ngram_join": ngram_join.op2_ngram_join}
-ORACLE_SQL = {"op1_decontamination": decontaminate.OP1_SQL, "op2_ngram_join": ngram_join.OP2_SQL}
+QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
+}
+ORACLE_SQL = {
+    "op1_decontamination": decontaminate.OP1_SQL,
+    "op2_ngram_join": ngram_join.OP2_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
+}
