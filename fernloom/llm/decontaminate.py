@@ -94,8 +94,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     rare = Window.partitionBy("words").orderBy("n", "off")
     # a window with a shingle that no document has can't occur at all
     every = Window.partitionBy("words")
+    owners = items.groupBy("words").agg(F.collect_set("item_id").alias("items"))
     chosen = table(
-        grams.join(counts, ["key", "k"], "left").withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(every)).where("least > 0").withColumn("rank", F.row_number().over(rare)).where("rank = 1").select("words", "k", "key", "off")
+        grams.join(counts, ["key", "k"], "left").withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(every)).where("least > 0").withColumn("rank", F.row_number().over(rare)).where("rank = 1").select("words", "k", "key", "off").join(owners, "words")
     )
     wanted = _known(chosen.select("key", "k").distinct())
 
@@ -132,12 +133,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         # position and length: the window must begin and end in the document; then all its words are compared
         F.when((F.col("before") >= F.col("off")) & (F.col("before") - F.col("off") + F.size("words") <= F.size("near")) & (F.expr("slice(near, before - off + 1, size(words))") == F.col("words")), F.col("pos") - F.col("off")),
     )
-    hit = hit.select(*doc, "start", F.when(F.col("start").isNotNull(), F.col("words")).alias("words"))
-    owners = items.groupBy("words").agg(F.collect_set("item_id").alias("items"))
-    hit = hit.join(owners, "words", "left")
     found = hit.groupBy(*doc).agg(
         F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", F.size("words").alias("size")))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(F.col("start").isNotNull(), F.col("items"))))).alias("items"),
     )
     covered = F.aggregate(
         F.array_sort("spans"),

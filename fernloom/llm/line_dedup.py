@@ -148,7 +148,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame
 
 
 def line_dedup(documents: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS, frequent: int = FREQUENT) -> DataFrame:
-    """Each row of documents with kept (its text without later similar lines), n_lines and n_removed.
+    r"""Each row of documents with kept (its text without later similar lines), n_lines and n_removed.
 
     Lines end at \n; words are `[^\x20\x09-\x0D]+` after A-Z went to lower case. A
     line of at least `least` distinct words goes if a line before it, in a document
@@ -163,10 +163,8 @@ def line_dedup(documents: DataFrame, percent: int = PERCENT, least: int = LEAST_
     names = [c for c in documents.columns if c not in made]
     documents = documents.select(*names)
     gone = later_lines(documents, percent, least, frequent).withColumnRenamed("lines", "_fernloom_lines")
-    lines = F.split("text", "
-", -1)
-    stay = F.when(F.col("_fernloom_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_fernloom_lines", i)), "
-"))
+    lines = F.split("text", "\n", -1)
+    stay = F.when(F.col("_fernloom_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_fernloom_lines", i)), "\n"))
     out = documents.join(gone, "doc_id", "left")
     return out.select(
         *names, stay.alias("kept"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_fernloom_lines").isNull(), 0).otherwise(F.size("_fernloom_lines")).cast("long").alias("n_removed")
