@@ -8,8 +8,8 @@ class whose whole prefix they are. Classes with the same prefix and size become
 one group, and group pairs come from the postings of the prefix shingles: first
 neighbours by size in each posting, which links families of near copies along a
 line rather than in all pairs; then, of what those links have not yet connected,
-all pairs of groups that share a prefix shingle and pass the length and overlap
-bounds. Surviving pairs are expanded to members and verified on whole sets.
+the pairs that share a shingle in the shorter prefix that their two sizes allow
+and pass the length and position bounds. Surviving pairs are expanded to members and verified on whole sets.
 
 To know rarity without moving every shingle, the order puts the shingles whose
 hash lies in the first half of the hash range before the others; only those, and
@@ -35,6 +35,11 @@ SHINGLE, PERCENT = 5, 75
 COUNTED = 0.5
 
 
+def _late():
+    """Whether a token is of the second half of the hash range: hashes are signed numbers in tables."""
+    return F.col("token") < 0
+
+
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row and sorted distinct shingle hashes of each text."""
     for x in texts(batch):
@@ -66,24 +71,29 @@ def document_classes(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def _counted(documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """(rep, n, n_sent, token): the shingles of each class that take part in the count."""
+    """(rep, n, m, token): the shingles of each class that take part in the count.
+
+    m is the number of the class's shingles in the first half of the hash range; for
+    a shingle of the second half it is its rank in the order of the class.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.uint64(int(COUNTED * 2**64))
         for batch in batches:
-            ids, out = batch.column(0), {"row": [], "n": [], "cls": [], "tokens": []}
+            ids, out = batch.column(0), {"row": [], "n": [], "m": [], "cls": [], "tokens": []}
             size = 0
 
             def block(out=out, ids=ids):
                 bounds = np.cumsum([0, *map(len, out["tokens"])])
                 values = signed(np.concatenate([np.zeros(0, np.uint64), *out["tokens"]]))
-                return pa.record_batch({"doc_id": ids.take(pa.array(out["row"], pa.int64())), "n": pa.array(out["n"], pa.int32()), "cls": pa.array(out["cls"], pa.binary()), "tokens": lists(values, bounds, pa.int64())})
+                return pa.record_batch({"doc_id": ids.take(pa.array(out["row"], pa.int64())), "n": pa.array(out["n"], pa.int32()), "m": pa.array(out["m"], pa.int32()), "cls": pa.array(out["cls"], pa.binary()), "tokens": lists(values, bounds, pa.int64())})
 
             for row, s in _sets(batch, k):
                 if len(s) and ids[row].is_valid:
                     n = len(s)
-                    own = s[: max(int(np.searchsorted(s, first)), n - need(n, percent) + 1)]
-                    for name, v in zip(out, (row, n, _digest(s), own), strict=True):
+                    m = int(np.searchsorted(s, first))
+                    own = s[: max(m, n - need(n, percent) + 1)]
+                    for name, v in zip(out, (row, n, m, _digest(s), own), strict=True):
                         out[name].append(v)
                     size += len(own)
                     if size > 1 << 19:
@@ -93,19 +103,25 @@ def _counted(documents: DataFrame, k: int, percent: int) -> DataFrame:
             yield block()
 
     kind = dict(documents.dtypes)["doc_id"]
-    sets = documents.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n int, cls binary, tokens array<bigint>")
-    one = sets.groupBy("n", "cls").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
-    return one.select("rep", "n", F.size("tokens").alias("n_sent"), F.explode("tokens").alias("token"))
+    sets = documents.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n int, m int, cls binary, tokens array<bigint>")
+    one = sets.groupBy("n", "m", "cls").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
+    one = one.select("rep", "n", "m", F.posexplode("tokens").alias("pos", "token"))
+    return one.select("rep", "n", F.when(_late(), F.col("pos") + 1).otherwise(F.col("m")).alias("m"), "token")
 
 
 def _prefixes(documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """(rep, n, token, rank): the prefix shingles that another class has too, in the order of all shingles."""
+    """(rep, n, token, rank, alone): the prefix shingles that another class has too.
+
+    rank counts from 1 in the order of all shingles of the class; alone is how many
+    before it are known to be of this class only.
+    """
     by_token = Window.partitionBy("token")
     shared = _counted(documents, k, percent).withColumn("df", F.count("*").over(by_token)).where("df > 1")
     by_rep = Window.partitionBy("rep")
-    late = F.col("token") < 0  # hashes of the second half, as signed numbers
-    ranked = shared.withColumn("alone", F.col("n_sent") - F.count("*").over(by_rep)).withColumn("rank", F.col("alone") + F.row_number().over(by_rep.orderBy(late, F.when(~late, F.col("df")).otherwise(0), "token")))
-    return ranked.where(F.col("rank") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).select("rep", "n", "token", "rank")
+    early = F.when(~_late(), 1)
+    ranked = shared.withColumn("alone", F.when(_late(), 0).otherwise(F.col("m") - F.count(early).over(by_rep)))
+    ranked = ranked.withColumn("rank", F.when(_late(), F.col("m")).otherwise(F.col("alone") + F.row_number().over(by_rep.orderBy(_late(), "df", "token"))))
+    return ranked.where(F.col("rank") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).select("rep", "n", "token", "rank", "alone")
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -152,15 +168,15 @@ def ngram_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERC
     # what is not yet connected: one row for each token, component and group, then pairs of different components
     post = prefix.join(comp, "rep")
     open_tokens = post.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    post = table(post.join(open_tokens, "token", "left_semi").select("token", "rep", "n", "comp", "rank"))
-    x = post.select("token", F.col("rep").alias("a"), F.col("n").alias("p"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-    y = post.select("token", F.col("rep").alias("b"), F.col("n").alias("q"), F.col("comp").alias("cb"), F.col("rank").alias("rb"))
-    cross = x.join(y, "token").where((F.col("ca") != F.col("cb")) & ((F.col("p") < F.col("q")) | ((F.col("p") == F.col("q")) & (F.col("a") < F.col("b")))) & (100 * F.col("p") >= percent * F.col("q")))
-    least = F.ceil((F.col("p") + F.col("q")) * percent / (100 + percent))  # of shared shingles
-    cross = cross.groupBy("a", "b", "p", "q").agg(F.count("*").alias("seen"), F.max("ra").alias("ra"), F.max("rb").alias("rb"))
-    # beyond the last shared prefix shingle at most the shorter rest can be shared
-    size = lambda c: F.col(c) - F.floor((F.col(c) * percent + 99) / 100) + 1
-    cross = table(cross.where(F.col("seen") + F.greatest(F.col("p") - size("p"), F.col("q") - size("q")) >= least).select("a", "b"))
+    post = table(post.join(open_tokens, "token", "left_semi").select("token", "rep", "n", "comp", "rank", "alone"))
+    x = post.select("token", F.col("rep").alias("a"), F.col("n").alias("p"), F.col("comp").alias("ca"), F.col("rank").alias("i"), F.col("alone").alias("ua"))
+    y = post.select("token", F.col("rep").alias("b"), F.col("n").alias("q"), F.col("comp").alias("cb"), F.col("rank").alias("j"), F.col("alone").alias("ub"))
+    ordered = (F.col("p") < F.col("q")) | ((F.col("p") == F.col("q")) & (F.col("a") < F.col("b")))
+    length = 100 * F.col("p") >= percent * F.col("q")
+    least = F.ceil((F.col("p") + F.col("q")) * percent / (100 + percent))  # shared shingles that a link of these sizes has
+    prefix_of_pair = (F.col("i") <= F.col("p") - least + 1) & (F.col("j") <= F.col("q") - least + 1)
+    position = F.least(F.col("i") - F.col("ua"), F.col("j") - F.col("ub")) + F.least(F.col("p") - F.col("i"), F.col("q") - F.col("j")) >= least
+    cross = table(x.join(y, (x["token"] == y["token"]) & (F.col("ca") != F.col("cb")) & ordered & length & prefix_of_pair & position).select("a", "b").distinct())
     if cross.limit(1).count():
         edges = table(edges.union(_verified(cross, documents, k, percent)))
         comp = table(_labels(prefix, edges))

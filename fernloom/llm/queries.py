@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from fernloom.llm import decontaminate, line_dedup, ngram_join, substring_dedup
+from fernloom.llm import decontaminate, line_dedup, ngram_join, pii, secrets, substring_dedup
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_pii": pii.op6_pii,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE_SQL = {
