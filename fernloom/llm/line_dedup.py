@@ -4,147 +4,171 @@ A line's tokens are its distinct words. Lines with the same set are one class,
 represented by the first of them. Tokens are ordered by rarity: words of the
 bounded table of the most frequent ones come last, by their count over all
 lines, the others first, by hash. Two sets with a Jaccard of at least 0.75 share
-a token among the first n - ceil(0.75 n) + 1 of each (prefix filter); their
+a token in prefixes whose lengths follow from the two sizes (prefix filter); their
 sizes differ by at most a quarter (length filter), and what can still follow the
-shared position must suffice (positional filter). Pairs are verified on whole
-sets. A line goes if a line before it is similar enough.
+shared position must suffice (positional filter). Tokens of one class only are left
+out of the join. Pairs are verified on whole sets. A line goes if a line before it is
+similar enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernloom.llm.common import SPACED_LOWER, Texts, Words, in_sorted, lists, sent, signed, table, texts, words
+from fernloom.llm.common import SPACED_LOWER, Texts, in_sorted, lists, mixed, sent, signed, table, texts, words
 
 #: Jaccard of two lines from which the later one goes, and the distinct words from which a line is judged.
 PERCENT, LEAST_WORDS = 75, 5
 #: The most frequent words, whose order by count is known everywhere: 8 bytes each.
 FREQUENT = 1 << 16
+#: Bits of a token; frequent words have the highest one and their rank.
+BITS = 43
 
 
-def _line_sets(x: Texts, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each line as (row, number of the line in its row, word), sorted by line and word, and where lines start."""
+class LineSets(NamedTuple):
+    """Rows and numbers of the lines that have words; their token sets, each sorted by rarity; where each set starts."""
+
+    row: np.ndarray
+    line: np.ndarray
+    tokens: np.ndarray
+    cuts: np.ndarray
+
+    def within(self) -> np.ndarray:
+        """Place of each token in its set."""
+        return np.arange(len(self.tokens)) - np.repeat(self.cuts[:-1], np.diff(self.cuts))
+
+
+def _line_sets(x: Texts, known: np.ndarray, rank: np.ndarray) -> Iterator[LineSets]:
+    """The line sets of some texts, in blocks of lines. known: sorted hashes of the frequent words."""
+    w = words(x, SPACED_LOWER)
     breaks = np.flatnonzero(x.data == 10)
-    row = w.rows()
-    # a line is told by its row and the breaks before it
-    line = np.searchsorted(breaks, w.starts)
-    order = np.lexsort((w.hashes, line, row))
-    row, line, h = row[order], line[order], w.hashes[order]
-    first = np.searchsorted(breaks, x.at[:-1])
-    new = np.ones(len(h), bool)
+    line, row = np.searchsorted(breaks, w.starts), w.rows()
+    new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
-    keep = new.copy()
-    keep[1:] |= h[1:] != h[:-1]
-    cuts = np.flatnonzero(new[keep])
-    return row[keep][cuts], (line - first[row])[keep][cuts], h[keep], np.append(cuts, keep.sum())
+    first = np.searchsorted(breaks, x.at[:-1])
+    token = w.hashes >> np.uint64(64 - BITS)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+        token = np.where(known[at] == token, rank[at] | np.uint64(1 << BITS), token)
+    begins = np.flatnonzero(new)
+    # a line's number in its block and the token make one sortable key
+    block = 1 << (63 - BITS)
+    for a in range(0, len(begins), block):
+        b = min(a + block, len(begins))
+        lo, hi = begins[a], begins[b] if b < len(begins) else len(token)
+        key = (np.cumsum(new[lo:hi]) - 1).astype(np.uint64) << np.uint64(BITS + 1) | token[lo:hi]
+        key.sort()
+        keep = np.ones(len(key), bool)
+        keep[1:] = key[1:] != key[:-1]
+        key = key[keep]
+        r, of = row[begins[a:b]], line[begins[a:b]]
+        yield LineSets(r, of - first[r], key & np.uint64((1 << (BITS + 1)) - 1), np.searchsorted(key >> np.uint64(BITS + 1), np.arange(b - a + 1)))
 
 
 def frequent_words(documents: DataFrame, most: int = FREQUENT) -> np.ndarray:
-    """Hashes of the words that are in the most lines, least frequent first. Which words these are changes only the order."""
+    """Tokens of the most frequent words, least frequent first. Which words these are changes only the order."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
             for x in texts(batch):
-                key, n = np.unique(_line_sets(x, words(x, SPACED_LOWER))[2], return_counts=True)
-                found.append((key, n))
-            key = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in found)])
-            key, at = np.unique(key, return_inverse=True)
-            n = np.bincount(at, np.concatenate([np.zeros(0), *(n for _, n in found)]), len(key)).astype(np.int64)
-            yield pa.record_batch({"word": signed(key)[n > 1], "n": n[n > 1]})
+                key, n = np.unique(words(x, SPACED_LOWER).hashes >> np.uint64(64 - BITS), return_counts=True)
+                yield pa.record_batch({"word": signed(key)[n > 1], "n": n[n > 1]})
 
     counts = documents.select("text").mapInArrow(of, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(most).collect()
-    return np.array([r["word"] for r in reversed(top)], np.int64)
+    return np.array([r["word"] for r in reversed(top)], np.uint64)
+
+
+def _ranked(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rank = np.argsort(order).astype(np.uint64)
+    return order[rank.astype(np.int64)], rank
 
 
-def _classes(documents: DataFrame, least: int, percent: int, order: np.ndarray) -> DataFrame:
-    """(n, cls, doc_id, line, prefix): each judged line, its set's digest and the prefix of the set."""
-    by_hash = np.argsort(order)
-    known = order[by_hash]
+def _lines(documents: DataFrame, least: int, percent: int, order: np.ndarray) -> DataFrame:
+    """(n, c1, c2, doc_id, line, prefix): each judged line, two digests of its set, and the prefix of the set."""
+    known, rank = _ranked(order)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in texts(batch):
-                row, line, h, cuts = _line_sets(x, words(x, SPACED_LOWER))
-                size = np.diff(cuts)
-                judged = np.flatnonzero(size >= least)
-                cls = [xxhash.xxh3_128_digest(h[cuts[i] : cuts[i + 1]].tobytes()) for i in judged]
-                s = signed(h)
-                rank = np.where(in_sorted(s, known), by_hash[np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))] if len(known) else 0, -1)
-                again = np.lexsort((s, rank, np.repeat(np.arange(len(size)), size)))
-                s = s[again]
-                some = size[judged] - (percent * size[judged] + 99) // 100 + 1
-                prefix = [s[cuts[i] : cuts[i] + p] for i, p in zip(judged, some, strict=True)]
-                yield pa.record_batch(
-                    {
-                        "n": pa.array(size[judged], pa.int32()),
-                        "cls": pa.array(cls, pa.binary()),
-                        "doc_id": batch.column(0).take(pa.array(row[judged] + x.first)),
-                        "line": pa.array(line[judged], pa.int32()),
-                        "prefix": lists(np.concatenate([np.zeros(0, np.int64), *prefix]), np.cumsum([0, *some]), pa.int64()),
-                    }
-                )
+                for s in _line_sets(x, known, rank):
+                    n = np.diff(s.cuts)
+                    judged = n >= least
+                    digests = [np.add.reduceat(mixed(s.tokens * np.uint64(c) + np.uint64(c)), s.cuts[:-1])[judged] for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+                    some = np.where(judged, n - (percent * n + 99) // 100 + 1, 0)
+                    yield pa.record_batch(
+                        {
+                            "n": pa.array(n[judged], pa.int32()),
+                            "c1": signed(digests[0]),
+                            "c2": signed(digests[1]),
+                            "doc_id": batch.column(0).take(pa.array(s.row[judged] + x.first)),
+                            "line": pa.array(s.line[judged], pa.int32()),
+                            "prefix": lists(signed(s.tokens[s.within() < np.repeat(some, n)]), np.append(0, np.cumsum(some[judged])), pa.int64()),
+                        }
+                    )
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "text").mapInArrow(of, f"n int, cls binary, doc_id {kind}, line int, prefix array<bigint>")
+    return documents.select("doc_id", "text").mapInArrow(of, f"n int, c1 bigint, c2 bigint, doc_id {kind}, line int, prefix array<bigint>")
 
 
 def later_lines(documents: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, lines): the numbers of the lines of each document, from 0, that a line before is similar to."""
     docs = documents.select("doc_id", "text").where("doc_id is not null")
     order = frequent_words(docs, frequent)
-    place = F.struct("doc_id", "line")
-    firsts = _classes(docs, least, percent, order).groupBy("n", "cls").agg(F.min(place).alias("at"), F.first("prefix").alias("prefix"))
-    firsts = table(firsts)
-    post = firsts.select("n", "at", F.posexplode("prefix").alias("pos", "token"))
-    # tokens of one class only can't be shared
-    by_token = Window.partitionBy("token")
-    post = table(post.withColumn("df", F.count("*").over(by_token)).where("df > 1").drop("df"))
-    x = post.select("token", F.col("n").alias("p"), F.col("at").alias("a"), F.col("pos").alias("i"))
-    y = post.select("token", F.col("n").alias("q"), F.col("at").alias("b"), F.col("pos").alias("j"))
-    least_common = F.ceil((F.col("p") + F.col("q")) * percent / (100 + percent))
-    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (100 * F.least("p", "q") >= percent * F.greatest("p", "q")))
-    # the first shared token of a pair is at (i, j): nothing is shared before it in both
-    pairs = pairs.where(1 + F.least(F.col("p") - F.col("i") - 1, F.col("q") - F.col("j") - 1) >= least_common)
-    pairs = table(pairs.select("a", "b", "p", "q").distinct())
-    near = _verified(pairs, docs, percent)
-    again = _classes(docs, least, percent, order).select("n", "cls", "doc_id", "line").join(firsts.select("n", "cls", "at"), ["n", "cls"])
-    copies = again.where(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line")
-    gone = copies.union(near.select("b.doc_id", "b.line"))
+    lines = table(_lines(docs, least, percent, order))
+    firsts = lines.groupBy("n", "c1", "c2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("prefix").alias("prefix"))
+    post = firsts.select("n", "at.doc_id", "at.line", F.posexplode("prefix").alias("i", "token"))
+    # what only one class has can't be shared; a pair's first shared token is at ranks i and j of its prefixes
+    post = post.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df")
+    x = post.select("token", F.col("n").alias("p"), F.col("doc_id").alias("a"), F.col("line").alias("al"), "i")
+    y = post.select(F.col("token").alias("t"), F.col("n").alias("q"), F.col("doc_id").alias("b"), F.col("line").alias("bl"), F.col("i").alias("j"))
+    common = F.ceil((F.col("p") + F.col("q")) * percent / (100 + percent))
+    before = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("al") < F.col("bl")))
+    length = 100 * F.least("p", "q") >= percent * F.greatest("p", "q")
+    prefix = (F.col("i") <= F.col("p") - common) & (F.col("j") <= F.col("q") - common)
+    position = F.least("i", "j") + F.least(F.col("p") - F.col("i"), F.col("q") - F.col("j")) >= common
+    pairs = table(x.join(y, (F.col("token") == F.col("t")) & before & length & prefix & position).select("a", "al", "b", "bl", "p", "q").distinct())
+    near = _verified(pairs, docs, percent, order)
+    first = lines.groupBy("n", "c1", "c2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("copies")).where("copies > 1")
+    copies = lines.select("n", "c1", "c2", "doc_id", "line").join(first, ["n", "c1", "c2"]).where(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line")
+    gone = copies.union(near)
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) whose sets of words are alike enough."""
-    wanted = pairs.select(F.col("a").alias("at")).union(pairs.select(F.col("b"))).distinct()
-    wanted = table(wanted.groupBy("at.doc_id").agg(F.sort_array(F.collect_list("at.line")).alias("lines")))
+def _verified(pairs: DataFrame, documents: DataFrame, percent: int, order: np.ndarray) -> DataFrame:
+    """(doc_id, line) of the later line of those pairs whose sets of words are alike enough."""
+    wanted = pairs.select(F.col("a").alias("doc_id"), F.col("al").alias("line")).union(pairs.select("b", "bl")).distinct()
+    wanted = table(wanted.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines")))
+    known, rank = _ranked(order)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines_of = batch.column(2)
             for x in texts(batch):
-                row, line, h, cuts = _line_sets(x, words(x, SPACED_LOWER))
-                at = np.searchsorted(row, np.arange(len(x.at)))
-                pick = [at[i] + np.flatnonzero(in_sorted(line[at[i] : at[i + 1]], lines_of[x.first + i].values.to_numpy())) for i in range(len(x.at) - 1)]
-                pick = np.concatenate([np.zeros(0, np.int64), *pick]).astype(np.int64)
-                sets = [signed(h[cuts[k] : cuts[k + 1]]) for k in pick]
-                yield pa.record_batch(
-                    {"doc_id": batch.column(0).take(pa.array(row[pick] + x.first)), "line": pa.array(line[pick], pa.int32()), "tokens": lists(np.concatenate([np.zeros(0, np.int64), *sets]), np.cumsum([0, *map(len, sets)]), pa.int64())}
-                )
+                for s in _line_sets(x, known, rank):
+                    at = np.searchsorted(s.row, np.arange(len(x.at)))
+                    pick = np.concatenate([np.zeros(0, bool), *(in_sorted(s.line[at[i] : at[i + 1]], lines_of[x.first + i].values.to_numpy()) for i in range(len(x.at) - 1))])
+                    n = np.diff(s.cuts)
+                    yield pa.record_batch(
+                        {
+                            "doc_id": batch.column(0).take(pa.array(s.row[pick] + x.first)),
+                            "line": pa.array(s.line[pick], pa.int32()),
+                            "tokens": lists(signed(s.tokens[np.repeat(pick, n)]), np.append(0, np.cumsum(n[pick])), pa.int64()),
+                        }
+                    )
 
     kind = dict(documents.dtypes)["doc_id"]
     sets = documents.join(sent(wanted), "doc_id").select("doc_id", "text", "lines").mapInArrow(of, f"doc_id {kind}, line int, tokens array<bigint>")
-    sets = table(sets.select(F.struct("doc_id", "line").alias("at"), "tokens").dropDuplicates(["at"]))
-    both = pairs.join(sets.select(F.col("at").alias("a"), F.col("tokens").alias("s")), "a").join(sets.select(F.col("at").alias("b"), F.col("tokens").alias("t")), "b")
+    sets = table(sets.dropDuplicates(["doc_id", "line"]))
+    both = pairs.join(sets.toDF("a", "al", "s"), ["a", "al"]).join(sets.toDF("b", "bl", "t"), ["b", "bl"])
     both = both.withColumn("common", F.size(F.array_intersect("s", "t")))
-    return both.where(100 * F.col("common") >= percent * (F.col("p") + F.col("q") - F.col("common"))).select("a", "b")
+    return both.where(100 * F.col("common") >= percent * (F.col("p") + F.col("q") - F.col("common"))).select(F.col("b").alias("doc_id"), F.col("bl").alias("line"))
 
 
 def line_dedup(documents: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS, frequent: int = FREQUENT) -> DataFrame:
@@ -167,7 +191,7 @@ def line_dedup(documents: DataFrame, percent: int = PERCENT, least: int = LEAST_
     stay = F.when(F.col("_fernloom_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_fernloom_lines", i)), "\n"))
     out = documents.join(gone, "doc_id", "left")
     return out.select(
-        *names, stay.alias("kept"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_fernloom_lines").isNull(), 0).otherwise(F.size("_fernloom_lines")).cast("long").alias("n_removed")
+        *names, stay.alias("kept"), F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_fernloom_lines").isNull(), 0).otherwise(F.size("_fernloom_lines")).cast("long").alias("n_removed")
     )
 
 

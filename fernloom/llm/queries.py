@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernloom.llm import decontaminate, line_dedup, ngram_join, pii, secrets, substring_dedup
+from fernloom.llm import decontaminate, line_dedup, ngram_join, pii, quality, secrets, substring_dedup
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_secret_scan": secrets.op3_secret_scan,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_pii": pii.op6_pii,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op2_ngram_join": ngram_join.OP2_SQL,
     "op5_substring_dedup": substring_dedup.OP5_SQL,
+    "op8_quality_rules": quality.OP8_SQL,
 }
