@@ -31,13 +31,11 @@ from fernloom.llm.common import SPACED_LOWER, components, lists, sent, shingles,
 
 #: Words of a shingle; two documents are linked if 100 * intersection >= 75 * union.
 SHINGLE, PERCENT = 5, 75
-#: Share of the hash range whose shingles come first in the order and are counted.
-COUNTED = 0.5
 
 
-def _late():
+def _late(whole: bool):
     """Whether a token is of the second half of the hash range: hashes are signed numbers in tables."""
-    return F.col("token") < 0
+    return F.lit(False) if whole else F.col("token") < 0
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -70,15 +68,15 @@ def document_classes(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n_shingles bigint, cls binary")
 
 
-def _counted(documents: DataFrame, k: int, percent: int) -> DataFrame:
+def _counted(documents: DataFrame, k: int, percent: int, whole: bool) -> DataFrame:
     """(rep, n, m, token): the shingles of each class that take part in the count.
 
     m is the number of the class's shingles in the first half of the hash range; for
-    a shingle of the second half it is its rank in the order of the class.
+    a shingle of the second half it is its rank in the order of the class. If whole,
+    every shingle is counted, as if all were in the first half.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = np.uint64(int(COUNTED * 2**64))
         for batch in batches:
             ids, out = batch.column(0), {"row": [], "n": [], "m": [], "cls": [], "tokens": []}
             size = 0
@@ -91,7 +89,7 @@ def _counted(documents: DataFrame, k: int, percent: int) -> DataFrame:
             for row, s in _sets(batch, k):
                 if len(s) and ids[row].is_valid:
                     n = len(s)
-                    m = int(np.searchsorted(s, first))
+                    m = n if whole else int(np.searchsorted(s, np.uint64(1 << 63)))
                     own = s[: max(m, n - need(n, percent) + 1)]
                     for name, v in zip(out, (row, n, m, _digest(s), own), strict=True):
                         out[name].append(v)
@@ -106,21 +104,22 @@ def _counted(documents: DataFrame, k: int, percent: int) -> DataFrame:
     sets = documents.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n int, m int, cls binary, tokens array<bigint>")
     one = sets.groupBy("n", "m", "cls").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
     one = one.select("rep", "n", "m", F.posexplode("tokens").alias("pos", "token"))
-    return one.select("rep", "n", F.when(_late(), F.col("pos") + 1).otherwise(F.col("m")).alias("m"), "token")
+    return one.select("rep", "n", F.when(_late(whole), F.col("pos") + 1).otherwise(F.col("m")).alias("m"), "token")
 
 
-def _prefixes(documents: DataFrame, k: int, percent: int) -> DataFrame:
+def _prefixes(documents: DataFrame, k: int, percent: int, whole: bool = False) -> DataFrame:
     """(rep, n, token, rank, alone): the prefix shingles that another class has too.
 
     rank counts from 1 in the order of all shingles of the class; alone is how many
     before it are known to be of this class only.
     """
     by_token = Window.partitionBy("token")
-    shared = _counted(documents, k, percent).withColumn("df", F.count("*").over(by_token)).where("df > 1")
+    shared = _counted(documents, k, percent, whole).withColumn("df", F.count("*").over(by_token)).where("df > 1")
     by_rep = Window.partitionBy("rep")
-    early = F.when(~_late(), 1)
-    ranked = shared.withColumn("alone", F.when(_late(), 0).otherwise(F.col("m") - F.count(early).over(by_rep)))
-    ranked = ranked.withColumn("rank", F.when(_late(), F.col("m")).otherwise(F.col("alone") + F.row_number().over(by_rep.orderBy(_late(), "df", "token"))))
+    late = _late(whole)
+    early = F.when(~late, 1)
+    ranked = shared.withColumn("alone", F.when(late, 0).otherwise(F.col("m") - F.count(early).over(by_rep)))
+    ranked = ranked.withColumn("rank", F.when(late, F.col("m")).otherwise(F.col("alone") + F.row_number().over(by_rep.orderBy(late, "df", "token"))))
     return ranked.where(F.col("rank") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).select("rep", "n", "token", "rank", "alone")
 
 
@@ -165,10 +164,13 @@ def ngram_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERC
     pairs = table(inside.select(*_pair("rep", "last.rep")).union(along.select(*_pair("rep", "last.rep"))).distinct())
     edges = table(_verified(pairs, documents, k, percent))
     comp = table(_labels(prefix, edges))
-    # what is not yet connected: one row for each token, component and group, then pairs of different components
+    # the classes with a shingle that not yet connected ones share: their rarity is counted anew, among them and
+    # on all shingles, so that what an edit made unique counts in full
     post = prefix.join(comp, "rep")
     open_tokens = post.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    post = table(post.join(open_tokens, "token", "left_semi").select("token", "rep", "n", "comp", "rank", "alone"))
+    loose = table(post.join(open_tokens, "token", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
+    again = _prefixes(documents.join(sent(loose), "doc_id", "left_semi").select("doc_id", "text"), k, percent, whole=True)
+    post = table(again.join(comp, "rep").select("token", "rep", "n", "comp", "rank", "alone"))
     x = post.select("token", F.col("rep").alias("a"), F.col("n").alias("p"), F.col("comp").alias("ca"), F.col("rank").alias("i"), F.col("alone").alias("ua"))
     y = post.select("token", F.col("rep").alias("b"), F.col("n").alias("q"), F.col("comp").alias("cb"), F.col("rank").alias("j"), F.col("alone").alias("ub"))
     ordered = (F.col("p") < F.col("q")) | ((F.col("p") == F.col("q")) & (F.col("a") < F.col("b")))
