@@ -1,14 +1,18 @@
 """Line dedup as an exact set-similarity self-join.
 
-A line's tokens are its distinct words. Lines with the same set are one class,
-represented by the first of them. Tokens are ordered by rarity: words of the
-bounded table of the most frequent ones come last, by their count over all
-lines, the others first, by hash. Two sets with a Jaccard of at least 0.75 share
+A line's tokens are its distinct 5-word shingles. Lines with the same set are one
+class, represented by the first of them. Tokens are ordered by rarity: those of
+the bounded table of the most frequent ones come last, by their count over all
+texts, the others first, by hash. Two sets with a Jaccard of at least 0.75 share
 a token in prefixes whose lengths follow from the two sizes (prefix filter); their
 sizes differ by at most a quarter (length filter), and what can still follow the
 shared position must suffice (positional filter). Tokens of one class only are left
-out of the join. Pairs are verified on whole sets. A line goes if a line before it is
-similar enough.
+out of the join. Pairs are verified on whole sets. A line goes if a line before it
+is similar enough.
+
+Only whether such a line exists counts, so a family of near copies isn't expanded
+into pairs: each line is first verified against the line before it that shares the
+most postings with it, and only the lines that this leaves are joined with all.
 """
 
 from __future__ import annotations
@@ -21,18 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernloom.llm.common import SPACED_LOWER, Texts, in_sorted, lists, mixed, sent, signed, table, texts, words
+from fernloom.llm.common import SPACED_LOWER, Texts, in_sorted, lists, mixed, sent, signed, table, texts, window_hashes, words
 
-#: Jaccard of two lines from which the later one goes, and the distinct words from which a line is judged.
-PERCENT, LEAST_WORDS = 75, 5
-#: The most frequent words, whose order by count is known everywhere: 8 bytes each.
+#: Jaccard of two lines from which the later one goes, and words of a shingle; lines of fewer words aren't judged.
+PERCENT, SHINGLE = 75, 5
+#: The most frequent tokens, whose order by count is known everywhere: 8 bytes each.
 FREQUENT = 1 << 16
-#: Bits of a token; frequent words have the highest one and their rank.
+#: Bits of a token; frequent ones have the highest one and their rank.
 BITS = 43
+#: Removed lines (4 bytes each) up to which they are sent to the executors; beyond, they are joined by shuffle.
+SEND_LINES = 1 << 20
 
 
 class LineSets(NamedTuple):
-    """Rows and numbers of the lines that have words; their token sets, each sorted by rarity; where each set starts."""
+    """Rows and numbers of the lines that have shingles; their token sets, each sorted by rarity; where each set starts."""
 
     row: np.ndarray
     line: np.ndarray
@@ -44,15 +50,21 @@ class LineSets(NamedTuple):
         return np.arange(len(self.tokens)) - np.repeat(self.cuts[:-1], np.diff(self.cuts))
 
 
-def _line_sets(x: Texts, known: np.ndarray, rank: np.ndarray) -> Iterator[LineSets]:
-    """The line sets of some texts, in blocks of lines. known: sorted hashes of the frequent words."""
+def _tokens(x: Texts, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, line in all texts and hash (its BITS high bits) of each shingle within a line."""
     w = words(x, SPACED_LOWER)
-    breaks = np.flatnonzero(x.data == 10)
-    line, row = np.searchsorted(breaks, w.starts), w.rows()
+    line, row = np.searchsorted(np.flatnonzero(x.data == 10), w.starts), w.rows()
+    m = max(0, len(row) - k + 1)
+    inside = (row[:m] == row[k - 1 :]) & (line[:m] == line[k - 1 :])
+    return row[:m][inside], line[:m][inside], window_hashes(w.hashes, k)[inside] >> np.uint64(64 - BITS)
+
+
+def _line_sets(x: Texts, k: int, known: np.ndarray, rank: np.ndarray) -> Iterator[LineSets]:
+    """The line sets of some texts, in blocks of lines. known: sorted frequent tokens."""
+    row, line, token = _tokens(x, k)
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
-    first = np.searchsorted(breaks, x.at[:-1])
-    token = w.hashes >> np.uint64(64 - BITS)
+    first = np.searchsorted(np.flatnonzero(x.data == 10), x.at[:-1])
     if len(known):
         at = np.minimum(np.searchsorted(known, token), len(known) - 1)
         token = np.where(known[at] == token, rank[at] | np.uint64(1 << BITS), token)
@@ -71,18 +83,18 @@ def _line_sets(x: Texts, known: np.ndarray, rank: np.ndarray) -> Iterator[LineSe
         yield LineSets(r, of - first[r], key & np.uint64((1 << (BITS + 1)) - 1), np.searchsorted(key >> np.uint64(BITS + 1), np.arange(b - a + 1)))
 
 
-def frequent_words(documents: DataFrame, most: int = FREQUENT) -> np.ndarray:
-    """Tokens of the most frequent words, least frequent first. Which words these are changes only the order."""
+def frequent_tokens(documents: DataFrame, k: int = SHINGLE, most: int = FREQUENT) -> np.ndarray:
+    """The most frequent tokens, least frequent first. Which they are changes only the order."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in texts(batch):
-                key, n = np.unique(words(x, SPACED_LOWER).hashes >> np.uint64(64 - BITS), return_counts=True)
-                yield pa.record_batch({"word": signed(key)[n > 1], "n": n[n > 1]})
+                key, n = np.unique(_tokens(x, k)[2], return_counts=True)
+                yield pa.record_batch({"token": signed(key)[n > 1], "n": n[n > 1]})
 
-    counts = documents.select("text").mapInArrow(of, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(most).collect()
-    return np.array([r["word"] for r in reversed(top)], np.uint64)
+    counts = documents.select("text").mapInArrow(of, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "token").limit(most).collect()
+    return np.array([r["token"] for r in reversed(top)], np.uint64)
 
 
 def _ranked(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,26 +102,25 @@ def _ranked(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[rank.astype(np.int64)], rank
 
 
-def _lines(documents: DataFrame, least: int, percent: int, order: np.ndarray) -> DataFrame:
+def _lines(documents: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFrame:
     """(n, c1, c2, doc_id, line, prefix): each judged line, two digests of its set, and the prefix of the set."""
     known, rank = _ranked(order)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in texts(batch):
-                for s in _line_sets(x, known, rank):
+                for s in _line_sets(x, k, known, rank):
                     n = np.diff(s.cuts)
-                    judged = n >= least
-                    digests = [np.add.reduceat(mixed(s.tokens * np.uint64(c) + np.uint64(c)), s.cuts[:-1])[judged] for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-                    some = np.where(judged, n - (percent * n + 99) // 100 + 1, 0)
+                    digests = [np.add.reduceat(mixed(s.tokens * np.uint64(c) + np.uint64(c)), s.cuts[:-1]) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+                    some = n - (percent * n + 99) // 100 + 1
                     yield pa.record_batch(
                         {
-                            "n": pa.array(n[judged], pa.int32()),
+                            "n": pa.array(n, pa.int32()),
                             "c1": signed(digests[0]),
                             "c2": signed(digests[1]),
-                            "doc_id": batch.column(0).take(pa.array(s.row[judged] + x.first)),
-                            "line": pa.array(s.line[judged], pa.int32()),
-                            "prefix": lists(signed(s.tokens[s.within() < np.repeat(some, n)]), np.append(0, np.cumsum(some[judged])), pa.int64()),
+                            "doc_id": batch.column(0).take(pa.array(s.row + x.first)),
+                            "line": pa.array(s.line, pa.int32()),
+                            "prefix": lists(signed(s.tokens[s.within() < np.repeat(some, n)]), np.append(0, np.cumsum(some)), pa.int64()),
                         }
                     )
 
@@ -117,32 +128,38 @@ def _lines(documents: DataFrame, least: int, percent: int, order: np.ndarray) ->
     return documents.select("doc_id", "text").mapInArrow(of, f"n int, c1 bigint, c2 bigint, doc_id {kind}, line int, prefix array<bigint>")
 
 
-def later_lines(documents: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, lines): the numbers of the lines of each document, from 0, that a line before is similar to."""
+def later_lines(documents: DataFrame, percent: int = PERCENT, k: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, line): the lines of each document, numbered from 0, that a line before is similar to."""
     docs = documents.select("doc_id", "text").where("doc_id is not null")
-    order = frequent_words(docs, frequent)
-    lines = table(_lines(docs, least, percent, order))
-    firsts = lines.groupBy("n", "c1", "c2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("prefix").alias("prefix"))
-    post = firsts.select("n", "at.doc_id", "at.line", F.posexplode("prefix").alias("i", "token"))
-    # what only one class has can't be shared; a pair's first shared token is at ranks i and j of its prefixes
-    post = post.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df")
+    order = frequent_tokens(docs, k, frequent)
+    lines = table(_lines(docs, k, percent, order))
+    classes = lines.groupBy("n", "c1", "c2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
+    post = classes.select("n", "at.doc_id", "at.line", F.posexplode("prefix").alias("i", "token"))
+    post = table(post.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df"))
+    # first the line before in each posting that most of a line's postings name
+    x = post.withColumn("last", F.lag(F.struct("doc_id", "line", "n")).over(Window.partitionBy("token").orderBy("doc_id", "line"))).where("last is not null")
+    x = x.select(F.col("last.doc_id").alias("a"), F.col("last.line").alias("al"), F.col("last.n").alias("p"), F.col("doc_id").alias("b"), F.col("line").alias("bl"), F.col("n").alias("q"))
+    x = x.where(100 * F.least("p", "q") >= percent * F.greatest("p", "q")).groupBy("a", "al", "p", "b", "bl", "q").agg(F.count("*").alias("seen"))
+    x = x.groupBy("b", "bl", "q").agg(F.max(F.struct("seen", "a", "al", "p")).alias("x"))
+    gone = table(_verified(table(x.select("x.a", "x.al", "b", "bl", "x.p", "q")), docs, percent, k, order))
+    # then all pairs whose later line is left; a pair's first shared token is at places i and j of its prefixes
+    left = post.join(gone, ["doc_id", "line"], "left_anti")
     x = post.select("token", F.col("n").alias("p"), F.col("doc_id").alias("a"), F.col("line").alias("al"), "i")
-    y = post.select(F.col("token").alias("t"), F.col("n").alias("q"), F.col("doc_id").alias("b"), F.col("line").alias("bl"), F.col("i").alias("j"))
+    y = left.select(F.col("token").alias("t"), F.col("n").alias("q"), F.col("doc_id").alias("b"), F.col("line").alias("bl"), F.col("i").alias("j"))
     common = F.ceil((F.col("p") + F.col("q")) * percent / (100 + percent))
     before = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("al") < F.col("bl")))
     length = 100 * F.least("p", "q") >= percent * F.greatest("p", "q")
     prefix = (F.col("i") <= F.col("p") - common) & (F.col("j") <= F.col("q") - common)
     position = F.least("i", "j") + F.least(F.col("p") - F.col("i"), F.col("q") - F.col("j")) >= common
     pairs = table(x.join(y, (F.col("token") == F.col("t")) & before & length & prefix & position).select("a", "al", "b", "bl", "p", "q").distinct())
-    near = _verified(pairs, docs, percent, order)
-    first = lines.groupBy("n", "c1", "c2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("copies")).where("copies > 1")
-    copies = lines.select("n", "c1", "c2", "doc_id", "line").join(first, ["n", "c1", "c2"]).where(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line")
-    gone = copies.union(near)
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    near = _verified(pairs, docs, percent, k, order)
+    repeated = classes.where("copies > 1").select("n", "c1", "c2", "at")
+    copies = lines.select("n", "c1", "c2", "doc_id", "line").join(repeated, ["n", "c1", "c2"]).where(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line")
+    return copies.union(gone).union(near).distinct()
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, percent: int, order: np.ndarray) -> DataFrame:
-    """(doc_id, line) of the later line of those pairs whose sets of words are alike enough."""
+def _verified(pairs: DataFrame, documents: DataFrame, percent: int, k: int, order: np.ndarray) -> DataFrame:
+    """(doc_id, line) of the later line of those pairs whose sets are alike enough."""
     wanted = pairs.select(F.col("a").alias("doc_id"), F.col("al").alias("line")).union(pairs.select("b", "bl")).distinct()
     wanted = table(wanted.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines")))
     known, rank = _ranked(order)
@@ -151,7 +168,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, percent: int, order: np.nd
         for batch in batches:
             lines_of = batch.column(2)
             for x in texts(batch):
-                for s in _line_sets(x, known, rank):
+                for s in _line_sets(x, k, known, rank):
                     at = np.searchsorted(s.row, np.arange(len(x.at)))
                     pick = np.concatenate([np.zeros(0, bool), *(in_sorted(s.line[at[i] : at[i + 1]], lines_of[x.first + i].values.to_numpy()) for i in range(len(x.at) - 1))])
                     n = np.diff(s.cuts)
@@ -171,13 +188,13 @@ def _verified(pairs: DataFrame, documents: DataFrame, percent: int, order: np.nd
     return both.where(100 * F.col("common") >= percent * (F.col("p") + F.col("q") - F.col("common"))).select(F.col("b").alias("doc_id"), F.col("bl").alias("line"))
 
 
-def line_dedup(documents: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS, frequent: int = FREQUENT) -> DataFrame:
+def line_dedup(documents: DataFrame, percent: int = PERCENT, k: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
     r"""Each row of documents with kept (its text without later similar lines), n_lines and n_removed.
 
     Lines end at \n; words are `[^\x20\x09-\x0D]+` after A-Z went to lower case. A
-    line of at least `least` distinct words goes if a line before it, in a document
-    of smaller doc_id or above it in its own, has a Jaccard of words of percent/100
-    or more; lines are judged on the input. Shorter lines stay. Null texts have no
+    line of at least k words goes if a line before it, in a document of smaller
+    doc_id or above it in its own, has a Jaccard of k-word shingles of percent/100 or
+    more; lines are judged on the input. Shorter lines stay. Null texts have no
     line and kept is null; an empty text has one empty line, which stays. Rows that
     repeat a doc_id are judged as one document: a line at the same place in both
     is the same line. Rows without doc_id stay as they are. Extra columns stay,
@@ -186,7 +203,10 @@ def line_dedup(documents: DataFrame, percent: int = PERCENT, least: int = LEAST_
     made = ["kept", "n_lines", "n_removed"]
     names = [c for c in documents.columns if c not in made]
     documents = documents.select(*names)
-    gone = later_lines(documents, percent, least, frequent).withColumnRenamed("lines", "_fernloom_lines")
+    gone = table(later_lines(documents, percent, k, frequent))
+    few = gone.limit(SEND_LINES + 1).count() <= SEND_LINES
+    gone = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("_fernloom_lines"))
+    gone = F.broadcast(gone) if few else gone
     lines = F.split("text", "\n", -1)
     stay = F.when(F.col("_fernloom_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_fernloom_lines", i)), "\n"))
     out = documents.join(gone, "doc_id", "left")

@@ -212,8 +212,12 @@ def train(sample: list[str], steps: int = 300) -> Field:
 
 def sample_texts(documents: DataFrame, most: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[str]:
     """Starts of the texts of least hash: training material of bounded size."""
-    picked = documents.where("text is not null").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, chars).alias("t")).orderBy("h", "t").limit(most)
-    return [r["t"] for r in picked.collect()]
+    keyed = documents.where("text is not null").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, chars).alias("t"))
+    # first the bound of the hashes alone, then the texts below it: no task sends more than hashes and its part of the sample
+    last = [r["h"] for r in keyed.select("h").orderBy("h").limit(most).collect()]
+    if not last:
+        return []
+    return [r["t"] for r in keyed.where(F.col("h") <= max(last)).orderBy("h", "t").limit(most).collect()]
 
 
 def tag(text: str, field: Field) -> list[tuple[int, int, int, bool]]:
