@@ -70,17 +70,17 @@ def repeated_windows(documents: DataFrame, length: int = LENGTH, seed: int = SEE
                 cut = np.searchsorted(rows, np.arange(len(x.at)))
                 anchor = signed(anchor)
                 hit = np.concatenate([np.zeros(0, bool), *(in_sorted(anchor[cut[i] : cut[i + 1]], of_seed[at_seed[x.first + i] : at_seed[x.first + i + 1]]) for i in range(len(x.at) - 1))])
-                at, rows, anchor = at[hit], rows[hit], anchor[hit]
+                at, rows, second = at[hit], rows[hit], (anchor[hit] >> 32).astype(np.int32)
                 full = signed(window_hashes(w.hashes, length))[at]
                 yield pa.record_batch(
-                    {"anchor": anchor, "win": full, "doc_id": batch.column(0).take(pa.array(rows + x.first)), "start": pa.array(at - w.bounds[rows], pa.int32())}
+                    {"win": full, "second": second, "doc_id": batch.column(0).take(pa.array(rows + x.first)), "start": pa.array(at - w.bounds[rows], pa.int32())}
                 )
 
     kind = dict(documents.dtypes)["doc_id"]
-    # an anchor and a window hash together: two keys of 64 bits for one window
-    around = table(docs.join(seeds, "doc_id").mapInArrow(extended, f"anchor bigint, win bigint, doc_id {kind}, start int"))
-    first = around.groupBy("anchor", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor", "win", "lo")
-    return around.join(first, ["anchor", "win"]).where("doc_id > lo").groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    # a window's hash and half of its anchor: 96 bits to tell windows by
+    around = table(docs.join(seeds, "doc_id").mapInArrow(extended, f"win bigint, second int, doc_id {kind}, start int"))
+    first = around.groupBy("win", "second").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("win", "second", "lo")
+    return around.join(first, ["win", "second"]).where("doc_id > lo").groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
 
 def substring_dedup(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
