@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "events")
+MODULES = ("relational", "events", "texts")
 
 
 def catalogue() -> dict:
