@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "events", "texts")
+MODULES = ("relational", "events", "texts", "retrieval")
 
 
 def catalogue() -> dict:
