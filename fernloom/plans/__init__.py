@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "events", "texts", "retrieval")
+MODULES = ("relational", "events", "texts", "retrieval", "functions")
 
 
 def catalogue() -> dict:
