@@ -6,8 +6,8 @@ has n - ceil(0.75 n) + 1 shingles; two linked classes share one in their prefixe
 Shingles of one class only can't be shared and go at once, and with them every
 class whose whole prefix they are. Classes with the same prefix and size become
 one group, and group pairs come from the postings of the prefix shingles: first
-neighbours by size in each posting, which links families of near copies along a
-line rather than in all pairs; then, of what those links have not yet connected,
+neighbours by size in each posting, and its least edited class with all others,
+which connects families of near copies without all their pairs; then, of what those links have not yet connected,
 the pairs that share a shingle in the shorter prefix that their two sizes allow
 and pass the length and position bounds. Surviving pairs are expanded to members and verified on whole sets.
 
@@ -20,6 +20,7 @@ shingles gives the same links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -161,7 +162,11 @@ def ngram_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERC
     near = lambda w, by: F.lag(F.struct("rep", "n")).over(Window.partitionBy(w).orderBy(*by))
     inside = groups.withColumn("last", near("group", ["rep"])).where("last is not null")
     along = leaders.withColumn("last", near("token", ["n", "rep"])).where(F.col("last.n") >= F.floor((F.col("n") * percent + 99) / 100))
-    pairs = table(inside.select(*_pair("rep", "last.rep")).union(along.select(*_pair("rep", "last.rep"))).distinct())
+    # the class of a posting with the fewest shingles of its own is the least edited one: most others are linked with it
+    least_edited = F.first(F.struct("rep", "n")).over(Window.partitionBy("token").orderBy("alone", "rep"))
+    around = leaders.withColumn("last", least_edited).where(F.col("last.rep") != F.col("rep"))
+    around = around.where(100 * F.least("n", "last.n") >= percent * F.greatest("n", "last.n"))
+    pairs = table(reduce(DataFrame.union, [x.select(*_pair("rep", "last.rep")) for x in (inside, along, around)]).distinct())
     edges = table(_verified(pairs, documents, k, percent))
     comp = table(_labels(prefix, edges))
     # the classes with a shingle that not yet connected ones share: their rarity is counted anew, among them and
