@@ -28,10 +28,12 @@ def distances(edges: DataFrame, source, depth: int = 5) -> DataFrame:
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community) by synchronous label propagation: the label of most weight among a node's neighbours and itself, the least of equal ones."""
     links = both_ways(edges)
-    label = links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
+    # a node votes for its own label like its heaviest neighbour, so that two nodes don't swap labels for ever
+    own = links.groupBy(F.col("a").alias("node")).agg(F.max("weight").alias("weight"))
+    label = own.select("node", F.col("node").alias("community"))
     for _ in range(rounds):
         votes = links.join(label.select(F.col("node").alias("b"), "community"), "b").select(F.col("a").alias("node"), "community", "weight")
-        votes = votes.unionByName(label.withColumn("weight", F.lit(0.5))).groupBy("node", "community").agg(F.sum("weight").alias("w"))
+        votes = votes.unionByName(label.join(own, "node")).groupBy("node", "community").agg(F.sum("weight").alias("w"))
         label = votes.groupBy("node").agg(F.max_by("community", F.struct(F.round("w", 9), -F.col("community"))).alias("community"))
     return label
 
