@@ -39,9 +39,9 @@ FRAME_WORDS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar note alert".split())
 #: Score of a word, of a tag that labelled pages don't have, and the range of learned tag scores.
-WORD, UNSEEN, LEAST, MOST = 1.0, -1.0, -4.0, -0.05
+WORD, UNSEEN, LEAST, MOST = 1.0, -0.3, -4.0, -0.05
 #: A word in a link or a frame element counts against, and so does one outside the element that a page marks as its content.
-LINKED, FRAMED = -0.5, -4.0
+LINKED, FRAMED = -0.5, -0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)

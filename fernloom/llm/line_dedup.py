@@ -11,8 +11,9 @@ out of the join. Pairs are verified on whole sets. A line goes if a line before
 is similar enough.
 
 Only whether such a line exists counts, so a family of near copies isn't expanded
-into pairs: each line is first verified against the line before it that shares the
-most postings with it, and only the lines that this leaves are joined with all.
+into pairs: each line is first verified against two lines before it, the one that
+shares the most postings with it and the least edited one, and only the lines that
+this leaves are joined with all.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from fernloom.llm.common import SPACED_LOWER, Texts, in_sorted, lists, mixed, se
 PERCENT, SHINGLE = 75, 5
 #: The most frequent tokens, whose order by count is known everywhere: 8 bytes each.
 FREQUENT = 1 << 16
+#: Shared prefix tokens that a pair must have before it is verified, where its sizes allow to ask for so many.
+SHARED = 3
 #: Bits of a token; frequent ones have the highest one and their rank.
 BITS = 43
 #: Removed lines (4 bytes each) up to which they are sent to the executors; beyond, they are joined by shuffle.
@@ -135,13 +138,21 @@ def later_lines(documents: DataFrame, percent: int = PERCENT, k: int = SHINGLE,
     lines = table(_lines(docs, k, percent, order))
     classes = lines.groupBy("n", "c1", "c2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
     post = classes.select("n", "at.doc_id", "at.line", F.posexplode("prefix").alias("i", "token"))
-    post = table(post.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df"))
-    # first the line before in each posting that most of a line's postings name
-    x = post.withColumn("last", F.lag(F.struct("doc_id", "line", "n")).over(Window.partitionBy("token").orderBy("doc_id", "line"))).where("last is not null")
-    x = x.select(F.col("last.doc_id").alias("a"), F.col("last.line").alias("al"), F.col("last.n").alias("p"), F.col("doc_id").alias("b"), F.col("line").alias("bl"), F.col("n").alias("q"))
-    x = x.where(100 * F.least("p", "q") >= percent * F.greatest("p", "q")).groupBy("a", "al", "p", "b", "bl", "q").agg(F.count("*").alias("seen"))
-    x = x.groupBy("b", "bl", "q").agg(F.max(F.struct("seen", "a", "al", "p")).alias("x"))
-    gone = table(_verified(table(x.select("x.a", "x.al", "b", "bl", "x.p", "q")), docs, percent, k, order))
+    post = post.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df")
+    # of its prefix the tokens that no other line has: the fewer, the less a line is edited
+    size = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    post = table(post.withColumn("alone", size - F.count("*").over(Window.partitionBy("doc_id", "line"))))
+    # first two lines before: the nearest in each posting that most of a line's postings name, and the least edited
+    by = Window.partitionBy("token").orderBy("doc_id", "line")
+    nearest = F.lag(F.struct("alone", "doc_id", "line", "n")).over(by)
+    plainest = F.min(F.struct("alone", "doc_id", "line", "n")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    x = post.select("doc_id", "line", "n", nearest.alias("x1"), plainest.alias("x2")).where("x1 is not null")
+    x = x.select("doc_id", "line", "n", F.explode(F.array(F.struct(F.lit(1).alias("kind"), F.col("x1").alias("x")), F.struct(F.lit(2).alias("kind"), F.col("x2").alias("x")))).alias("c"))
+    x = x.select("c.kind", F.col("c.x.alone").alias("alone"), F.col("c.x.doc_id").alias("a"), F.col("c.x.line").alias("al"), F.col("c.x.n").alias("p"), F.col("doc_id").alias("b"), F.col("line").alias("bl"), F.col("n").alias("q"))
+    x = x.where(100 * F.least("p", "q") >= percent * F.greatest("p", "q")).groupBy("kind", "alone", "a", "al", "p", "b", "bl", "q").agg(F.count("*").alias("seen"))
+    best = F.when(F.col("kind") == 1, F.col("seen")).otherwise(-F.col("alone"))
+    x = x.groupBy("kind", "b", "bl", "q").agg(F.max(F.struct(best.alias("best"), "a", "al", "p")).alias("x"))
+    gone = table(_verified(table(x.select("x.a", "x.al", "b", "bl", "x.p", "q").distinct()), docs, percent, k, order).distinct())
     # then all pairs whose later line is left; a pair's first shared token is at places i and j of its prefixes
     left = post.join(gone, ["doc_id", "line"], "left_anti")
     x = post.select("token", F.col("n").alias("p"), F.col("doc_id").alias("a"), F.col("line").alias("al"), "i")
@@ -149,9 +160,12 @@ def later_lines(documents: DataFrame, percent: int = PERCENT, k: int = SHINGLE,
     common = F.ceil((F.col("p") + F.col("q")) * percent / (100 + percent))
     before = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("al") < F.col("bl")))
     length = 100 * F.least("p", "q") >= percent * F.greatest("p", "q")
-    prefix = (F.col("i") <= F.col("p") - common) & (F.col("j") <= F.col("q") - common)
+    # as many shared tokens as their sizes prove, up to SHARED, within prefixes that are longer by one less
+    proof = F.least(F.lit(SHARED), 1 + common - F.floor((F.greatest("p", "q") * percent + 99) / 100))
+    prefix = (F.col("i") < F.col("p") - common + proof) & (F.col("j") < F.col("q") - common + proof)
     position = F.least("i", "j") + F.least(F.col("p") - F.col("i"), F.col("q") - F.col("j")) >= common
-    pairs = table(x.join(y, (F.col("token") == F.col("t")) & before & length & prefix & position).select("a", "al", "b", "bl", "p", "q").distinct())
+    found = x.join(y, (F.col("token") == F.col("t")) & before & length & prefix & position)
+    pairs = table(found.groupBy("a", "al", "b", "bl", "p", "q").agg(F.count("*").alias("shared")).where(F.col("shared") >= proof).drop("shared"))
     near = _verified(pairs, docs, percent, k, order)
     repeated = classes.where("copies > 1").select("n", "c1", "c2", "at")
     copies = lines.select("n", "c1", "c2", "doc_id", "line").join(repeated, ["n", "c1", "c2"]).where(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line")
