@@ -20,7 +20,6 @@ shingles gives the same links.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +143,24 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _before(key: str, *order: str):
+    """The row before in the key's order."""
+    return F.lag(F.struct("rep", "n")).over(Window.partitionBy(key).orderBy(*order))
+
+
+def _first_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) to verify first, a few for each row: neighbours by size in each posting, and all of it with its least edited class.
+
+    The class of a posting with the fewest shingles of its own is the least edited
+    one, and most of its near copies are linked with it.
+    """
+    along = rows.withColumn("last", _before("token", "n", "rep")).where("last is not null")
+    least_edited = F.first(F.struct("rep", "n")).over(Window.partitionBy("token").orderBy("alone", "rep"))
+    around = rows.withColumn("last", least_edited).where(F.col("last.rep") != F.col("rep"))
+    both = [x.where(100 * F.least("n", "last.n") >= percent * F.greatest("n", "last.n")).select(*_pair("rep", "last.rep")) for x in (along, around)]
+    return both[0].union(both[1])
+
+
 def ngram_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of documents.
 
@@ -159,14 +176,8 @@ def ngram_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERC
     groups = prefix.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("rank", "token"))).alias("prefix"))
     groups = table(groups.withColumn("group", F.xxhash64("n", F.to_json("prefix"))).withColumn("group", F.min("rep").over(Window.partitionBy("n", "group", F.sha2(F.to_json("prefix"), 256)))).select("rep", "n", "group"))
     leaders = prefix.join(groups.where("rep = group").select("rep"), "rep", "left_semi")
-    near = lambda w, by: F.lag(F.struct("rep", "n")).over(Window.partitionBy(w).orderBy(*by))
-    inside = groups.withColumn("last", near("group", ["rep"])).where("last is not null")
-    along = leaders.withColumn("last", near("token", ["n", "rep"])).where(F.col("last.n") >= F.floor((F.col("n") * percent + 99) / 100))
-    # the class of a posting with the fewest shingles of its own is the least edited one: most others are linked with it
-    least_edited = F.first(F.struct("rep", "n")).over(Window.partitionBy("token").orderBy("alone", "rep"))
-    around = leaders.withColumn("last", least_edited).where(F.col("last.rep") != F.col("rep"))
-    around = around.where(100 * F.least("n", "last.n") >= percent * F.greatest("n", "last.n"))
-    pairs = table(reduce(DataFrame.union, [x.select(*_pair("rep", "last.rep")) for x in (inside, along, around)]).distinct())
+    inside = groups.withColumn("last", _before("group", "rep")).where("last is not null").select(*_pair("rep", "last.rep"))
+    pairs = table(inside.union(_first_pairs(leaders, percent)).distinct())
     edges = table(_verified(pairs, documents, k, percent))
     comp = table(_labels(prefix, edges))
     # the classes with a shingle that not yet connected ones share: their rarity is counted anew, among them and
@@ -175,6 +186,14 @@ def ngram_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERC
     open_tokens = post.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     loose = table(post.join(open_tokens, "token", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
     again = _prefixes(documents.join(sent(loose), "doc_id", "left_semi").select("doc_id", "text"), k, percent, whole=True)
+    again = table(again)
+    more = _first_pairs(again, percent).distinct()
+    for end in ("a", "b"):
+        more = more.join(comp.select(F.col("rep").alias(end), F.col("comp").alias(f"c{end}")), end)
+    more = table(more.where("ca <> cb").select("a", "b"))
+    if more.limit(1).count():
+        edges = table(edges.union(_verified(more, documents, k, percent)))
+        comp = table(_labels(prefix, edges))
     post = table(again.join(comp, "rep").select("token", "rep", "n", "comp", "rank", "alone"))
     x = post.select("token", F.col("rep").alias("a"), F.col("n").alias("p"), F.col("comp").alias("ca"), F.col("rank").alias("i"), F.col("alone").alias("ua"))
     y = post.select("token", F.col("rep").alias("b"), F.col("n").alias("q"), F.col("comp").alias("cb"), F.col("rank").alias("j"), F.col("alone").alias("ub"))
