@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernloom.sources.files import cut
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
@@ -17,17 +19,17 @@ def node_statistics(edges: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, source, depth: int = 5) -> DataFrame:
     """(node, distance) of what is within depth steps of the source, by one join a step."""
-    links = both_ways(edges).select("a", "b").distinct()
+    links = cut(both_ways(edges).select("a", "b").distinct())
     seen = edges.sparkSession.range(1).select(F.lit(source).cast(edges.schema["a"].dataType).alias("node"), F.lit(0).alias("distance"))
     for step in range(1, min(max(depth, 1), 10) + 1):
         new = seen.where(F.col("distance") == step - 1).join(links, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.lit(step).alias("distance"))
-        seen = seen.union(new).groupBy("node").agg(F.min("distance").alias("distance"))
+        seen = cut(seen.union(new).groupBy("node").agg(F.min("distance").alias("distance")))
     return seen
 
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community) by synchronous label propagation: the label of most weight among a node's neighbours and itself, the least of equal ones."""
-    links = both_ways(edges)
+    links = cut(both_ways(edges))
     # a node votes for its own label like its heaviest neighbour, so that two nodes don't swap labels for ever
     own = links.groupBy(F.col("a").alias("node")).agg(F.max("weight").alias("weight"))
     label = own.select("node", F.col("node").alias("community"))
@@ -35,6 +37,7 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         votes = links.join(label.select(F.col("node").alias("b"), "community"), "b").select(F.col("a").alias("node"), "community", "weight")
         votes = votes.unionByName(label.join(own, "node")).groupBy("node", "community").agg(F.sum("weight").alias("w"))
         label = votes.groupBy("node").agg(F.max_by("community", F.struct(F.round("w", 9), -F.col("community"))).alias("community"))
+        label = cut(label)
     return label
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "events", "texts", "retrieval", "functions")
+MODULES = ("relational", "events", "texts", "retrieval", "functions", "markup")
 
 
 def catalogue() -> dict:

@@ -21,6 +21,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/files-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written in the shared folder and read again: an iterative plan starts anew from it."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def markdown_folder(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(path, title, text, status) of the *.md files below a folder, dot files and dot folders left out.
 
