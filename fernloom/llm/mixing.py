@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernloom.llm.common import table
+from fernloom.llm.common import sent, table
 
 #: Part of the corpus's tokens that the mix has, passes over a leaf at most, and the seed of the order.
 BUDGET, EPOCHS, SEED = 0.5, 2, 20240229
@@ -96,13 +96,14 @@ def mix(documents: DataFrame, budget: float = BUDGET, epochs: int = EPOCHS, seed
     budgets = budgets.withColumn("whole", F.floor(F.col("got") / F.col("tokens"))).withColumn("part", F.col("got") - F.col("whole") * F.col("tokens")).drop("tokens", "got")
     upto = Window.partitionBy(*leaf).orderBy("bucket")
     placed = sums.withColumn("end", F.sum("sum").over(upto)).join(budgets, leaf)
-    # the bucket in which the prefix ends, and what of the part is left for it
+    # the bucket in which the prefix ends, and what of the part is left for it: a row for each leaf at most
     edge = placed.where((F.col("end") - F.col("sum") < F.col("part")) & (F.col("end") >= F.col("part"))).select(*leaf, "bucket", (F.col("part") - F.col("end") + F.col("sum")).alias("left"))
     within = Window.partitionBy(*leaf, "bucket").orderBy("key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    cut = docs.join(edge, [*leaf, "bucket"]).withColumn("before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).where("before < left")
+    edge = table(edge)
+    cut = docs.join(sent(edge), [*leaf, "bucket"]).withColumn("before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).where("before < left")
     cut = cut.groupBy(*leaf).agg(F.max(F.struct("key", "n_tokens")).alias("last"))
-    limits = budgets.join(cut, leaf, "left").select(*leaf, "whole", "last")
-    taken = docs.join(limits, leaf).withColumn("copies", (F.col("whole") + F.when(F.struct("key", "n_tokens") <= F.col("last"), 1).otherwise(0)).cast("int"))
+    limits = table(budgets.join(cut, leaf, "left").select(*leaf, "whole", "last"))
+    taken = docs.join(sent(limits), leaf).withColumn("copies", (F.col("whole") + F.when(F.struct("key", "n_tokens") <= F.col("last"), 1).otherwise(0)).cast("int"))
     return taken.where("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies")
 
 
