@@ -12,7 +12,7 @@ from fernloom.llm.decontaminate import decontaminate
 from fernloom.llm.line_dedup import line_dedup
 from fernloom.llm.mixing import mix
 from fernloom.llm.ngram_join import ngram_components
-from fernloom.llm.quality import keep_good
+from fernloom.llm.quality import quality_rules
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -21,8 +21,8 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that the base rules or a proven cutoff reject go."""
-    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Operator 8: documents that the base rules or a proven cutoff reject go; rows without doc_id stay."""
+    return _without(docs, quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("not kept"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -145,19 +145,6 @@ def quality_rules(documents: DataFrame, labels: DataFrame, stratum: str = "lang"
     return out.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict()).alias("kept"))
 
 
-def keep_good(documents: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The rows of documents that the rules keep, unchanged."""
-    names = documents.columns
-    own = documents.select("doc_id", F.col(stratum).alias("stratum"), "text")
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    held = table(base_statistics(own.join(good, "doc_id", "left_semi")).drop("text"))
-    limits = table(cutoffs(held, labels, "stratum"))
-    p = "_fernloom_"
-    judged = base_statistics(documents, prefix=p).withColumn(f"{p}stratum", F.coalesce(F.col(stratum), F.lit("")))
-    judged = judged.join(limits.withColumnRenamed("stratum", f"{p}stratum"), f"{p}stratum", "left")
-    return judged.where(~base_failed(p) & verdict(p)).select(*names)
-
-
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     found = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return found.drop("stratum")
