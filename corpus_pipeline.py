@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: lines that a line before is similar to go; documents of which no word is left go."""
-    kept = line_dedup(docs)
+    kept = line_dedup(docs, short=True)
     text = F.col("kept")
     out = kept.select(*(text.alias("text") if c == "text" else F.length(text).cast(kept.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns), (F.col("n_removed") > 0).alias("_cut"))
     return out.where(~F.col("_cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("_cut")

@@ -1,7 +1,9 @@
 """Line dedup as an exact set-similarity self-join.
 
-A line's tokens are its distinct 5-word shingles. Lines with the same set are one
-class, represented by the first of them. Tokens are ordered by rarity: those of
+A line's tokens are its distinct 5-word shingles; one of fewer words has its whole
+word sequence as its one token, if these lines are asked for. Lines with the same
+set are one class, represented by the first of them: this settles the short lines,
+which are similar only if they are equal and have no prefix to join. Tokens are ordered by rarity: those of
 the bounded table of the most frequent ones come last, by their count over all
 texts, the others first, by hash. Two sets with a Jaccard of at least 0.75 share
 a token in prefixes whose lengths follow from the two sizes (prefix filter); their
@@ -26,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernloom.llm.common import SPACED_LOWER, Texts, in_sorted, lists, mixed, sent, signed, table, texts, window_hashes, words
+from fernloom.llm.common import SPACED_LOWER, Texts, Words, in_sorted, lists, mixed, sent, signed, table, texts, window_hashes, words
 
-#: Jaccard of two lines from which the later one goes, and words of a shingle; lines of fewer words aren't judged.
+#: Jaccard of two lines from which the later one goes, and words of a shingle.
 PERCENT, SHINGLE = 75, 5
 #: The most frequent tokens, whose order by count is known everywhere: 8 bytes each.
 FREQUENT = 1 << 16
@@ -53,18 +55,32 @@ class LineSets(NamedTuple):
         return np.arange(len(self.tokens)) - np.repeat(self.cuts[:-1], np.diff(self.cuts))
 
 
-def _tokens(x: Texts, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, line in all texts and hash (its BITS high bits) of each shingle within a line."""
-    w = words(x, SPACED_LOWER)
+def _tokens(x: Texts, w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, line in all texts and hash (its BITS high bits) of each shingle within a line. w: the words of x."""
     line, row = np.searchsorted(np.flatnonzero(x.data == 10), w.starts), w.rows()
     m = max(0, len(row) - k + 1)
     inside = (row[:m] == row[k - 1 :]) & (line[:m] == line[k - 1 :])
     return row[:m][inside], line[:m][inside], window_hashes(w.hashes, k)[inside] >> np.uint64(64 - BITS)
 
 
-def _line_sets(x: Texts, k: int, known: np.ndarray, rank: np.ndarray) -> Iterator[LineSets]:
+def _short_lines(x: Texts, w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, line in its text and hash of the words of each line of fewer than k words, but not none."""
+    breaks = np.flatnonzero(x.data == 10)
+    line, row = np.searchsorted(breaks, w.starts), w.rows()
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(row)))
+    at, n = at[n < k], n[n < k]
+    token = np.zeros(len(at), np.uint64)
+    for size in range(1, k):
+        token[n == size] = mixed(window_hashes(w.hashes, size)[at[n == size]] + np.uint64(size))
+    return row[at], line[at] - np.searchsorted(breaks, x.at[:-1])[row[at]], token
+
+
+def _line_sets(x: Texts, w: Words, k: int, known: np.ndarray, rank: np.ndarray) -> Iterator[LineSets]:
     """The line sets of some texts, in blocks of lines. known: sorted frequent tokens."""
-    row, line, token = _tokens(x, k)
+    row, line, token = _tokens(x, w, k)
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
     first = np.searchsorted(np.flatnonzero(x.data == 10), x.at[:-1])
@@ -92,7 +108,7 @@ def frequent_tokens(documents: DataFrame, k: int = SHINGLE, most: int = FREQUENT
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in texts(batch):
-                key, n = np.unique(_tokens(x, k)[2], return_counts=True)
+                key, n = np.unique(_tokens(x, words(x, SPACED_LOWER), k)[2], return_counts=True)
                 yield pa.record_batch({"token": signed(key)[n > 1], "n": n[n > 1]})
 
     counts = documents.select("text").mapInArrow(of, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
@@ -105,16 +121,34 @@ def _ranked(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[rank.astype(np.int64)], rank
 
 
-def _lines(documents: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFrame:
-    """(n, c1, c2, doc_id, line, prefix): each judged line, two digests of its set, and the prefix of the set."""
+def _digested(tokens: np.ndarray) -> list[np.ndarray]:
+    return [mixed(tokens * np.uint64(c) + np.uint64(c)) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+
+def _lines(documents: DataFrame, k: int, percent: int, order: np.ndarray, short: bool) -> DataFrame:
+    """(n, c1, c2, doc_id, line, prefix): each judged line, two digests of its set, and the prefix of the set, none for a short line."""
     known, rank = _ranked(order)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in texts(batch):
-                for s in _line_sets(x, k, known, rank):
+                w = words(x, SPACED_LOWER)
+                if short:
+                    row, line, token = _short_lines(x, w, k)
+                    digests, none = _digested(token), np.zeros(len(row), np.int64)
+                    yield pa.record_batch(
+                        {
+                            "n": pa.array(none + 1, pa.int32()),
+                            "c1": signed(digests[0]),
+                            "c2": signed(digests[1]),
+                            "doc_id": batch.column(0).take(pa.array(row + x.first)),
+                            "line": pa.array(line, pa.int32()),
+                            "prefix": lists(signed(token[:0]), np.append(0, none), pa.int64()),
+                        }
+                    )
+                for s in _line_sets(x, w, k, known, rank):
                     n = np.diff(s.cuts)
-                    digests = [np.add.reduceat(mixed(s.tokens * np.uint64(c) + np.uint64(c)), s.cuts[:-1]) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+                    digests = [np.add.reduceat(d, s.cuts[:-1]) for d in _digested(s.tokens)]
                     some = n - (percent * n + 99) // 100 + 1
                     yield pa.record_batch(
                         {
@@ -131,11 +165,11 @@ def _lines(documents: DataFrame, k: int, percent: int, order: np.ndarray) -> Dat
     return documents.select("doc_id", "text").mapInArrow(of, f"n int, c1 bigint, c2 bigint, doc_id {kind}, line int, prefix array<bigint>")
 
 
-def later_lines(documents: DataFrame, percent: int = PERCENT, k: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
+def later_lines(documents: DataFrame, percent: int = PERCENT, k: int = SHINGLE, frequent: int = FREQUENT, short: bool = False) -> DataFrame:
     """(doc_id, line): the lines of each document, numbered from 0, that a line before is similar to."""
     docs = documents.select("doc_id", "text").where("doc_id is not null")
     order = frequent_tokens(docs, k, frequent)
-    lines = table(_lines(docs, k, percent, order))
+    lines = table(_lines(docs, k, percent, order, short))
     classes = lines.groupBy("n", "c1", "c2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
     post = classes.select("n", "at.doc_id", "at.line", F.posexplode("prefix").alias("i", "token"))
     post = post.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df")
@@ -182,7 +216,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, percent: int, k: int, orde
         for batch in batches:
             lines_of = batch.column(2)
             for x in texts(batch):
-                for s in _line_sets(x, k, known, rank):
+                for s in _line_sets(x, words(x, SPACED_LOWER), k, known, rank):
                     at = np.searchsorted(s.row, np.arange(len(x.at)))
                     pick = np.concatenate([np.zeros(0, bool), *(in_sorted(s.line[at[i] : at[i + 1]], lines_of[x.first + i].values.to_numpy()) for i in range(len(x.at) - 1))])
                     n = np.diff(s.cuts)
@@ -202,13 +236,14 @@ def _verified(pairs: DataFrame, documents: DataFrame, percent: int, k: int, orde
     return both.where(100 * F.col("common") >= percent * (F.col("p") + F.col("q") - F.col("common"))).select(F.col("b").alias("doc_id"), F.col("bl").alias("line"))
 
 
-def line_dedup(documents: DataFrame, percent: int = PERCENT, k: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
+def line_dedup(documents: DataFrame, percent: int = PERCENT, k: int = SHINGLE, frequent: int = FREQUENT, short: bool = False) -> DataFrame:
     r"""Each row of documents with kept (its text without later similar lines), n_lines and n_removed.
 
     Lines end at \n; words are `[^\x20\x09-\x0D]+` after A-Z went to lower case. A
     line of at least k words goes if a line before it, in a document of smaller
     doc_id or above it in its own, has a Jaccard of k-word shingles of percent/100 or
-    more; lines are judged on the input. Shorter lines stay. Null texts have no
+    more; lines are judged on the input. With short, a line of fewer words, but not
+    none, goes if a line before it has the same words; without, it stays. Null texts have no
     line and kept is null; an empty text has one empty line, which stays. Rows that
     repeat a doc_id are judged as one document: a line at the same place in both
     is the same line. Rows without doc_id stay as they are. Extra columns stay,
@@ -217,7 +252,7 @@ def line_dedup(documents: DataFrame, percent: int = PERCENT, k: int = SHINGLE, f
     made = ["kept", "n_lines", "n_removed"]
     names = [c for c in documents.columns if c not in made]
     documents = documents.select(*names)
-    gone = table(later_lines(documents, percent, k, frequent))
+    gone = table(later_lines(documents, percent, k, frequent, short))
     few = gone.limit(SEND_LINES + 1).count() <= SEND_LINES
     gone = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("_fernloom_lines"))
     gone = F.broadcast(gone) if few else gone
@@ -230,5 +265,5 @@ def line_dedup(documents: DataFrame, percent: int = PERCENT, k: int = SHINGLE, f
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    found = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short=True)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))

@@ -52,6 +52,24 @@ def test_line_dedup(docs):
         assert (got[d]["kept"], got[d]["n_removed"]) == (want, len(gone.get(d, ())))
 
 
+def test_line_dedup_short_lines(docs):
+    rows = [*corpus(6), (910, "Home\nOne  two three\n\nhome"), (911, "one two\nONE two three\n one two three four\na b c d e"), (912, "one\ttwo\none two three four\na b c d\nb c d e")]
+
+    def tokens(w):
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    lines = [(d, j, tokens([lower(w) for w in spaced(line)])) for d, t in rows for j, line in enumerate((t or "").split("\n"))]
+    gone = {}
+    for d, j, s in lines:
+        if s and any((e, k) < (d, j) and 100 * len(s & u) >= 75 * len(s | u) for e, k, u in lines):
+            gone.setdefault(d, set()).add(j)
+    assert gone[904] == {0} and gone[910] == {3} and gone[911] == {1} and gone[912] == {0, 1}
+    for r in line_dedup(docs(rows), short=True).collect():
+        t = dict(rows)[r["doc_id"]]
+        want = None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone.get(r["doc_id"], ()))
+        assert (r["kept"], r["n_removed"]) == (want, len(gone.get(r["doc_id"], ())))
+
+
 def test_line_dedup_few_frequent_words(docs):
     rows = corpus(2, 40)
     assert {tuple(r) for r in line_dedup(docs(rows), frequent=3).collect()} == {tuple(r) for r in line_dedup(docs(rows)).collect()}
