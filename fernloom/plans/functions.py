@@ -118,7 +118,7 @@ def stream_rate_limit(spark, d):
 
 def edit_fold(spark, d):
     """Each user's events as edits of one text, in order."""
-    e = load(spark, d, "events").where("user_id % 5 = 0").select(C("user_id").alias("doc"), C("event_id").alias("seq"), F.element_at(F.array(F.lit("insert"), F.lit("delete"), F.lit("replace")), (C("event_id") % 3 + 1).cast("int")).alias("op"), (C("event_id") % 10).cast("int").alias("at"), F.col("event_type").alias("text"))
+    e = load(spark, d, "events").select(C("user_id").alias("doc"), C("event_id").alias("seq"), F.element_at(F.array(F.lit("insert"), F.lit("delete"), F.lit("replace")), (C("event_id") % 3 + 1).cast("int")).alias("op"), (C("event_id") % 10).cast("int").alias("at"), F.col("event_type").alias("text"))
     return S.folded_edits(e)
 
 

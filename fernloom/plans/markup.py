@@ -88,7 +88,7 @@ def cluster_quality(spark, d):
 
 
 def lda_topics(spark, d):
-    return mining.topics(load(spark, d, "documents").where("lang = 'en'"), 3)
+    return mining.topics(load(spark, d, "documents"), 3)
 
 
 def duplicate_classes(spark, d):

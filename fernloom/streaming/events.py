@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -79,17 +80,34 @@ def folded_edits(edits: DataFrame) -> DataFrame:
     """The text of each document after its operations in order: edits (doc, seq, op, at, text).
 
     insert puts text at a place, delete takes as many characters as text has, replace
-    does both; places beyond the end count as the end.
+    does both; places beyond the end count as the end. Edits come sorted, a bounded
+    batch at a time, and only the text is kept between them.
     """
-    ops = F.sort_array(F.collect_list(F.struct("seq", "op", "at", "text")))
 
-    def apply(acc, e):
-        at = F.least(F.greatest(e["at"], F.lit(0)), F.length(acc))
-        head, n = F.substring(acc, F.lit(1), at), F.length(e["text"])
-        tail = F.substring(acc, at + 1 + F.when(e["op"] == "insert", 0).otherwise(n), F.length(acc))
-        return F.concat(head, F.when(e["op"] == "delete", "").otherwise(e["text"]), tail)
-
-    return edits.groupBy("doc").agg(ops.alias("ops"), F.count("*").alias("version")).select("doc", "version", F.aggregate("ops", F.lit(""), apply).alias("text"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, n, acc = None, 0, ""
+        for batch in batches:
+            done, kind = [], batch.schema.field("doc").type
+            for d, op, at, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "op", "at", "text"))):
+                if n and d != doc:
+                    done.append((doc, n, acc))
+                    n, acc = 0, ""
+                doc, n = d, n + 1
+                if acc is None or text is None:
+                    acc = None  # as with a null in concat
+                    continue
+                at = min(max(at or 0, 0), len(acc))
+                acc = acc[:at] + ("" if op == "delete" else text) + acc[at + (0 if op == "insert" else len(text)) :]
+            yield made(done, kind)
+        if n:
+            yield made([(doc, n, acc)], kind)
+
+    def made(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        docs, versions, folded = zip(*done) if done else ((), (), ())
+        return pa.record_batch({"doc": pa.array(docs, kind), "version": pa.array(versions, pa.int64()), "text": pa.array(folded, pa.string())})
+
+    rows = edits.select("doc", "seq", "op", "at", "text").repartition("doc").sortWithinPartitions("doc", "seq", "op", "at", "text")
+    return rows.mapInArrow(fold, f"doc {dict(edits.dtypes)['doc']}, version bigint, text string")
 
 
 def queue_step(queue: DataFrame, done: DataFrame, attempts: int = 3) -> DataFrame:

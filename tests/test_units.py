@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from fernloom.functions import documents as D
 from fernloom.functions import text as T
 from fernloom.operators import chunking, graph, hierarchy, predicates, ranking, search, timeline, vectors
+from fernloom.plans import catalogue
 from fernloom.sources import files
+from fernloom.streaming.events import folded_edits
 
 
 def one(spark, column):
@@ -113,3 +115,30 @@ def test_empty_tables(spark, bad):
     docs = spark.createDataFrame(bad, "doc_id int, text string")
     assert search.postings(docs).count() == 0
     assert T.top_tokens(docs, "doc_id", T.keywords(F.col("text"))).count() == 0
+
+
+def test_edit_fold_takes_all_users(spark, tmp_path):
+    rows = [(i, i * 7 % 12, f"e{i % 5}" * (1 + i % 3)) for i in range(3000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for i, user, text in rows:
+        n, acc = want.get(user, (0, ""))
+        at = min(i % 10, len(acc))
+        want[user] = (n + 1, acc[:at] + ("" if i % 3 == 1 else text) + acc[at + (0 if i % 3 == 0 else len(text)) :])
+    assert len(want) == 12
+    df = catalogue()["edit_fold"][0](spark, str(tmp_path))
+    assert {r["doc"]: (r["version"], r["text"]) for r in df.collect()} == want
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
+def test_folded_edits_nulls_and_places(spark):
+    rows = [("a", 1, "insert", 99, "héllo"), ("a", 2, "delete", -3, "é"), ("a", 3, "replace", 3, "xyz"), ("b", 1, "insert", None, "t"), ("b", 2, None, 0, "u"), ("c", 2, "insert", 0, "v"), ("c", 1, "insert", 0, None), (None, 1, "delete", 0, "w"), (None, 0, "insert", 0, "w😀")]
+    df = folded_edits(spark.createDataFrame(rows, "doc string, seq long, op string, at int, text string"))
+    assert {tuple(r) for r in df.collect()} == {("a", 3, "éllxyz"), ("b", 2, "u"), ("c", 2, None), (None, 2, "😀")}
+    assert folded_edits(spark.createDataFrame([], "doc string, seq long, op string, at int, text string")).count() == 0
+
+
+def test_lda_topics_of_all_languages(spark, tmp_path):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("wasser feuer", "de"), ("wasser feuer", "de"), ("letter window", "en"), ("letter window", "en")])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["term"] for r in catalogue()["lda_topics"][0](spark, str(tmp_path)).collect()} == {"wasser", "feuer", "letter", "window"}
