@@ -4,7 +4,7 @@ A page becomes a sequence of words and tags. Words score positive and tags
 negative, with weights learned from labelled pages: pages that mark their article
 or main element say which tags stand inside the content and which outside. One
 linear scan finds the contiguous region of the greatest sum (ties: the longest),
-and its text blocks are the result. What says by its element, class, id or role
+and its text blocks are the result, the first and the last of them whole. What says by its element, class, id or role
 that it is a menu, header, footer, sidebar, notice, advert, form or comment scores
 negative as a whole and is left out of the region's text; scripts, styles, markup
 comments and the like are never read as text.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -162,7 +163,10 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The blocks of the best region, joined by one newline."""
     parts = pieces(page or "")
     a, b = region(parts, weights)
-    # the region's words, with what stands in the same blocks
+    # the region's words, with what stands in the same blocks: linked words may begin the first and end the last
+    at = [i for i in range(a, b) if not parts[i].tag and not parts[i].framed and not parts[i].text.isspace()]
+    if at:
+        a, b = (side(parts, parts[i].block, key=lambda p: p.block) for side, i in ((bisect_left, at[0]), (bisect_right, at[-1])))
     blocks: dict[int, list[str]] = {}
     for p in parts[a:b]:
         if p.tag == "br":

@@ -123,6 +123,12 @@ def test_html(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string, text int")).count() == 0
 
 
+def test_html_blocks_with_links_at_the_ends():
+    page = '<body><div class="menu"><a href="/">Home</a></div><div><p><a href="/a">A linked opening</a> then many plain words follow here</p><p>Middle <a href="/m">link</a> words</p><p>For more of this see <a href="/r">the full report</a>.</p></div><div class="footer"><a href="/i">Imprint</a></div></body>'
+    assert main_text(page, {}) == "A linked opening then many plain words follow here\nMiddle link words\nFor more of this see the full report."
+    assert main_text(page.replace('see <a href="/r">the full report</a>.', 'see <a href="/r">the full report</a> <span class="share">Share it</span>'), {}).endswith("see the full report")
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, 2, "assistant", "hello"), (2, 0, None, None), (None, 0, "user", "x"), (3, 0, "system", "alone")]
     got = rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
