@@ -1,21 +1,20 @@
-"""Line dedup as an exact set-similarity self-join.
-
-A line's tokens are its distinct 5-word shingles; one of fewer words has its whole
-word sequence as its one token, if these lines are asked for. Lines with the same
-set are one class, represented by the first of them: this settles the short lines,
-which are similar only if they are equal and have no prefix to join. Tokens are ordered by rarity: those of
-the bounded table of the most frequent ones come last, by their count over all
-texts, the others first, by hash. Two sets with a Jaccard of at least 0.75 share
-a token in prefixes whose lengths follow from the two sizes (prefix filter); their
-sizes differ by at most a quarter (length filter), and what can still follow the
-shared position must suffice (positional filter). Tokens of one class only are left
-out of the join. Pairs are verified on whole sets. A line goes if a line before it
-is similar enough.
+r"""Line dedup as an exact set-similarity self-join.
+
+A line's tokens are its distinct words. Lines with the same set are one class,
+represented by the first of them; its other lines go without any join. Tokens are
+ordered by rarity: those of the bounded table of the most frequent ones come last,
+by their count over all texts, the others first, by hash. Two sets with a Jaccard of
+at least 0.75 share a token in prefixes whose lengths follow from the two sizes
+(prefix filter); their sizes differ by at most a quarter (length filter), and from
+the place of the first shared token on each must have enough tokens left
+(positional filter). A 64-bit parity of each set bounds the symmetric difference
+from below, which drops most pairs of unlike lines inside the join. Pairs are
+verified on whole sets. A line goes if a line before it is similar enough.
 
 Only whether such a line exists counts, so a family of near copies isn't expanded
-into pairs: each line is first verified against two lines before it, the one that
-shares the most postings with it and the least edited one, and only the lines that
-this leaves are joined with all.
+into pairs: each line is first verified against one line before it, of those that
+came first with the same least hashes of their prefixes the one of the nearest
+parity. Only the lines that this leaves open are joined with all.
 """
 
 from __future__ import annotations
@@ -25,25 +24,25 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernloom.llm.common import SPACED_LOWER, Texts, Words, in_sorted, lists, mixed, sent, signed, table, texts, window_hashes, words
+from fernloom.llm.common import SPACED_LOWER, Texts, Words, lists, mixed, sent, signed, table, texts, words
 
-#: Jaccard of two lines from which the later one goes, and words of a shingle.
-PERCENT, SHINGLE = 75, 5
+#: Jaccard of two lines from which the later one goes.
+PERCENT = 75
 #: The most frequent tokens, whose order by count is known everywhere: 8 bytes each.
-FREQUENT = 1 << 16
-#: Shared prefix tokens that a pair must have before it is verified, where its sizes allow to ask for so many.
-SHARED = 3
-#: Bits of a token; frequent ones have the highest one and their rank.
-BITS = 43
-#: Removed lines (4 bytes each) up to which they are sent to the executors; beyond, they are joined by shuffle.
+FREQUENT = 1 << 18
+#: Distinct tokens that a task counts before it passes the counts on.
+COUNTED = 1 << 22
+#: Least hashes of a prefix by which a first line to compare with is looked up.
+SEEDS = (1, 2, 3)
+#: Removed or repeated lines (16 bytes each) up to which they are sent to the executors; beyond, they are joined by shuffle.
 SEND_LINES = 1 << 20
 
 
 class LineSets(NamedTuple):
-    """Rows and numbers of the lines that have shingles; their token sets, each sorted by rarity; where each set starts."""
+    """Rows and numbers of the lines that have words; their token sets, each sorted by rarity; where each set starts."""
 
     row: np.ndarray
     line: np.ndarray
@@ -55,65 +54,64 @@ class LineSets(NamedTuple):
         return np.arange(len(self.tokens)) - np.repeat(self.cuts[:-1], np.diff(self.cuts))
 
 
-def _tokens(x: Texts, w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, line in all texts and hash (its BITS high bits) of each shingle within a line. w: the words of x."""
-    line, row = np.searchsorted(np.flatnonzero(x.data == 10), w.starts), w.rows()
-    m = max(0, len(row) - k + 1)
-    inside = (row[:m] == row[k - 1 :]) & (line[:m] == line[k - 1 :])
-    return row[:m][inside], line[:m][inside], window_hashes(w.hashes, k)[inside] >> np.uint64(64 - BITS)
-
-
-def _short_lines(x: Texts, w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, line in its text and hash of the words of each line of fewer than k words, but not none."""
+def _sets(group: np.ndarray, tokens: np.ndarray, known: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of each group (numbers that don't fall), rare ones first, and where each group starts. known: sorted frequent tokens."""
+    key = tokens >> np.uint64(1)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        key = np.where(known[at] == tokens, rank[at] | np.uint64(1 << 63), key)
+    order = np.lexsort((tokens, key, group))
+    group, tokens = group[order], tokens[order]
+    keep = np.ones(len(tokens), bool)
+    keep[1:] = (tokens[1:] != tokens[:-1]) | (group[1:] != group[:-1])
+    group, tokens = group[keep], tokens[keep]
+    return tokens, np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64), len(tokens))
+
+
+def _line_sets(x: Texts, w: Words, known: np.ndarray, rank: np.ndarray) -> LineSets:
+    """The line sets of some texts. w: the words of x."""
     breaks = np.flatnonzero(x.data == 10)
     line, row = np.searchsorted(breaks, w.starts), w.rows()
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
     at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(row)))
-    at, n = at[n < k], n[n < k]
-    token = np.zeros(len(at), np.uint64)
-    for size in range(1, k):
-        token[n == size] = mixed(window_hashes(w.hashes, size)[at[n == size]] + np.uint64(size))
-    return row[at], line[at] - np.searchsorted(breaks, x.at[:-1])[row[at]], token
+    tokens, cuts = _sets(np.cumsum(new), w.hashes, known, rank)
+    return LineSets(row[at], line[at] - np.searchsorted(breaks, x.at[:-1])[row[at]], tokens, cuts)
 
 
-def _line_sets(x: Texts, w: Words, k: int, known: np.ndarray, rank: np.ndarray) -> Iterator[LineSets]:
-    """The line sets of some texts, in blocks of lines. known: sorted frequent tokens."""
-    row, line, token = _tokens(x, w, k)
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
-    first = np.searchsorted(np.flatnonzero(x.data == 10), x.at[:-1])
-    if len(known):
-        at = np.minimum(np.searchsorted(known, token), len(known) - 1)
-        token = np.where(known[at] == token, rank[at] | np.uint64(1 << BITS), token)
-    begins = np.flatnonzero(new)
-    # a line's number in its block and the token make one sortable key
-    block = 1 << (63 - BITS)
-    for a in range(0, len(begins), block):
-        b = min(a + block, len(begins))
-        lo, hi = begins[a], begins[b] if b < len(begins) else len(token)
-        key = (np.cumsum(new[lo:hi]) - 1).astype(np.uint64) << np.uint64(BITS + 1) | token[lo:hi]
-        key.sort()
-        keep = np.ones(len(key), bool)
-        keep[1:] = key[1:] != key[:-1]
-        key = key[keep]
-        r, of = row[begins[a:b]], line[begins[a:b]]
-        yield LineSets(r, of - first[r], key & np.uint64((1 << (BITS + 1)) - 1), np.searchsorted(key >> np.uint64(BITS + 1), np.arange(b - a + 1)))
-
-
-def frequent_tokens(documents: DataFrame, k: int = SHINGLE, most: int = FREQUENT) -> np.ndarray:
-    """The most frequent tokens, least frequent first. Which they are changes only the order."""
+def frequent_tokens(documents: DataFrame, most: int = FREQUENT) -> np.ndarray:
+    """The most frequent tokens, least frequent first. Which they are changes only the order.
+
+    Every text is counted; a task passes on what it has counted twice or more, so a
+    count is short by at most one for each task.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts, size = [], [], 0
+
+        def summed():
+            key, back = np.unique(np.concatenate(tokens), return_inverse=True)
+            return key, np.bincount(back, np.concatenate(counts)).astype(np.int64)
+
         for batch in batches:
             for x in texts(batch):
-                key, n = np.unique(_tokens(x, words(x, SPACED_LOWER), k)[2], return_counts=True)
-                yield pa.record_batch({"token": signed(key)[n > 1], "n": n[n > 1]})
+                key, n = np.unique(words(x, SPACED_LOWER).hashes, return_counts=True)
+                tokens.append(key)
+                counts.append(n)
+                size += len(key)
+                if size > COUNTED:
+                    key, n = summed()
+                    if len(key) > COUNTED // 2:
+                        yield pa.record_batch({"token": signed(key)[n > 1], "n": n[n > 1]})
+                        key, n = key[:0], n[:0]
+                    tokens, counts, size = [key], [n], len(key)
+        if tokens:
+            key, n = summed()
+            yield pa.record_batch({"token": signed(key)[n > 1], "n": n[n > 1]})
 
     counts = documents.select("text").mapInArrow(of, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(most).collect()
-    return np.array([r["token"] for r in reversed(top)], np.uint64)
+    top = counts.orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()["token"].to_numpy()
+    return top[::-1].astype(np.int64).view(np.uint64)
 
 
 def _ranked(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,138 +119,141 @@ def _ranked(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[rank.astype(np.int64)], rank
 
 
-def _digested(tokens: np.ndarray) -> list[np.ndarray]:
-    return [mixed(tokens * np.uint64(c) + np.uint64(c)) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-
-
-def _lines(documents: DataFrame, k: int, percent: int, order: np.ndarray, short: bool) -> DataFrame:
-    """(n, c1, c2, doc_id, line, prefix): each judged line, two digests of its set, and the prefix of the set, none for a short line."""
+def _lines(documents: DataFrame, percent: int, order: np.ndarray) -> DataFrame:
+    """(n, c1, c2, parity, doc_id, line, prefix): each line with a word, two digests and the parity of its set, and the set's prefix."""
     known, rank = _ranked(order)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in texts(batch):
-                w = words(x, SPACED_LOWER)
-                if short:
-                    row, line, token = _short_lines(x, w, k)
-                    digests, none = _digested(token), np.zeros(len(row), np.int64)
-                    yield pa.record_batch(
-                        {
-                            "n": pa.array(none + 1, pa.int32()),
-                            "c1": signed(digests[0]),
-                            "c2": signed(digests[1]),
-                            "doc_id": batch.column(0).take(pa.array(row + x.first)),
-                            "line": pa.array(line, pa.int32()),
-                            "prefix": lists(signed(token[:0]), np.append(0, none), pa.int64()),
-                        }
-                    )
-                for s in _line_sets(x, w, k, known, rank):
-                    n = np.diff(s.cuts)
-                    digests = [np.add.reduceat(d, s.cuts[:-1]) for d in _digested(s.tokens)]
-                    some = n - (percent * n + 99) // 100 + 1
-                    yield pa.record_batch(
-                        {
-                            "n": pa.array(n, pa.int32()),
-                            "c1": signed(digests[0]),
-                            "c2": signed(digests[1]),
-                            "doc_id": batch.column(0).take(pa.array(s.row + x.first)),
-                            "line": pa.array(s.line, pa.int32()),
-                            "prefix": lists(signed(s.tokens[s.within() < np.repeat(some, n)]), np.append(0, np.cumsum(some)), pa.int64()),
-                        }
-                    )
+                s = _line_sets(x, words(x, SPACED_LOWER), known, rank)
+                if not len(s.tokens):
+                    continue
+                n = np.diff(s.cuts)
+                digests = [np.add.reduceat(mixed(s.tokens * np.uint64(c) + np.uint64(c)), s.cuts[:-1]) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+                some = n - (percent * n + 99) // 100 + 1
+                yield pa.record_batch(
+                    {
+                        "n": pa.array(n, pa.int32()),
+                        "c1": signed(digests[0]),
+                        "c2": signed(digests[1]),
+                        "parity": signed(np.bitwise_xor.reduceat(np.uint64(1) << (s.tokens & np.uint64(63)), s.cuts[:-1])),
+                        "doc_id": batch.column(0).take(pa.array(s.row + x.first)),
+                        "line": pa.array(s.line, pa.int32()),
+                        "prefix": lists(signed(s.tokens[s.within() < np.repeat(some, n)]), np.append(0, np.cumsum(some)), pa.int64()),
+                    }
+                )
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "text").mapInArrow(of, f"n int, c1 bigint, c2 bigint, doc_id {kind}, line int, prefix array<bigint>")
+    return documents.select("doc_id", "text").mapInArrow(of, f"n int, c1 bigint, c2 bigint, parity bigint, doc_id {kind}, line int, prefix array<bigint>")
+
+
+def _alike(percent: int) -> Column:
+    """The length filter, and what the parities leave possible, for sets x and y of pairs."""
+    length = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    return length & (F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= F.col("x.n") + F.col("y.n") - 2 * _common(percent))
 
 
-def later_lines(documents: DataFrame, percent: int = PERCENT, k: int = SHINGLE, frequent: int = FREQUENT, short: bool = False) -> DataFrame:
+def _common(percent: int) -> Column:
+    """Tokens that two sets of these sizes must share."""
+    return F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+
+
+def _before() -> Column:
+    return (F.col("x.doc_id") < F.col("y.doc_id")) | ((F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.line") < F.col("y.line")))
+
+
+def _pair() -> list[Column]:
+    return [F.col("x.doc_id").alias("a"), F.col("x.line").alias("al"), F.col("x.n").alias("p"), F.col("y.doc_id").alias("b"), F.col("y.line").alias("bl"), F.col("y.n").alias("q")]
+
+
+def _first_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """For each row at most one pair to verify: with the row of the nearest parity among the first ones of its prefix's least hashes and size class."""
+    least = [F.xxhash64(F.lit(seed), F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))), F.array_min(F.transform("prefix", lambda t, s=seed: F.xxhash64(t, F.lit(s))))) for seed in SEEDS]
+    keyed = rows.select("doc_id", "line", "n", "parity", F.explode(F.array(*least)).alias("key"))
+    first = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "line", "n", "parity")).alias("x"), F.count("*").alias("many")).where("many > 1").select("key", "x.*")
+    near = keyed.alias("y").join(first.alias("x"), "key").where(_before() & _alike(percent))
+    bits = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
+    near = near.select(*_pair(), bits.alias("bits")).groupBy("b", "bl", "q").agg(F.min(F.struct("bits", "a", "al", "p")).alias("x"))
+    return near.select("x.a", "x.al", "x.p", "b", "bl", "q")
+
+
+def later_lines(documents: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, line): the lines of each document, numbered from 0, that a line before is similar to."""
     docs = documents.select("doc_id", "text").where("doc_id is not null")
-    order = frequent_tokens(docs, k, frequent)
-    lines = table(_lines(docs, k, percent, order, short))
-    classes = lines.groupBy("n", "c1", "c2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
-    post = classes.select("n", "at.doc_id", "at.line", F.posexplode("prefix").alias("i", "token"))
-    post = post.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df")
-    # of its prefix the tokens that no other line has: the fewer, the less a line is edited
-    size = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    post = table(post.withColumn("alone", size - F.count("*").over(Window.partitionBy("doc_id", "line"))))
-    # first two lines before: the nearest in each posting that most of a line's postings name, and the least edited
-    by = Window.partitionBy("token").orderBy("doc_id", "line")
-    nearest = F.lag(F.struct("alone", "doc_id", "line", "n")).over(by)
-    plainest = F.min(F.struct("alone", "doc_id", "line", "n")).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    x = post.select("doc_id", "line", "n", nearest.alias("x1"), plainest.alias("x2")).where("x1 is not null")
-    x = x.select("doc_id", "line", "n", F.explode(F.array(F.struct(F.lit(1).alias("kind"), F.col("x1").alias("x")), F.struct(F.lit(2).alias("kind"), F.col("x2").alias("x")))).alias("c"))
-    x = x.select("c.kind", F.col("c.x.alone").alias("alone"), F.col("c.x.doc_id").alias("a"), F.col("c.x.line").alias("al"), F.col("c.x.n").alias("p"), F.col("doc_id").alias("b"), F.col("line").alias("bl"), F.col("n").alias("q"))
-    x = x.where(100 * F.least("p", "q") >= percent * F.greatest("p", "q")).groupBy("kind", "alone", "a", "al", "p", "b", "bl", "q").agg(F.count("*").alias("seen"))
-    best = F.when(F.col("kind") == 1, F.col("seen")).otherwise(-F.col("alone"))
-    x = x.groupBy("kind", "b", "bl", "q").agg(F.max(F.struct(best.alias("best"), "a", "al", "p")).alias("x"))
-    gone = table(_verified(table(x.select("x.a", "x.al", "b", "bl", "x.p", "q").distinct()), docs, percent, k, order).distinct())
-    # then all pairs whose later line is left; a pair's first shared token is at places i and j of its prefixes
-    left = post.join(gone, ["doc_id", "line"], "left_anti")
-    x = post.select("token", F.col("n").alias("p"), F.col("doc_id").alias("a"), F.col("line").alias("al"), "i")
-    y = left.select(F.col("token").alias("t"), F.col("n").alias("q"), F.col("doc_id").alias("b"), F.col("line").alias("bl"), F.col("i").alias("j"))
-    common = F.ceil((F.col("p") + F.col("q")) * percent / (100 + percent))
-    before = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("al") < F.col("bl")))
-    length = 100 * F.least("p", "q") >= percent * F.greatest("p", "q")
-    # as many shared tokens as their sizes prove, up to SHARED, within prefixes that are longer by one less
-    proof = F.least(F.lit(SHARED), 1 + common - F.floor((F.greatest("p", "q") * percent + 99) / 100))
-    prefix = (F.col("i") < F.col("p") - common + proof) & (F.col("j") < F.col("q") - common + proof)
-    position = F.least("i", "j") + F.least(F.col("p") - F.col("i"), F.col("q") - F.col("j")) >= common
-    found = x.join(y, (F.col("token") == F.col("t")) & before & length & prefix & position)
-    pairs = table(found.groupBy("a", "al", "b", "bl", "p", "q").agg(F.count("*").alias("shared")).where(F.col("shared") >= proof).drop("shared"))
-    near = _verified(pairs, docs, percent, k, order)
-    repeated = classes.where("copies > 1").select("n", "c1", "c2", "at")
-    copies = lines.select("n", "c1", "c2", "doc_id", "line").join(repeated, ["n", "c1", "c2"]).where(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line")
-    return copies.union(gone).union(near).distinct()
-
-
-def _verified(pairs: DataFrame, documents: DataFrame, percent: int, k: int, order: np.ndarray) -> DataFrame:
+    order = frequent_tokens(docs, frequent)
+    lines = table(_lines(docs, percent, order))
+    repeated = lines.groupBy("n", "c1", "c2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("many")).where("many > 1").drop("many")
+    copies = table(lines.select("n", "c1", "c2", "doc_id", "line").join(sent(repeated, SEND_LINES), ["n", "c1", "c2"]).where(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line", "c1"))
+    rows = lines.join(sent(copies, SEND_LINES), ["doc_id", "line", "c1"], "left_anti").select("doc_id", "line", "n", "parity", "prefix")
+    gone = table(_verified(table(_first_pairs(rows, percent)), docs, percent).distinct())
+    known = sent(gone, SEND_LINES)
+    # then the lines that this leaves open with each other and with those that went; their first shared token is at places i and j
+    here = ["doc_id", "line"]
+    post = lambda r: r.select(*here, "n", "parity", F.posexplode("prefix").alias("i", "token"))
+    left, went = post(rows.join(known, here, "left_anti")), post(rows.join(known, here, "left_semi"))
+    place = (F.col("x.i") <= F.col("x.n") - _common(percent)) & (F.col("y.i") <= F.col("y.n") - _common(percent))
+    found = [x.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & _before() & _alike(percent) & place).select(*_pair()) for x in (left, went)]
+    near = _verified(table(found[0].union(found[1]).distinct()), docs, percent)
+    return copies.select(*here).union(gone).union(near).distinct()
+
+
+def _picked(x: Texts, wanted: pa.ListArray) -> tuple[Texts, np.ndarray, np.ndarray]:
+    """The wanted lines of some texts as texts of their own, and the row and line of each. wanted: line numbers of each row, sorted."""
+    breaks = np.flatnonzero(x.data == 10)
+    first = np.searchsorted(breaks, x.at)
+    counts = np.diff(wanted.offsets.to_numpy())
+    row, line = np.repeat(np.arange(len(counts)), counts), wanted.flatten().to_numpy().astype(np.int64)
+    # rows that repeat a doc_id with another text may have fewer lines
+    there = line <= first[row + 1] - first[row]
+    row, line = row[there], line[there]
+    edges = np.append(breaks, len(x.data))
+    lo = np.where(line == 0, x.at[row], edges[np.minimum(first[row] + line - 1, len(edges) - 1)] + 1)
+    hi = np.where(line == first[row + 1] - first[row], x.at[row + 1], edges[np.minimum(first[row] + line, len(edges) - 1)])
+    data = [x.data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+    return Texts(0, np.concatenate([np.zeros(0, np.uint8), *data]), np.append(0, np.cumsum(hi - lo))), row, line
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """(doc_id, line) of the later line of those pairs whose sets are alike enough."""
     wanted = pairs.select(F.col("a").alias("doc_id"), F.col("al").alias("line")).union(pairs.select("b", "bl")).distinct()
     wanted = table(wanted.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines")))
-    known, rank = _ranked(order)
+    none = np.zeros(0, np.uint64)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines_of = batch.column(2)
             for x in texts(batch):
-                for s in _line_sets(x, words(x, SPACED_LOWER), k, known, rank):
-                    at = np.searchsorted(s.row, np.arange(len(x.at)))
-                    pick = np.concatenate([np.zeros(0, bool), *(in_sorted(s.line[at[i] : at[i + 1]], lines_of[x.first + i].values.to_numpy()) for i in range(len(x.at) - 1))])
-                    n = np.diff(s.cuts)
-                    yield pa.record_batch(
-                        {
-                            "doc_id": batch.column(0).take(pa.array(s.row[pick] + x.first)),
-                            "line": pa.array(s.line[pick], pa.int32()),
-                            "tokens": lists(signed(s.tokens[np.repeat(pick, n)]), np.append(0, np.cumsum(n[pick])), pa.int64()),
-                        }
-                    )
+                lines, row, line = _picked(x, batch.column(2).slice(x.first, len(x.at) - 1))
+                w = words(lines, SPACED_LOWER)
+                tokens, cuts = _sets(w.rows(), w.hashes, none, none)
+                some = np.unique(w.rows())
+                yield pa.record_batch({"doc_id": batch.column(0).take(pa.array(row[some] + x.first)), "line": pa.array(line[some], pa.int32()), "tokens": lists(signed(tokens), cuts, pa.int64())})
 
     kind = dict(documents.dtypes)["doc_id"]
     sets = documents.join(sent(wanted), "doc_id").select("doc_id", "text", "lines").mapInArrow(of, f"doc_id {kind}, line int, tokens array<bigint>")
-    sets = table(sets.dropDuplicates(["doc_id", "line"]))
+    sets = table(sets.distinct())
     both = pairs.join(sets.toDF("a", "al", "s"), ["a", "al"]).join(sets.toDF("b", "bl", "t"), ["b", "bl"])
-    both = both.withColumn("common", F.size(F.array_intersect("s", "t")))
+    both = both.select("b", "bl", F.size("s").alias("p"), F.size("t").alias("q"), F.size(F.array_intersect("s", "t")).alias("common"))
     return both.where(100 * F.col("common") >= percent * (F.col("p") + F.col("q") - F.col("common"))).select(F.col("b").alias("doc_id"), F.col("bl").alias("line"))
 
 
-def line_dedup(documents: DataFrame, percent: int = PERCENT, k: int = SHINGLE, frequent: int = FREQUENT, short: bool = False) -> DataFrame:
+def line_dedup(documents: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     r"""Each row of documents with kept (its text without later similar lines), n_lines and n_removed.
 
     Lines end at \n; words are `[^\x20\x09-\x0D]+` after A-Z went to lower case. A
-    line of at least k words goes if a line before it, in a document of smaller
-    doc_id or above it in its own, has a Jaccard of k-word shingles of percent/100 or
-    more; lines are judged on the input. With short, a line of fewer words, but not
-    none, goes if a line before it has the same words; without, it stays. Null texts have no
+    line with a word goes if a line before it, in a document of smaller doc_id or
+    above it in its own, has a Jaccard of distinct words of percent/100 or more;
+    lines are judged on the input. Lines without a word stay. Null texts have no
     line and kept is null; an empty text has one empty line, which stays. Rows that
     repeat a doc_id are judged as one document: a line at the same place in both
-    is the same line. Rows without doc_id stay as they are. Extra columns stay,
-    but for those named like a new one, which it replaces.
+    is the same line, which goes if it does in either. Rows without doc_id stay as
+    they are. Extra columns stay, but for those named like a new one, which it
+    replaces.
     """
     made = ["kept", "n_lines", "n_removed"]
     names = [c for c in documents.columns if c not in made]
     documents = documents.select(*names)
-    gone = table(later_lines(documents, percent, k, frequent, short))
+    gone = table(later_lines(documents, percent, frequent))
     few = gone.limit(SEND_LINES + 1).count() <= SEND_LINES
     gone = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("_fernloom_lines"))
     gone = F.broadcast(gone) if few else gone
@@ -265,5 +266,22 @@ def line_dedup(documents: DataFrame, percent: int = PERCENT, k: int = SHINGLE, f
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    found = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short=True)
+    found = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: DuckDB: word sets of the lines, pairs that share a word of both prefixes, whole sets compared.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+i AS (SELECT doc_id, l, unnest(range(0, len(l))) AS i FROM d WHERE text IS NOT NULL),
+s AS MATERIALIZED (SELECT doc_id, i, list_sort(list_distinct(regexp_extract_all(translate(l[i + 1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS w FROM i),
+c AS MATERIALIZED (SELECT w, min({'d': doc_id, 'i': i}) AS pos, len(w) AS n FROM s WHERE len(w) > 0 GROUP BY w),
+f AS (SELECT word, count(*) AS df FROM (SELECT unnest(w) AS word FROM c) GROUP BY word),
+u AS (SELECT pos, n, word, row_number() OVER (PARTITION BY pos ORDER BY df, word) AS r FROM (SELECT pos, n, unnest(w) AS word FROM c) JOIN f USING (word)),
+p AS MATERIALIZED (SELECT pos, n, word FROM u WHERE r <= n - (75 * n + 99) // 100 + 1),
+q AS (SELECT DISTINCT x.pos AS a, y.pos AS b FROM p x JOIN p y ON x.word = y.word AND x.pos < y.pos AND 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)),
+g AS (SELECT DISTINCT b FROM q JOIN c x ON x.pos = a JOIN c y ON y.pos = b WHERE 100 * len(list_intersect(x.w, y.w)) >= 75 * (x.n + y.n - len(list_intersect(x.w, y.w)))),
+r AS (SELECT s.doc_id, s.i FROM s JOIN c USING (w) LEFT JOIN g ON g.b = c.pos WHERE c.pos <> {'d': s.doc_id, 'i': s.i} OR g.b IS NOT NULL),
+k AS (SELECT doc_id, count(*) FILTER (r.i IS NOT NULL) AS gone, string_agg(l[i + 1], chr(10) ORDER BY i) FILTER (r.i IS NULL) AS kept FROM i LEFT JOIN r USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

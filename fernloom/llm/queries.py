@@ -23,4 +23,5 @@ ORACLE_SQL = {
     "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
+    "op10_line_dedup": line_dedup.OP10_SQL,
 }
