@@ -7,14 +7,14 @@ by their count over all texts, the others first, by hash. Two sets with a Jaccar
 at least 0.75 share a token in prefixes whose lengths follow from the two sizes
 (prefix filter); their sizes differ by at most a quarter (length filter), and from
 the place of the first shared token on each must have enough tokens left
-(positional filter). A 64-bit parity of each set bounds the symmetric difference
+(positional filter). A 90-bit parity of each set bounds the symmetric difference
 from below, which drops most pairs of unlike lines inside the join. Pairs are
 verified on whole sets. A line goes if a line before it is similar enough.
 
 Only whether such a line exists counts, so a family of near copies isn't expanded
-into pairs: each line is first verified against one line before it, of those that
-came first with the same least hashes of their prefixes the one of the nearest
-parity. Only the lines that this leaves open are joined with all.
+into pairs: each line is first verified against one line before it, of the first
+and the least edited ones with the same least hashes or frequent prefix tokens the
+one of the nearest parity, or where that fails against a few more. Only the lines that this leaves open are joined with all.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernloom.llm.common import SPACED_LOWER, Texts, Words, lists, mixed, sent, signed, table, texts, words
+from fernloom.llm.common import SPACED_LOWER, Texts, Words, in_sorted, lists, mixed, sent, signed, table, texts, words
 
 #: Jaccard of two lines from which the later one goes.
 PERCENT = 75
@@ -35,8 +35,14 @@ PERCENT = 75
 FREQUENT = 1 << 18
 #: Distinct tokens that a task counts before it passes the counts on.
 COUNTED = 1 << 22
-#: Least hashes of a prefix by which a first line to compare with is looked up.
-SEEDS = (1, 2, 3)
+#: Least hashes of a set by which a first line to compare with is looked up; they leave out the more frequent three eighths of the set.
+SEEDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+#: The most frequent tokens, which in a prefix hint at a family of near copies and are keys of the same kind.
+HOT = 1 << 15
+#: Lines of a key that a line is compared with where the first and the least edited one differ too much.
+PICKS = 6
+#: Bits of a posting's size and place, beside which it has 26 of the parity; larger sizes count as the greatest and aren't bounded by place.
+SIZE_BITS, PLACE_BITS = 20, 18
 #: Removed or repeated lines (16 bytes each) up to which they are sent to the executors; beyond, they are joined by shuffle.
 SEND_LINES = 1 << 20
 
@@ -119,9 +125,23 @@ def _ranked(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[rank.astype(np.int64)], rank
 
 
+def _rarity(tokens: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """How many of the known tokens are more frequent."""
+    if not len(known):
+        return np.zeros(len(tokens))
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return len(known) - np.where(known[at] == tokens, rank[at].astype(np.int64) + 1, 0)
+
+
 def _lines(documents: DataFrame, percent: int, order: np.ndarray) -> DataFrame:
-    """(n, c1, c2, parity, doc_id, line, prefix): each line with a word, two digests and the parity of its set, and the set's prefix."""
+    """(n, c1, c2, parity, size, edits, keys, doc_id, line, prefix) of each line with a word.
+
+    c1 and c2 are two digests of its set, parity 64 bits of the set's parity and size
+    another 26 with the number of its tokens; edits grows with the rarity of the words; keys are least hashes and the frequent
+    tokens of the set's prefix, of which similar sets mostly share some.
+    """
     known, rank = _ranked(order)
+    plain = np.sort(order[-HOT:])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,34 +149,66 @@ def _lines(documents: DataFrame, percent: int, order: np.ndarray) -> DataFrame:
                 s = _line_sets(x, words(x, SPACED_LOWER), known, rank)
                 if not len(s.tokens):
                     continue
-                n = np.diff(s.cuts)
-                digests = [np.add.reduceat(mixed(s.tokens * np.uint64(c) + np.uint64(c)), s.cuts[:-1]) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+                n, begin, t = np.diff(s.cuts), s.cuts[:-1], s.tokens
+                digests = [np.add.reduceat(mixed(t * np.uint64(c) + np.uint64(c)), begin) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+                # a token turns one of the bits of the two numbers
+                bit = t % np.uint64(128 - SIZE_BITS - PLACE_BITS)
+                parity, extra = (np.bitwise_xor.reduceat(np.where(own, np.uint64(1) << at % np.uint64(64), np.uint64(0)), begin) for own, at in ((bit < 64, bit), (bit >= 64, bit)))
+                size = extra << np.uint64(SIZE_BITS + PLACE_BITS) | np.minimum(n, (1 << SIZE_BITS) - 1).astype(np.uint64)
+                within = s.within()
                 some = n - (percent * n + 99) // 100 + 1
+                prefix = within < np.repeat(some, n)
+                common = np.where(within < np.repeat(np.maximum(1, 5 * n // 8), n), np.uint64(0), np.uint64(1 << 63))
+                least = [np.minimum.reduceat(mixed(t ^ np.uint64(c)) >> np.uint64(1) | common, begin) for c in SEEDS]
+                hot = prefix & in_sorted(t, plain)
+                of_key = np.concatenate([*[np.arange(len(n))] * len(SEEDS), np.repeat(np.arange(len(n)), n)[hot]])
+                by_line = np.argsort(of_key, kind="stable")
+                keys = np.concatenate([*least, t[hot]])[by_line]
+                # the mean rarity of a line's words: in a family of near copies the less a line is edited, the less
+                edits = 1000 * np.add.reduceat(np.log2(1 + _rarity(t, known, rank)), begin) / n
                 yield pa.record_batch(
                     {
                         "n": pa.array(n, pa.int32()),
                         "c1": signed(digests[0]),
                         "c2": signed(digests[1]),
-                        "parity": signed(np.bitwise_xor.reduceat(np.uint64(1) << (s.tokens & np.uint64(63)), s.cuts[:-1])),
+                        "parity": signed(parity),
+                        "size": signed(size),
+                        "edits": pa.array(edits.astype(np.int32), pa.int32()),
+                        "keys": lists(signed(keys), np.searchsorted(of_key[by_line], np.arange(len(n) + 1)), pa.int64()),
                         "doc_id": batch.column(0).take(pa.array(s.row + x.first)),
                         "line": pa.array(s.line, pa.int32()),
-                        "prefix": lists(signed(s.tokens[s.within() < np.repeat(some, n)]), np.append(0, np.cumsum(some)), pa.int64()),
+                        "prefix": lists(signed(t[prefix]), np.append(0, np.cumsum(some)), pa.int64()),
                     }
                 )
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "text").mapInArrow(of, f"n int, c1 bigint, c2 bigint, parity bigint, doc_id {kind}, line int, prefix array<bigint>")
+    return documents.select("doc_id", "text").mapInArrow(of, f"n int, c1 bigint, c2 bigint, parity bigint, size bigint, edits int, keys array<bigint>, doc_id {kind}, line int, prefix array<bigint>")
 
 
-def _alike(percent: int) -> Column:
-    """The length filter, and what the parities leave possible, for sets x and y of pairs."""
-    length = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    return length & (F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= F.col("x.n") + F.col("y.n") - 2 * _common(percent))
+def _bits(c: Column, low: int, n: int) -> Column:
+    return F.shiftrightunsigned(c, low).bitwiseAND(F.lit((1 << n) - 1))
+
+
+def _n(side: str) -> Column:
+    """Tokens of a side's set."""
+    return _bits(F.col(f"{side}.size"), 0, SIZE_BITS)
+
+
+def _apart() -> Column:
+    """Tokens that the sets of a pair don't share, at least."""
+    low = SIZE_BITS + PLACE_BITS
+    return F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) + F.bit_count(F.shiftrightunsigned(F.col("x.size"), low).bitwiseXOR(F.shiftrightunsigned(F.col("y.size"), low)))
 
 
 def _common(percent: int) -> Column:
-    """Tokens that two sets of these sizes must share."""
-    return F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    """Tokens that the sets of a pair must share."""
+    return F.ceil((_n("x") + _n("y")) * percent / (100 + percent))
+
+
+def _alike(percent: int) -> Column:
+    """The length filter, and what the parities leave possible."""
+    length = 100 * F.least(_n("x"), _n("y")) >= percent * F.greatest(_n("x"), _n("y"))
+    return length & (_apart() <= _n("x") + _n("y") - 2 * _common(percent))
 
 
 def _before() -> Column:
@@ -164,18 +216,24 @@ def _before() -> Column:
 
 
 def _pair() -> list[Column]:
-    return [F.col("x.doc_id").alias("a"), F.col("x.line").alias("al"), F.col("x.n").alias("p"), F.col("y.doc_id").alias("b"), F.col("y.line").alias("bl"), F.col("y.n").alias("q")]
+    return [F.col("x.doc_id").alias("a"), F.col("x.line").alias("al"), F.col("y.doc_id").alias("b"), F.col("y.line").alias("bl")]
 
 
-def _first_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """For each row at most one pair to verify: with the row of the nearest parity among the first ones of its prefix's least hashes and size class."""
-    least = [F.xxhash64(F.lit(seed), F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))), F.array_min(F.transform("prefix", lambda t, s=seed: F.xxhash64(t, F.lit(s))))) for seed in SEEDS]
-    keyed = rows.select("doc_id", "line", "n", "parity", F.explode(F.array(*least)).alias("key"))
-    first = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "line", "n", "parity")).alias("x"), F.count("*").alias("many")).where("many > 1").select("key", "x.*")
-    near = keyed.alias("y").join(first.alias("x"), "key").where(_before() & _alike(percent))
-    bits = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
-    near = near.select(*_pair(), bits.alias("bits")).groupBy("b", "bl", "q").agg(F.min(F.struct("bits", "a", "al", "p")).alias("x"))
-    return near.select("x.a", "x.al", "x.p", "b", "bl", "q")
+def _keyed(rows: DataFrame) -> DataFrame:
+    """The lines under each of their keys in their size class, where another line has the key too."""
+    keyed = rows.select("doc_id", "line", "parity", "size", "edits", F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("class"), F.explode("keys").alias("key"))
+    keyed = keyed.select("doc_id", "line", "parity", "size", "edits", F.xxhash64("class", "key").alias("key"))
+    shared = table(keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"))
+    return keyed.join(sent(shared), "key", "left_semi")
+
+
+def _some_pairs(asked: DataFrame, keyed: DataFrame, by: list[Column], percent: int) -> DataFrame:
+    """Pairs of the asked lines with lines before that are the least of their key, by any of some columns, with what the parities say."""
+    least = [F.min(F.struct(c.alias("by"), "doc_id", "line", "parity", "size")).dropFields("by").alias(f"x{i}") for i, c in enumerate(by)]
+    first = keyed.groupBy("key").agg(*least)
+    first = table(first.select("key", F.explode(F.array_distinct(F.array(*(f"x{i}" for i in range(len(by)))))).alias("x")).select("key", "x.*"))
+    near = asked.alias("y").join(sent(first).alias("x"), "key").where(_before() & _alike(percent))
+    return near.select(*_pair(), _apart().alias("apart"))
 
 
 def later_lines(documents: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
@@ -185,15 +243,29 @@ def later_lines(documents: DataFrame, percent: int = PERCENT, frequent: int = FR
     lines = table(_lines(docs, percent, order))
     repeated = lines.groupBy("n", "c1", "c2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("many")).where("many > 1").drop("many")
     copies = table(lines.select("n", "c1", "c2", "doc_id", "line").join(sent(repeated, SEND_LINES), ["n", "c1", "c2"]).where(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line", "c1"))
-    rows = lines.join(sent(copies, SEND_LINES), ["doc_id", "line", "c1"], "left_anti").select("doc_id", "line", "n", "parity", "prefix")
-    gone = table(_verified(table(_first_pairs(rows, percent)), docs, percent).distinct())
+    rows = lines.join(sent(copies, SEND_LINES), ["doc_id", "line", "c1"], "left_anti")
+    here, keyed = ["doc_id", "line"], _keyed(rows)
+    # a line before under the same keys: of the first and the least edited ones that of the nearest parity
+    pairs = _some_pairs(keyed, keyed, [F.struct(*here), F.col("edits")], percent)
+    pairs = pairs.groupBy("b", "bl").agg(F.min(F.struct("apart", "a", "al")).alias("x"))
+    pairs = table(pairs.select("x.a", "x.al", "b", "bl"))
+    gone = table(_verified(pairs, docs, percent).distinct())
+    # where that one differs too much, some that hashes pick
+    asked = table(pairs.select(F.col("b").alias("doc_id"), F.col("bl").alias("line")).join(sent(gone, SEND_LINES), here, "left_anti"))
+    asked = table(keyed.join(sent(asked, SEND_LINES), here, "left_semi"))
+    pairs = _some_pairs(asked, keyed.join(sent(table(asked.select("key").distinct())), "key", "left_semi"), [F.xxhash64(*here, F.lit(i)) for i in range(PICKS)], percent)
+    gone = table(gone.union(_verified(table(pairs.drop("apart").distinct()), docs, percent)).distinct())
     known = sent(gone, SEND_LINES)
     # then the lines that this leaves open with each other and with those that went; their first shared token is at places i and j
-    here = ["doc_id", "line"]
-    post = lambda r: r.select(*here, "n", "parity", F.posexplode("prefix").alias("i", "token"))
+
+    def post(r: DataFrame) -> DataFrame:
+        p = r.select(*here, "parity", "size", F.posexplode("prefix").alias("i", "token"))
+        place = F.shiftleft(F.least(F.col("i"), F.lit((1 << PLACE_BITS) - 1)).cast("long"), SIZE_BITS)
+        return p.select(*here, "parity", F.col("size").bitwiseOR(place).alias("size"), "token")
+
     left, went = post(rows.join(known, here, "left_anti")), post(rows.join(known, here, "left_semi"))
-    place = (F.col("x.i") <= F.col("x.n") - _common(percent)) & (F.col("y.i") <= F.col("y.n") - _common(percent))
-    found = [x.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & _before() & _alike(percent) & place).select(*_pair()) for x in (left, went)]
+    place = [(_n(s) == (1 << SIZE_BITS) - 1) | (_bits(F.col(f"{s}.size"), SIZE_BITS, PLACE_BITS) <= _n(s) - _common(percent)) for s in ("x", "y")]
+    found = [x.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & _before() & _alike(percent) & place[0] & place[1]).select(*_pair()) for x in (left, went)]
     near = _verified(table(found[0].union(found[1]).distinct()), docs, percent)
     return copies.select(*here).union(gone).union(near).distinct()
 
