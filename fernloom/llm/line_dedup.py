@@ -39,8 +39,10 @@ COUNTED = 1 << 22
 SEEDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 #: The most frequent tokens, which in a prefix hint at a family of near copies and are keys of the same kind.
 HOT = 1 << 15
+#: Tokens of sets that are too large for their parities to say much, and how many prefix tokens, of prefixes longer by as many less one, two of them must share.
+LONG, SHARED = 96, 3
 #: Lines of a key that a line is compared with where the first and the least edited one differ too much.
-PICKS = 6
+PICKS = 3
 #: Bits of a posting's size and place, beside which it has 26 of the parity; larger sizes count as the greatest and aren't bounded by place.
 SIZE_BITS, PLACE_BITS = 20, 18
 #: Removed or repeated lines (16 bytes each) up to which they are sent to the executors; beyond, they are joined by shuffle.
@@ -156,7 +158,7 @@ def _lines(documents: DataFrame, percent: int, order: np.ndarray) -> DataFrame:
                 parity, extra = (np.bitwise_xor.reduceat(np.where(own, np.uint64(1) << at % np.uint64(64), np.uint64(0)), begin) for own, at in ((bit < 64, bit), (bit >= 64, bit)))
                 size = extra << np.uint64(SIZE_BITS + PLACE_BITS) | np.minimum(n, (1 << SIZE_BITS) - 1).astype(np.uint64)
                 within = s.within()
-                some = n - (percent * n + 99) // 100 + 1
+                some = np.minimum(n, n - (percent * n + 99) // 100 + 1 + np.where(n >= LONG, SHARED - 1, 0))
                 prefix = within < np.repeat(some, n)
                 common = np.where(within < np.repeat(np.maximum(1, 5 * n // 8), n), np.uint64(0), np.uint64(1 << 63))
                 least = [np.minimum.reduceat(mixed(t ^ np.uint64(c)) >> np.uint64(1) | common, begin) for c in SEEDS]
@@ -264,28 +266,14 @@ def later_lines(documents: DataFrame, percent: int = PERCENT, frequent: int = FR
         return p.select(*here, "parity", F.col("size").bitwiseOR(place).alias("size"), "token")
 
     left, went = post(rows.join(known, here, "left_anti")), post(rows.join(known, here, "left_semi"))
-    place = [(_n(s) == (1 << SIZE_BITS) - 1) | (_bits(F.col(f"{s}.size"), SIZE_BITS, PLACE_BITS) <= _n(s) - _common(percent)) for s in ("x", "y")]
-    found = [x.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & _before() & _alike(percent) & place[0] & place[1]).select(*_pair()) for x in (left, went)]
+    shared = F.when(F.least(_n("x"), _n("y")) >= LONG, SHARED).otherwise(1)
+    place = [(_n(s) == (1 << SIZE_BITS) - 1) | (_bits(F.col(f"{s}.size"), SIZE_BITS, PLACE_BITS) < _n(s) - _common(percent) + shared) for s in ("x", "y")]
+    found = [x.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & _before() & _alike(percent) & place[0] & place[1]).select(*_pair(), shared.alias("least")) for x in (left, went)]
+    found = [f.groupBy("a", "al", "b", "bl", "least").agg(F.count("*").alias("shared")).where("shared >= least").select("a", "al", "b", "bl") for f in found]
     near = _verified(table(found[0].union(found[1]).distinct()), docs, percent)
     return copies.select(*here).union(gone).union(near).distinct()
 
 
-def _picked(x: Texts, wanted: pa.ListArray) -> tuple[Texts, np.ndarray, np.ndarray]:
-    """The wanted lines of some texts as texts of their own, and the row and line of each. wanted: line numbers of each row, sorted."""
-    breaks = np.flatnonzero(x.data == 10)
-    first = np.searchsorted(breaks, x.at)
-    counts = np.diff(wanted.offsets.to_numpy())
-    row, line = np.repeat(np.arange(len(counts)), counts), wanted.flatten().to_numpy().astype(np.int64)
-    # rows that repeat a doc_id with another text may have fewer lines
-    there = line <= first[row + 1] - first[row]
-    row, line = row[there], line[there]
-    edges = np.append(breaks, len(x.data))
-    lo = np.where(line == 0, x.at[row], edges[np.minimum(first[row] + line - 1, len(edges) - 1)] + 1)
-    hi = np.where(line == first[row + 1] - first[row], x.at[row + 1], edges[np.minimum(first[row] + line, len(edges) - 1)])
-    data = [x.data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-    return Texts(0, np.concatenate([np.zeros(0, np.uint8), *data]), np.append(0, np.cumsum(hi - lo))), row, line
-
-
 def _verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """(doc_id, line) of the later line of those pairs whose sets are alike enough."""
     wanted = pairs.select(F.col("a").alias("doc_id"), F.col("al").alias("line")).union(pairs.select("b", "bl")).distinct()
@@ -295,15 +283,16 @@ def _verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in texts(batch):
-                lines, row, line = _picked(x, batch.column(2).slice(x.first, len(x.at) - 1))
-                w = words(lines, SPACED_LOWER)
+                w = words(x, SPACED_LOWER)
                 tokens, cuts = _sets(w.rows(), w.hashes, none, none)
-                some = np.unique(w.rows())
-                yield pa.record_batch({"doc_id": batch.column(0).take(pa.array(row[some] + x.first)), "line": pa.array(line[some], pa.int32()), "tokens": lists(signed(tokens), cuts, pa.int64())})
+                some = pa.array(np.unique(w.rows()) + x.first)
+                yield pa.record_batch({"doc_id": batch.column(0).take(some), "line": batch.column(1).take(some), "tokens": lists(signed(tokens), cuts, pa.int64())})
 
     kind = dict(documents.dtypes)["doc_id"]
-    sets = documents.join(sent(wanted), "doc_id").select("doc_id", "text", "lines").mapInArrow(of, f"doc_id {kind}, line int, tokens array<bigint>")
-    sets = table(sets.distinct())
+    # the wanted lines alone go to Python
+    numbered = F.transform(F.split("text", "\n", -1), lambda t, i: F.struct(i.alias("line"), t.alias("text")))
+    picked = documents.join(sent(wanted), "doc_id").select("doc_id", F.explode(F.filter(numbered, lambda s: F.array_contains("lines", s["line"]))).alias("s")).select("doc_id", "s.*")
+    sets = table(picked.mapInArrow(of, f"doc_id {kind}, line int, tokens array<bigint>").distinct())
     both = pairs.join(sets.toDF("a", "al", "s"), ["a", "al"]).join(sets.toDF("b", "bl", "t"), ["b", "bl"])
     both = both.select("b", "bl", F.size("s").alias("p"), F.size("t").alias("q"), F.size(F.array_intersect("s", "t")).alias("common"))
     return both.where(100 * F.col("common") >= percent * (F.col("p") + F.col("q") - F.col("common"))).select(F.col("b").alias("doc_id"), F.col("bl").alias("line"))
