@@ -1,13 +1,15 @@
 r"""HTML extraction by maximum-scoring subsequence.
 
-A page becomes a sequence of words and tags. Words score positive and tags
-negative, with weights learned from labelled pages: pages that mark their article
-or main element say which tags stand inside the content and which outside. One
-linear scan finds the contiguous region of the greatest sum (ties: the longest),
-and its text blocks are the result, the first and the last of them whole. What says by its element, class, id or role
-that it is a menu, header, footer, sidebar, notice, advert, form or comment scores
-negative as a whole and is left out of the region's text; scripts, styles, markup
-comments and the like are never read as text.
+A page becomes a sequence of words and tags, each with a score: how much more often
+it stands inside the content than outside on labelled pages, as a log ratio. Words
+score positive, linked ones by what was learned, and tags negative. Labelled are the
+pages that mark their article or main element; to the scan these elements are tags
+like all others. One linear scan finds the contiguous region of the greatest sum
+(ties: the longest), and its text blocks are the result, the first and the last of
+them whole. What says by its element, class, id or role that it is a menu, header,
+footer, sidebar, notice, advert, form or comment is left out of the region's text
+wherever it stands; scripts, styles, markup comments and the like are never read as
+text.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -33,16 +36,20 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Element names whose scores are learned, each by its own; others share one.
+NAMES = BLOCKS | UNREAD | EMPTY | frozenset("a abbr b bdi bdo big button cite code data del dfn em font i ins kbd label map mark menu option picture q rp rt ruby s samp slot small span strike strong sub sup time tt u var".split())
 #: Elements that are no part of an article, and words of class, id and role that say the same.
 FRAME = frozenset("nav aside footer form menu dialog button".split())
 FRAME_WORDS = frozenset(
     "ad ads adv advert advertisement advertisements adverts adsense advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist cookie cookies consent disclaimer discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar note alert".split())
-#: Score of a word, of a tag that labelled pages don't have, and the range of learned tag scores.
-WORD, UNSEEN, LEAST, MOST = 1.0, -0.3, -4.0, -0.05
-#: A word in a link or a frame element counts against, and so does one outside the element that a page marks as its content.
-LINKED, FRAMED = -0.5, -0.2
+#: Scores without labelled pages: of a word, a linked word (also the least with them) and a tag; and of a word in a frame element.
+WORD, LINKED, TAG, FRAMED = 1.0, -0.5, -0.3, -0.2
+#: A tag's score is at most this, a plain word's at least its negative.
+MOST = -0.05
+#: Words of class and id are told by so many hashes.
+CLASSES = 1 << 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
@@ -61,6 +68,7 @@ class Piece(NamedTuple):
     linked: bool
     inside: bool
     block: int
+    classes: tuple[str, ...] = ()
 
 
 def _frame(name: str, attributes: str, in_article: bool) -> bool:
@@ -80,10 +88,19 @@ def _frame(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _classes(name: str, attributes: str) -> tuple[str, ...]:
+    """The hashes of an element's class and id words, as names of features."""
+    if not attributes or name in EMPTY:
+        return ()
+    found = [w for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id") for w in _NAMES.findall(_CAMEL.sub("-", m[2] or m[3] or m[4] or "").lower())]
+    return tuple(f".{zlib.crc32(w.encode()) % CLASSES}" for w in found)
+
+
 def pieces(page: str) -> list[Piece]:
     """The page in order. An element that is never closed ends with its parent."""
     out: list[Piece] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they began a frame
+    opened: dict[str, int] = {}  # how many of a name are open
     framed = unread = linked = articles = 0
     at = block = 0
 
@@ -95,6 +112,7 @@ def pieces(page: str) -> list[Piece]:
         nonlocal framed, unread, linked, articles
         while len(stack) > upto:
             name, frame = stack.pop()
+            opened[name] -= 1
             framed -= frame
             unread -= name in UNREAD
             linked -= name == "a"
@@ -108,13 +126,11 @@ def pieces(page: str) -> list[Piece]:
         name, closing = m[2].lower(), bool(m[1])
         if name in BLOCKS:
             block += 1
-        out.append(Piece(("/" if closing else "") + name, "", framed > 0, linked > 0, articles > 0, block))
+        out.append(Piece(("/" if closing else "") + name, "", framed > 0, linked > 0, articles > 0, block, () if closing else _classes(name, m[3])))
         if closing:
-            # paragraphs and list items don't reach beyond the block that a stray end tag would close
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
+            # a stray end tag closes nothing; else what is above the element is closed with it
+            if opened.get(name):
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name in EMPTY or m[3].endswith("/") and name in ("svg", "path", "use"):
             continue
@@ -127,9 +143,10 @@ def pieces(page: str) -> list[Piece]:
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        frame = not framed and _frame(name, m[3], articles > 0) or (framed > 0 and _frame(name, m[3], articles > 0))
-        stack.append((name, bool(frame)))
-        framed += bool(frame)
+        frame = _frame(name, m[3], articles > 0)
+        stack.append((name, frame))
+        opened[name] = opened.get(name, 0) + 1
+        framed += frame
         unread += name in UNREAD
         linked += name == "a"
         articles += name in ("article", "main")
@@ -140,21 +157,28 @@ def pieces(page: str) -> list[Piece]:
     return out
 
 
-def region(parts: list[Piece], weights: dict[str, float]) -> tuple[int, int]:
-    """First and last (exclusive) piece of the greatest sum; (0, 0) if there is no word."""
-    best, span = 0.0, (0, 0)
-    total, start = 0.0, 0
-    # a page that marks its content is a labelled one itself
-    marked = any(p.inside and not p.tag and not p.framed and not p.text.isspace() for p in parts)
-    for i, p in enumerate(parts):
+def scores(parts: list[Piece], weights: dict[str, float]) -> list[float]:
+    """The score of each piece. A frame element's tags don't count: it may stand inside the content."""
+    word, linked, out = weights.get("#word", WORD), weights.get("#linked", LINKED), []
+    for p in parts:
         if p.tag:
-            total += MOST if p.inside else UNSEEN if p.framed else weights.get(p.tag, UNSEEN)
+            # an end tag that no labelled page has outside a frame counts like its start tag
+            name = next((k for k in (p.tag, p.tag.removeprefix("/")) if k in weights), "" if p.tag.removeprefix("/") in NAMES else "other")
+            out.append(0.0 if p.framed else min(weights.get(name, TAG), *(weights.get(c, 0.0) for c in p.classes), MOST))
         else:
-            score = WORD if p.inside else LINKED if p.linked or marked else WORD
-            total += len(p.text.split()) * (FRAMED if p.framed and not p.inside else 0 if p.framed else score)
+            out.append(len(p.text.split()) * (FRAMED if p.framed else linked if p.linked else word))
+    return out
+
+
+def region(sums: list[float]) -> tuple[int, int]:
+    """First and last (exclusive) of the contiguous scores of the greatest sum above 0, the longest if several have it; (0, 0) if none has."""
+    best, span = 0.0, (0, 0)
+    total, start = 0.0, 0
+    for i, x in enumerate(sums):
+        total += x
         if total < 0:
             total, start = 0.0, i + 1
-        elif total > best or (total == best and best > 0):
+        elif total > best or (total == best > 0 and i + 1 - start > span[1] - span[0]):
             best, span = total, (start, i + 1)
     return span
 
@@ -162,7 +186,7 @@ def region(parts: list[Piece], weights: dict[str, float]) -> tuple[int, int]:
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The blocks of the best region, joined by one newline."""
     parts = pieces(page or "")
-    a, b = region(parts, weights)
+    a, b = region(scores(parts, weights))
     # the region's words, with what stands in the same blocks: linked words may begin the first and end the last
     at = [i for i in range(a, b) if not parts[i].tag and not parts[i].framed and not parts[i].text.isspace()]
     if at:
@@ -177,32 +201,51 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def features(parts: list[Piece]) -> dict[str, list[int]]:
+    """How often each feature stands outside and inside the marked content; frame elements tell nothing."""
+    sums: dict[str, list[int]] = {}
+    for p in parts:
+        if not p.tag:
+            # a frame inside the content is no content
+            sums.setdefault("#linked" if p.linked else "#word", [0, 0])[p.inside and not p.framed] += len(p.text.split())
+        elif not p.framed:
+            for name in (p.tag if p.tag.removeprefix("/") in NAMES else "other", *p.classes):
+                sums.setdefault(name, [0, 0])[p.inside] += 1
+    return sums
+
+
 def tag_weights(pages: DataFrame) -> dict[str, float]:
-    """Scores of tags from all pages that mark their article or main element.
+    """Scores of words, tags and class words from all pages that mark their article or main element.
 
-    The log of how much more often a tag stands inside the marked content than
-    outside, for each word there, bounded to a negative range. The names are those
-    of HTML elements and so few; at most 1024 of the most frequent are kept.
+    The log of how much more often a feature stands inside the marked content than
+    outside. Tags are those of HTML elements, class words go to CLASSES hashes, so
+    their number is bounded whatever the input.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, list[int]] = {}
         for batch in batches:
-            sums: dict[str, list[int]] = {}
-            for page in batch.column(0).to_pylist():
-                parts = pieces(page or "")
-                if not any(p.inside for p in parts):
-                    continue
-                for p in parts:
-                    if p.tag:
-                        sums.setdefault(p.tag[:32], [0, 0])[p.inside] += 1
-                    else:
-                        sums.setdefault("", [0, 0])[p.inside] += len(p.text.split())
-            yield pa.RecordBatch.from_pylist([{"tag": k, "outside": a, "inside": b} for k, (a, b) in sums.items()], pa.schema([("tag", pa.string()), ("outside", pa.int64()), ("inside", pa.int64())]))
-
-    found = pages.select("html").mapInArrow(counted, "tag string, outside bigint, inside bigint").groupBy("tag").agg(F.sum("outside").alias("outside"), F.sum("inside").alias("inside"))
-    rows = {r["tag"]: (r["outside"], r["inside"]) for r in found.orderBy(F.col("outside") + F.col("inside"), ascending=False).limit(1024).collect()}
-    outside, inside = rows.pop("", (0, 0))
-    return {t: max(LEAST, min(MOST, math.log((b + 1) / (inside + 1)) - math.log((a + 1) / (outside + 1)))) for t, (a, b) in rows.items()}
+            for page in batch.column(0):
+                parts = pieces(page.as_py() or "")
+                if any(p.inside for p in parts):
+                    for name, (a, b) in features(parts).items():
+                        known = sums.setdefault(name, [0, 0])
+                        known[0] += a
+                        known[1] += b
+        yield pa.RecordBatch.from_pylist([{"name": k, "outside": a, "inside": b} for k, (a, b) in sums.items()], pa.schema([("name", pa.string()), ("outside", pa.int64()), ("inside", pa.int64())]))
+
+    found = pages.select("html").mapInArrow(counted, "name string, outside bigint, inside bigint").groupBy("name").agg(F.sum("outside").alias("outside"), F.sum("inside").alias("inside"))
+    return log_ratios({r["name"]: (r["outside"], r["inside"]) for r in found.collect()})
+
+
+def log_ratios(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Scores of features (outside, inside); none without both."""
+    tags = [v for k, v in counts.items() if not k.startswith(".")]
+    outside, inside = sum(a for a, _ in tags), sum(b for _, b in tags)
+    if not outside or not inside:
+        return {}
+    score = {k: math.log((b + 1) / (inside + 1)) - math.log((a + 1) / (outside + 1)) for k, (a, b) in counts.items()}
+    return {k: max(-MOST, v) if k == "#word" else max(LINKED, v) if k == "#linked" else min(MOST, v) for k, v in score.items()}
 
 
 def extract_text(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

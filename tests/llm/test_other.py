@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from fernloom.llm.chat import rotate_perspectives
 from fernloom.llm.decontaminate import decontaminate
-from fernloom.llm.html_text import extract_text, main_text
+from fernloom.llm.html_text import extract_text, features, log_ratios, main_text, pieces, region
 from fernloom.llm.mixing import mix
 from fernloom.llm.quality import at_most, base_statistics, quality_rules
 
@@ -129,6 +129,46 @@ def test_html_blocks_with_links_at_the_ends():
     assert main_text(page.replace('see <a href="/r">the full report</a>.', 'see <a href="/r">the full report</a> <span class="share">Share it</span>'), {}).endswith("see the full report")
 
 
+def test_region_is_the_greatest_sum():
+    rng = random.Random(11)
+    for _ in range(400):
+        x = [rng.choice([-3, -1, -0.5, 0, 0, 0.5, 1, 2]) for _ in range(rng.randint(0, 14))]
+        sums = {(a, b): sum(x[a:b]) for a in range(len(x)) for b in range(a + 1, len(x) + 1)}
+        a, b = region(x)
+        best = max(sums.values(), default=0)
+        if best <= 0:
+            assert (a, b) == (0, 0)
+        else:
+            assert sum(x[a:b]) == best and b - a == max(q - p for (p, q), v in sums.items() if v == best)
+
+
+def test_html_weights_find_unmarked_articles():
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(99)) for _ in range(n))
+
+    def page(marked):
+        name = "article" if marked else "div"
+        body = [words(rng.randint(30, 60)) for _ in range(rng.randint(1, 6))]
+        menu = "".join(f'<li><a href="/">{words(1)}</a></li>' for _ in range(5))
+        html = f'<html><body><ul>{menu}</ul><div class="z9">{words(rng.randint(3, 14))}</div><{name}><h1>{words(5)}</h1>{"".join(f"<p>{p}</p>" for p in body)}</{name}><div>{words(rng.randint(3, 14))}</div></body></html>'
+        return html, body
+
+    counts = {}
+    for html, _ in (page(True) for _ in range(150)):
+        for k, (a, b) in features(pieces(html)).items():
+            counts[k] = (counts.get(k, (0, 0))[0] + a, counts.get(k, (0, 0))[1] + b)
+    weights, hits, plain = log_ratios(counts), 0, 0
+    for html, body in (page(False) for _ in range(100)):
+        hits += main_text(html, weights).split("\n")[1:] == body
+        plain += main_text(html, {}).split("\n")[1:] == body
+    assert hits >= 90 and plain < 50
+
+
+def test_html_deep_nesting_with_stray_end_tags():
+    deep = "<div>" * 20000 + "</span></b>" * 20000 + "some words" + "</div>" * 20000
+    assert main_text(deep, {}) == "some words"
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, 2, "assistant", "hello"), (2, 0, None, None), (None, 0, "user", "x"), (3, 0, "system", "alone")]
     got = rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
