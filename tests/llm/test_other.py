@@ -150,7 +150,7 @@ def test_html_weights_find_unmarked_articles():
         name = "article" if marked else "div"
         body = [words(rng.randint(30, 60)) for _ in range(rng.randint(1, 6))]
         menu = "".join(f'<li><a href="/">{words(1)}</a></li>' for _ in range(5))
-        html = f'<html><body><ul>{menu}</ul><div class="z9">{words(rng.randint(3, 14))}</div><{name}><h1>{words(5)}</h1>{"".join(f"<p>{p}</p>" for p in body)}</{name}><div>{words(rng.randint(3, 14))}</div></body></html>'
+        html = f'<html><body><ul>{menu}</ul><div class="z9">{words(rng.randint(3, 11))}</div><{name}><h1>{words(5)}</h1>{"".join(f"<p>{p}</p>" for p in body)}</{name}><div>{words(rng.randint(3, 11))}</div></body></html>'
         return html, body
 
     counts = {}
