@@ -1,22 +1,25 @@
-r"""Personal data by a skip-chain conditional random field over shaped tokens.
+r"""Personal data by a skip-chain conditional random field over digit groups and addresses.
 
 Base expressions find e-mail and IP addresses, card and phone numbers. They also
-label, as distant supervision, a bounded sample of documents, on which the field
-is trained. Its nodes are the shaped tokens of a document: those with a digit or
-an at sign. Plain words are observed as no entity. Neighbouring nodes share a
-transition potential, and nodes whose tokens are equal or alike (the same letters
-and digits) share a skip potential however far apart they are. Loopy message
-passing over both kinds of edges makes labels agree over the whole document, so a
-number written once as a phone number is found where it stands without its sign.
-Tokens that the field marks add spans; base spans always stay.
-
-A document's nodes are few and its equal tokens are linked in a ring of
-neighbours, not in all pairs, so the work is linear in the text.
+label, as distant supervision, a bounded sample of documents, on which the field is
+trained. Its nodes are the addresses of a document and its runs of digit groups,
+joined over spaces, brackets, dots and hyphens. A node's features are its shape, its
+checksum and the words before and after it. Neighbouring nodes share a transition
+potential. Nodes that are equal or alike (the same last seven digits, the same local
+part) share a skip potential however far apart they are. All potentials are learned.
+Loopy message passing over both kinds of edges makes labels agree over the whole
+document, so a number written once as a phone number is found where it stands
+without its sign or area code. Nodes that the field marks add spans, in documents
+without base spans too; base spans always stay.
+
+Equal nodes are linked in a ring of neighbours, not in all pairs, so the work is
+linear in the text.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,15 +34,15 @@ from fernloom.llm.secrets import SPANS, joined
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents of which the field is trained, those of least hash of doc_id; a bound, whatever the input.
-SAMPLE = 1000
-#: Characters of a sampled text that training sees.
-SAMPLE_CHARS = 20_000
-#: Belief from which a token that no base expression covers is added.
+SAMPLE = 4000
+#: Belief from which a node that no base expression covers is added.
 SURE = 0.9
-#: Pairs of equal tokens of one label that training assumes for each label beside those it sees.
-PRIOR = 1000.0
 #: Log odds against the other labels of a node that a base expression covers.
 KNOWN = 20.0
+#: Digits at the end that make two numbers alike, and digits beyond which a run is taken apart at its spaces.
+ALIKE, MOST_DIGITS = 7, 19
+#: Hashes of the patterns of digit groups and of the words on each side.
+PATTERNS, CONTEXT = 64, 128
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
@@ -47,9 +50,12 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\x20\t-\r]+")
-_SHAPED = re.compile(r"[0-9@]")
-_EDGES = ".,;:!?\"'()[]{}<>*#$%&|="
+_NUMBER = re.compile(r"(?<![A-Za-z0-9_@])\+?\(?[0-9]+(?:[\x20().-]{1,2}[0-9]+)*(?![A-Za-z0-9_@])")
+_GROUP = re.compile("[0-9]+")
+_PART = re.compile(r"[^\x20]+")
+_HOST = re.compile(r"@[A-Za-z0-9.-]+")
+_WORD_BEFORE = re.compile(r"([^\W\d_]+)[^\w]*$")
+_WORD_AFTER = re.compile(r"^[^\w]*([^\W\d_]+)")
 
 
 def luhn(digits: str) -> bool:
@@ -87,7 +93,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Nodes(NamedTuple):
-    """The shaped tokens of a text: their ranges, features, and keys by which equal ones are linked."""
+    """The candidates of a text: their ranges, features (a row of 0 and 1 each), and keys by which equal and similar ones are linked."""
 
     starts: list[int]
     ends: list[int]
@@ -95,36 +101,65 @@ class Nodes(NamedTuple):
     keys: list[str | None]
 
 
-FEATURES = ("bias", "at", "dots3", "plus", "letters", "short", "middle", "long", "separated", "prev_adjacent", "prev_plus", "next_adjacent", "hex")
+SHAPES = ("bias", "at", "host_dot", "dotted_four", "bytes", "plus", "bracket", "hyphen", "space", "checksum", "digits4", "digits6", "digits8", "digits11", "digits14", "digits16", "digits19", "groups1", "groups2", "groups3", "groups4", "groups5")
+N_FEATURES = len(SHAPES) + PATTERNS + 2 * CONTEXT
+
+
+def _hashed(value: str, n: int) -> int:
+    return zlib.crc32(value.encode("utf-8", "replace")) % n
+
+
+def _ranges(text: str) -> list[tuple[int, int]]:
+    """Where the candidates stand."""
+    out, end = [], 0
+    for m in _HOST.finditer(text) if "@" in text else ():
+        start = m.start()
+        while start > end and (text[start - 1] in "._%+-" or (text[start - 1].isascii() and text[start - 1].isalnum())):
+            start -= 1
+        end = m.start() + len(m.group().rstrip(".-"))
+        if start < m.start():
+            out.append((start, end))
+    for m in _NUMBER.finditer(text):
+        if sum("0" <= c <= "9" for c in m.group()) > MOST_DIGITS:
+            out += [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m.group())]
+        else:
+            out.append(m.span())
+    out.sort()
+    # the digits of an address are no node of their own
+    return [r for i, r in enumerate(out) if i == 0 or r[0] >= out[i - 1][1]]
 
 
 def nodes(text: str) -> Nodes:
     starts, ends, rows, keys = [], [], [], []
-    for m in _TOKEN.finditer(text):
-        t = m.group()
-        if not _SHAPED.search(t):
-            continue
-        a = m.start() + len(t) - len(t.lstrip(_EDGES))
-        core = t.strip(_EDGES)
-        if not core:
-            continue
-        digits = sum("0" <= c <= "9" for c in core)
-        letters = sum(c.isalpha() for c in core)
+    for a, b in _ranges(text):
+        t = text[a:b]
+        groups = _GROUP.findall(t)
+        digits = "".join(groups)
+        on = {"bias"}
+        if "@" in t:
+            on |= {"at"} | ({"host_dot"} if "." in t[t.index("@") :] else set())
+            local = t[: t.index("@")].lower()
+            keys.append(f"@{local}" if len(local) > 2 else None)
+        else:
+            dotted = t.count(".") == 3 and len(groups) == 4 and t.replace(".", "").isdigit()
+            on |= {name for name, there in (("dotted_four", dotted), ("bytes", dotted and all(len(g) <= 3 and int(g) <= 255 for g in groups)), ("plus", t[0] == "+"), ("bracket", "(" in t), ("hyphen", "-" in t), ("space", " " in t), ("checksum", 12 <= len(digits) <= 19 and luhn(digits))) if there}
+            on |= {next((f"digits{k}" for k in (4, 6, 8, 11, 14, 16) if len(digits) <= k), "digits19"), f"groups{min(len(groups), 5)}"}
+            keys.append(t if dotted else digits[-ALIKE:] if len(digits) >= ALIKE else None)
+        row = np.zeros(N_FEATURES)
+        row[[SHAPES.index(x) for x in on]] = 1
+        row[len(SHAPES) + _hashed("@" if "@" in t else ",".join(str(len(g)) for g in groups), PATTERNS)] = 1
+        for i, m in enumerate((_WORD_BEFORE.search(text[max(0, a - 24) : a]), _WORD_AFTER.search(text[b : b + 24]))):
+            if m:
+                row[len(SHAPES) + PATTERNS + i * CONTEXT + _hashed(m[1].lower(), CONTEXT)] = 1
         starts.append(a)
-        ends.append(a + len(core))
-        rows.append([1, "@" in core, core.count(".") == 3 and not letters, "+" in core, letters > 0, digits < 5, 5 <= digits < 12, digits >= 12, not letters and any(c in "-()." for c in core), 0, 0, 0, letters > 0 and digits >= 8 and "@" not in core])
-        plain = "".join(c for c in core.lower() if c.isalnum() or c == "@")
-        keys.append(plain if len(plain) >= 6 and digits >= 4 or "@" in plain else None)
-    f = np.array(rows, float).reshape(len(rows), len(FEATURES))
-    for i in range(1, len(starts)):
-        if starts[i] - ends[i - 1] <= 2:
-            f[i, 9], f[i, 10], f[i - 1, 11] = 1, max(f[i - 1, 3], f[i - 1, 10]), 1
-    return Nodes(starts, ends, f, keys)
+        ends.append(b)
+        rows.append(row)
+    return Nodes(starts, ends, np.array(rows).reshape(len(rows), N_FEATURES), keys)
 
 
 def edges(n: Nodes) -> tuple[np.ndarray, np.ndarray]:
-    """Chain edges between neighbours, and skip edges from each token to the one before of the same key."""
-    chain = [(i - 1, i) for i in range(1, len(n.starts)) if n.features[i, 9]]
+    """Chain edges between neighbours, and skip edges from each node to the one before of the same key."""
+    chain = [(i - 1, i) for i in range(1, len(n.starts))]
     last: dict[str, int] = {}
     skip = []
     for i, k in enumerate(n.keys):
@@ -152,7 +187,7 @@ def beliefs(n: Nodes, field: Field, observed: np.ndarray | None = None, rounds:
         own[known, observed[known]] = 0
     chain, skip = edges(n)
     pairs = np.concatenate([chain, skip])
-    if not len(pairs):
+    if len(n.starts) == 0 or not len(pairs):
         return np.exp(own - np.logaddexp.reduce(own, 1, keepdims=True))
     potential = np.concatenate([np.repeat(field.chain[None], len(chain), 0), np.repeat(field.skip[None], len(skip), 0)])
     to = np.concatenate([pairs[:, 1], pairs[:, 0]])
@@ -185,55 +220,92 @@ def labels(n: Nodes, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
-def train(sample: list[str], steps: int = 300) -> Field:
-    """Unary weights by penalised softmax regression, pair potentials by log ratios of counts."""
+class Labelled(NamedTuple):
+    """A sampled document: features and labels of its nodes (-1: like a covered node, but not covered itself), chain and skip edges."""
+
+    features: np.ndarray
+    labels: np.ndarray
+    chain: np.ndarray
+    skip: np.ndarray
+
+
+def labelled(text: str) -> Labelled:
+    n = nodes(text)
+    y = labels(n, base_spans(text))
+    covered = {k for k, label in zip(n.keys, y, strict=True) if k and label}
+    y[[i for i, k in enumerate(n.keys) if k in covered and not y[i]]] = -1
+    return Labelled(n.features, y, *edges(n))
+
+
+def _log_ratios(counts: np.ndarray, share: np.ndarray, most: float) -> np.ndarray:
+    """How much more often two labels meet on edges than they would by their shares of all nodes; nothing without edges."""
+    if not counts.any():
+        return counts
+    counts = counts + counts.T + 0.5
+    return np.clip(np.log(counts / counts.sum() / np.outer(share, share)), -most, most)
+
+
+def _agreement(counts: np.ndarray, share: np.ndarray, most: float) -> np.ndarray:
+    """The same for agreement alone, one number for all labels: linked nodes are too few to tell labels apart."""
+    if not counts.any():
+        return counts
+    agree, chance = (np.trace(counts) + 1) / (counts.sum() + 2), (share**2).sum()
+    same, other = np.clip(np.log([agree / chance, (1 - agree) / (1 - chance)]), -most, most)
+    return np.where(np.eye(len(counts)) > 0, same, other)
+
+
+def train(sample: list[Labelled], steps: int = 300) -> Field:
+    """Unary weights by penalised softmax regression, pair potentials by log ratios of the counts of edges whose ends are both known."""
     m = len(KINDS) + 1
-    xs, ys, pairs, skips = [np.zeros((0, len(FEATURES)))], [np.zeros(0, int)], np.ones((m, m)), np.ones((m, m))
-    for text in sample:
-        n = nodes(text)
-        y = labels(n, base_spans(text))
-        chain, skip = edges(n)
-        np.add.at(pairs, (y[chain[:, 0]], y[chain[:, 1]]), 1)
-        np.add.at(skips, (y[skip[:, 0]], y[skip[:, 1]]), 1)
-        xs.append(n.features)
-        ys.append(y)
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    w = np.zeros((len(FEATURES), m))
+    pairs, skips = np.zeros((m, m)), np.zeros((m, m))
+    for d in sample:
+        for table, e in ((pairs, d.chain), (skips, d.skip)):
+            y = d.labels[e]
+            y = y[(y >= 0).all(1)]
+            np.add.at(table, (y[:, 0], y[:, 1]), 1)
+    x, y = np.concatenate([np.zeros((0, N_FEATURES)), *(d.features for d in sample)]), np.concatenate([np.zeros(0, int), *(d.labels for d in sample)])
+    x, y = x[y >= 0], y[y >= 0]
+    w = np.zeros((N_FEATURES, m))
     if len(y):
         target = np.eye(m)[y]
         for _ in range(steps):
             z = x @ w
             p = np.exp(z - np.logaddexp.reduce(z, 1, keepdims=True))
-            w += 2.0 * (x.T @ (target - p) / len(y) - 1e-3 * w)
-    ratio = np.clip(np.log(pairs * pairs.sum() / (pairs.sum(1, keepdims=True) * pairs.sum(0, keepdims=True))), -3, 3)
-    agree = skips + skips.T + PRIOR * np.eye(m)
-    return Field(w, ratio, np.log(agree / agree.sum(1, keepdims=True)))
+            w += 0.5 * (x.T @ (target - p) / len(y) - 1e-3 * w)
+    share = (np.bincount(y, minlength=m) + 1) / (len(y) + m)
+    return Field(w, _log_ratios(pairs, share, 1.0), _agreement(skips, share, 8.0))
 
 
-def sample_texts(documents: DataFrame, most: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[str]:
-    """Starts of the texts of least hash: training material of bounded size."""
-    keyed = documents.where("text is not null").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, chars).alias("t"))
-    # first the bound of the hashes alone, then the texts below it: no task sends more than hashes and its part of the sample
+def training_sample(documents: DataFrame, most: int = SAMPLE) -> list[Labelled]:
+    """The nodes of the documents of least hash, whole texts: training material of bounded rows."""
+    keyed = documents.where("text is not null").select(F.xxhash64("doc_id").alias("h"), F.col("text"))
+    # first the bound of the hashes alone, then the nodes of the texts below it
     last = [r["h"] for r in keyed.select("h").orderBy("h").limit(most).collect()]
     if not last:
         return []
-    return [r["t"] for r in keyed.where(F.col("h") <= max(last)).orderBy("h", "t").limit(most).collect()]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [labelled(t.as_py()) for t in batch.column(1)]
+            rows = [(h, len(d.labels), np.packbits(d.features.astype(bool)).tobytes(), d.labels.astype(np.int8).tobytes(), d.chain.astype(np.int32).tobytes(), d.skip.astype(np.int32).tobytes()) for h, d in zip(batch.column(0).to_pylist(), found, strict=True) if len(d.labels)]
+            names = ("h", "n", "features", "labels", "chain", "skip")
+            kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(names))
+
+    rows = keyed.where(F.col("h") <= max(last)).mapInArrow(of, "h bigint, n int, features binary, labels binary, chain binary, skip binary").orderBy("h", "n", "features").limit(most).collect()
+    ints = lambda b: np.frombuffer(b, np.int32).reshape(-1, 2).astype(int)
+    return [Labelled(np.unpackbits(np.frombuffer(r["features"], np.uint8), count=r["n"] * N_FEATURES).reshape(-1, N_FEATURES).astype(float), np.frombuffer(r["labels"], np.int8).astype(int), ints(r["chain"]), ints(r["skip"])) for r in rows]
 
 
 def tag(text: str, field: Field) -> list[tuple[int, int, int, bool]]:
     """(start, kind, end, base) of a text, by start and kind."""
-    base = base_spans(text)
-    out = [(a, k, b, True) for a, k, b in base]
-    if base:
-        # without a base span in the document no distant token can vouch for another
-        n = nodes(text)
-        observed = labels(n, base)
-        sure = {n.keys[i] for i in np.flatnonzero(observed) if n.keys[i]}
-        if any(not observed[i] and k in sure for i, k in enumerate(n.keys)):
-            p = beliefs(n, field, observed)
-            for i in np.flatnonzero((observed == 0) & (p[:, 1:].max(1) >= SURE)):
-                if n.keys[i] in sure:
-                    out.append((n.starts[i], int(p[i, 1:].argmax()), n.ends[i], False))
+    out = [(a, k, b, True) for a, k, b in base_spans(text)]
+    n = nodes(text)
+    observed = labels(n, [s[:3] for s in out])
+    if (observed == 0).any():
+        p = beliefs(n, field, observed)
+        for i in np.flatnonzero((observed == 0) & (p[:, 1:].max(1) >= SURE)):
+            out.append((n.starts[i], int(p[i, 1:].argmax()), n.ends[i], False))
     return sorted(out)
 
 
@@ -244,7 +316,7 @@ def find_pii(documents: DataFrame, field: Field | None = None) -> DataFrame:
     replaced. Repeated rows are each searched. Without a field one is trained on
     SAMPLE documents of the input; an empty input gives no rows.
     """
-    field = field or train(sample_texts(documents))
+    field = field or train(training_sample(documents))
     names = [c for c in documents.columns if c != "found"]
     documents = documents.select(*names)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
