@@ -9,6 +9,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+
+from fernloom.functions.text import words
 from pyspark.sql.types import StringType
 
 
@@ -99,9 +101,9 @@ def controlled(templates: pd.Series, values: pd.Series) -> pd.Series:
 
 
 #: Korean words that are no keywords.
-KOREAN_STOP = ["그리고", "그러나", "하지만", "그래서", "또는", "이것", "그것", "저것"]
+KOREAN_STOP = "의 가 이 은 는 를 을 에 로 으로 와 과 도 만 에서 까지 부터 에게 한테 께 더 덜 가장 매우 정말 그리고 하지만 그러나 그래서 따라서 또는 즉 왜냐하면 그런데 하고 이나 거나".split()
 
 
 def korean_keywords(text: Column) -> Column:
-    """Tokens of two or more characters that are no stop words."""
-    return F.filter(F.regexp_extract_all(text, F.lit("[가-힣A-Za-z0-9]+"), 0), lambda w: (F.length(w) >= 2) & ~w.isin(KOREAN_STOP))
+    """Words between white space of two or more characters that are no stop words."""
+    return F.filter(words(text), lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(KOREAN_STOP))

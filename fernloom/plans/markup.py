@@ -64,11 +64,11 @@ def korean_and_initials(spark, d):
     return load(spark, d, "part").select("p_partkey", F.array_join(M.korean_keywords(t), ";").alias("keywords"), T.initial_consonants(F.lit("검색")).alias("initials"))
 
 
-KOREAN = "SELECT p_partkey, '한국어;검색;Brand' || CASE WHEN length(p_brand) > 7 THEN ';' || substr(p_brand, 7) ELSE '' END AS keywords, 'ㄱㅅ' AS initials FROM part"
+KOREAN = "SELECT p_partkey, '한국어;검색;' || p_brand AS keywords, 'ㄱㅅ' AS initials FROM part"
 
 
 def _edges(spark, d):
-    return vectors.similarity_edges(load(spark, d, "embeddings"), "label", 0.35)
+    return vectors.similarity_edges(load(spark, d, "embeddings"), 0.35)
 
 
 def dbscan_clusters(spark, d):
@@ -76,7 +76,7 @@ def dbscan_clusters(spark, d):
 
 
 COS = "list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))"
-DBSCAN = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE round({COS}, 6) >= 0.35),
+DBSCAN = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE round({COS}, 6) >= 0.35),
 c AS MATERIALIZED (SELECT a FROM e GROUP BY a HAVING count(*) >= 2), l AS MATERIALIZED (SELECT * FROM e WHERE a IN (FROM c) AND b IN (FROM c)), r AS (SELECT a, a AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 m AS (SELECT a, min(b) AS label FROM r GROUP BY a), n AS (SELECT e.a, min(label) AS label FROM e JOIN m ON m.a = e.b WHERE e.a NOT IN (FROM c) GROUP BY e.a)
 SELECT vec_id, z.label AS cluster FROM embeddings LEFT JOIN (FROM m UNION ALL FROM n) z ON z.a = vec_id"""
@@ -92,12 +92,12 @@ def lda_topics(spark, d):
 
 
 def duplicate_classes(spark, d):
-    """Pairs of a label by how alike they are, and whether their label is even."""
-    e = vectors.similarity_edges(load(spark, d, "embeddings"), "label", 0.2)
+    """Pairs by how alike they are, and whether their label is even."""
+    e = vectors.similarity_edges(load(spark, d, "embeddings"), 0.2)
     return e.groupBy(mining.duplicate_class(C("similarity"), C("a") % 2 == C("b") % 2).alias("class")).agg(F.count("*").alias("n"))
 
 
-CLASSES = f"SELECT CASE WHEN s > 0.95 THEN 'exact' WHEN s > 0.8 AND a % 2 = b % 2 THEN 'same_author' WHEN s > 0.8 THEN 'cross_author' WHEN s > 0.6 THEN 'similar' ELSE 'different' END AS class, count(*) AS n FROM (SELECT x.vec_id AS a, y.vec_id AS b, round({COS}, 6) AS s FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE s >= 0.2 GROUP BY 1"
+CLASSES = f"SELECT CASE WHEN s > 0.95 THEN 'exact' WHEN s > 0.8 AND a % 2 = b % 2 THEN 'same_author' WHEN s > 0.8 THEN 'cross_author' WHEN s > 0.6 THEN 'similar' ELSE 'different' END AS class, count(*) AS n FROM (SELECT x.vec_id AS a, y.vec_id AS b, round({COS}, 6) AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE s >= 0.2 GROUP BY 1"
 
 QUERIES = {
     "markdown_outline": (markdown_outline, OUTLINE),

@@ -36,20 +36,19 @@ SIMILAR = f"SELECT q.vec_id AS query_id, e.vec_id, round({COS.format('e.embeddin
 
 
 def similarity_edges(spark, d):
-    return vectors.similarity_edges(load(spark, d, "embeddings"), "label", 0.3)
+    return vectors.similarity_edges(load(spark, d, "embeddings"), 0.3)
 
 
-EDGES = f"SELECT x.vec_id AS a, y.vec_id AS b, round({COS.format('x.embedding', 'y.embedding')}, 6) AS similarity FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE similarity >= 0.3"
+EDGES = f"SELECT x.vec_id AS a, y.vec_id AS b, round({COS.format('x.embedding', 'y.embedding')}, 6) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE similarity >= 0.3"
 
 
 def similarity_stats(spark, d):
-    """Mean, deviation, extremes and buckets of the pairs of a label."""
-    s = vectors.similarity_edges(load(spark, d, "embeddings"), "label", -2.0)
-    x = C("similarity")
-    return s.agg(F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("dev"), F.min(x).alias("low"), F.max(x).alias("high"), F.round(F.percentile(x, 0.5), 6).alias("median"), F.count_if(x >= 0.8).alias("near"), F.count_if((x >= 0.5) & (x < 0.8)).alias("middle"), F.count_if(x < 0.5).alias("far"))
+    """Mean, deviation, extremes, median hundredth and buckets of all pairs."""
+    return vectors.similarity_summary(load(spark, d, "embeddings"))
 
 
-STATS = f"WITH s AS (SELECT round({COS.format('x.embedding', 'y.embedding')}, 6) AS s FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) SELECT count(*) AS n, round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS dev, min(s) AS low, max(s) AS high, round(median(s), 6) AS median, count(*) FILTER (s >= 0.8) AS near, count(*) FILTER (s >= 0.5 AND s < 0.8) AS middle, count(*) FILTER (s < 0.5) AS far FROM s"
+STATS = f"""WITH s AS (SELECT round({COS.format('x.embedding', 'y.embedding')}, 6) AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id), h AS (SELECT floor(s * 100) AS step, count(*) AS n FROM s GROUP BY 1), u AS (SELECT step, sum(n) OVER (ORDER BY step) AS upto, sum(n) OVER () AS total FROM h)
+SELECT count(*) AS n, round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS dev, min(s) AS low, max(s) AS high, (SELECT min(step) / 100 FROM u WHERE upto * 2 >= total) AS median, count(*) FILTER (s >= 0.8) AS near, count(*) FILTER (s >= 0.5 AND s < 0.8) AS middle, count(*) FILTER (s < 0.5) AS far FROM s"""
 
 
 def centroids(spark, d):
@@ -164,11 +163,11 @@ def communities(spark, d):
 
 
 def chunk_fixed(spark, d):
-    return chunking.fixed(_docs(spark, d).where("lang = 'fr'"), 100, 20)
+    return chunking.fixed(_docs(spark, d), 100, 20)
 
 
 _W = r"regexp_extract_all(text, '[^ \t\n\r\f\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')"
-CHUNKS = f"""WITH w AS (SELECT doc_id, {_W} AS w FROM documents WHERE lang = 'fr'), i AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= 100 THEN 1 ELSE CAST(ceil((len(w) - 100) / 80) AS BIGINT) + 1 END)) AS i FROM w WHERE len(w) > 0)
+CHUNKS = f"""WITH w AS (SELECT doc_id, {_W} AS w FROM documents), i AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= 100 THEN 1 ELSE CAST(ceil((len(w) - 100) / 80) AS BIGINT) + 1 END)) AS i FROM w WHERE len(w) > 0)
 SELECT doc_id, CAST(i AS INTEGER) AS index, array_to_string(w[i * 80 + 1:i * 80 + 100], ' ') AS text, CAST(len(w[i * 80 + 1:i * 80 + 100]) AS INTEGER) AS n_words FROM i"""
 
 
@@ -183,22 +182,40 @@ def chunk_paragraphs(spark, d):
 
 
 def tfidf_terms(spark, d):
-    w = mining.tfidf(_docs(spark, d).where("lang = 'en'"))
+    w = mining.tfidf(_docs(spark, d))
     return ranking.newest(w.withColumn("weight", F.round("weight", 6)), ["doc_id"], [F.desc("weight"), C("term")], 3)
 
 
 _S = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_TFIDF = f"""t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE lang = 'en') WHERE length(term) > 2 AND term NOT IN ({_S}) GROUP BY ALL),
-n AS (SELECT count(*) AS docs FROM documents WHERE lang = 'en'), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1), r AS (SELECT doc_id, term, tf * (ln((1 + docs) / (1 + df)) + 1) AS w FROM t JOIN f USING (term), n WHERE df >= 2 AND df <= 0.8 * docs),
+_TFIDF = f"""t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) WHERE length(term) > 2 AND term NOT IN ({_S}) GROUP BY ALL),
+n AS (SELECT count(*) AS docs FROM documents), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1), r AS (SELECT doc_id, term, tf * (ln((1 + docs) / (1 + df)) + 1) AS w FROM t JOIN f USING (term), n WHERE df >= 2 AND df <= 0.8 * docs),
 z AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM r)"""
 
 
 def similar_texts(spark, d):
-    docs = _docs(spark, d).where("lang = 'en'")
-    return mining.similar_texts(mining.tfidf(docs), docs.where("doc_id % 50 = 0"), 3).where("similarity > 0.05")
+    """The three texts most like each of the stated query set, every twentieth, among all."""
+    docs = _docs(spark, d)
+    return mining.similar_texts(mining.tfidf(docs), docs.where("doc_id % 20 = 0"), 3).where("similarity > 0.05")
 
 
-SIMILAR_TEXTS = f"WITH {_TFIDF}, s AS (SELECT q.doc_id AS query, z.doc_id, round(sum(q.weight * z.weight), 6) AS similarity FROM z q JOIN z ON q.term = z.term AND q.doc_id <> z.doc_id WHERE q.doc_id % 50 = 0 GROUP BY ALL) SELECT * FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc_id) <= 3) WHERE similarity > 0.05"
+SIMILAR_TEXTS = f"WITH {_TFIDF}, s AS (SELECT q.doc_id AS query, z.doc_id, round(sum(q.weight * z.weight), 6) AS similarity FROM z q JOIN z ON q.term = z.term AND q.doc_id <> z.doc_id WHERE q.doc_id % 20 = 0 GROUP BY ALL) SELECT * FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc_id) <= 3) WHERE similarity > 0.05"
+
+
+def _asked(spark, d):
+    """Queries made of the parts' names."""
+    k, name = C("p_partkey") % 3, C("p_name")
+    return load(spark, d, "part").select("p_partkey", F.when(k == 0, F.concat(F.lit("How to find the best "), name, F.lit(" error"))).when(k == 1, F.concat(F.lit("very simply "), name)).otherwise(F.concat(F.lit("Update "), name)).alias("q"))
+
+
+def query_expansions(spark, d):
+    return _asked(spark, d).select("p_partkey", F.array_join(search.expansions(C("q")), ";").alias("expansions"), F.array_join(search.matched_terms(C("q")), ";").alias("terms"))
+
+
+_SWAPS = ", ".join(f"CASE WHEN contains(q, '{k}') THEN replace(q, '{k}', '{x}') END" for k, xs in search.SYNONYMS.items() for x in xs[:2])
+_QUALIFIERS = ", ".join(f"'{w}'" for w in search.QUALIFIERS)
+EXPANSIONS = f"""WITH a AS (SELECT p_partkey, lower(CASE p_partkey % 3 WHEN 0 THEN 'How to find the best ' || p_name || ' error' WHEN 1 THEN 'very simply ' || p_name ELSE 'Update ' || p_name END) AS q FROM part),
+r AS (SELECT *, list_filter(string_split(trim(regexp_replace(q, '\\s+', ' ', 'g')), ' '), lambda w: w NOT IN ({_QUALIFIERS})) AS r FROM a)
+SELECT p_partkey, array_to_string(list_filter([{_SWAPS}, CASE WHEN len(r) >= 2 THEN array_to_string(r, ' ') END], lambda x: x IS NOT NULL AND x <> q)[1:3], ';') AS expansions, array_to_string(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: strlen(w) > 2), ';') AS terms FROM r"""
 
 
 def kmeans_clusters(spark, d):
@@ -228,5 +245,6 @@ QUERIES = {
     "chunk_paragraphs": (chunk_paragraphs, None),
     "tfidf_terms": (tfidf_terms, f"WITH {_TFIDF} SELECT doc_id, term, round(weight, 6) AS weight FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 6) DESC, term) <= 3"),
     "similar_texts": (similar_texts, SIMILAR_TEXTS),
+    "query_expansions": (query_expansions, EXPANSIONS),
     "kmeans_clusters": (kmeans_clusters, None),
 }

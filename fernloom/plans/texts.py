@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fernloom.functions import markup as M
 from fernloom.functions import text as T
 from fernloom.session import load
 
@@ -39,25 +40,25 @@ def doc_complexity(spark, d):
     return _docs(spark, d).select("doc_id", T.complexity(C("text")).alias("score"))
 
 
-COMPLEXITY = rf"""WITH w AS (SELECT doc_id, text, {W} AS w FROM documents), n AS (SELECT *, CAST(greatest(len(w), 1) AS DOUBLE) AS n, greatest(len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: length(trim(s)) > 0)), 1) AS s FROM w)
-SELECT doc_id, round(least(100.0, 25 * (n / s / 20) + 25 * (length(array_to_string(w, '')) / n / 8) + 25 * (len(list_distinct(list_transform(w, lambda x: lower(x)))) / n) + 25 * (len(regexp_extract_all(text, '[,;:]')) / greatest(length(text), 1))), 6) AS score FROM n"""
+COMPLEXITY = rf"""WITH w AS (SELECT doc_id, text, {W} AS w, CAST(len({W}) AS DOUBLE) AS n, len(regexp_split_to_array(text, '[.!?]+')) AS s FROM documents)
+SELECT doc_id, round(CASE WHEN n > 0 THEN least(100.0, 25 * (n / s / 20) + 25 * (length(array_to_string(w, '')) / n / 8) + 25 * (len(list_distinct(w)) / n) + 25 * (len(regexp_extract_all(text, '[;:(){{}}\[\]"]')) / length(text) * 1000)) ELSE 0 END, 6) AS score FROM w"""
 
 
 def keyword_density(spark, d):
     """The ten most frequent keywords of each document with their share of all keywords."""
-    top = T.top_tokens(_docs(spark, d).where("lang = 'en'"), "doc_id", T.keywords(C("text")))
+    top = T.top_tokens(_docs(spark, d), "doc_id", T.keywords(C("text")))
     return top.select("doc_id", "token", "n", F.round(C("n") * 100.0 / C("total"), 6).alias("density"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-KEYWORDS = f"""WITH k AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 3 AND w NOT IN ({_STOP}))) AS token FROM documents WHERE lang = 'en'),
+KEYWORDS = f"""WITH k AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 3 AND w NOT IN ({_STOP}))) AS token FROM documents),
 c AS (SELECT doc_id, token, count(*) AS n FROM k GROUP BY ALL), a AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS r FROM c)
 SELECT doc_id, token, n, round(n * 100.0 / total, 6) AS density FROM a WHERE r <= 10"""
 
 
 def document_classes(spark, d):
     """Language by script, type, sentiment and token estimate."""
-    return _docs(spark, d).select("doc_id", T.language(C("text")).alias("language"), T.doc_type(C("text")).alias("type"), T.sentiment(C("text")).alias("sentiment"), T.token_estimate(C("text")).alias("tokens"))
+    return _docs(spark, d).select("doc_id", T.language(C("text")).alias("language"), T.doc_type(C("text")).alias("type"), T.sentiment(C("text")).alias("sentiment"), F.round(T.polarity(C("text")), 6).alias("polarity"), T.token_estimate(C("text")).alias("tokens"))
 
 
 def _any(ws):
@@ -68,9 +69,44 @@ def _sum(ws):
     return " + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in ws)
 
 
-CLASSES = f"""WITH s AS (SELECT *, greatest(length(text), 1) AS n, len(regexp_extract_all(text, '[가-힣]')) AS h, len(regexp_extract_all(text, '[ぁ-ヿ]')) AS k, len(regexp_extract_all(text, '[一-鿿]')) AS c, {_sum(T.POSITIVE)} AS pos, {_sum(T.NEGATIVE)} AS neg FROM documents)
-SELECT doc_id, CASE WHEN h / n > 0.1 THEN 'ko' WHEN k > 0 AND k > c THEN 'ja' WHEN c / n > 0.1 THEN 'zh' ELSE 'en' END AS language, CASE {" ".join(f"WHEN {_any(ks)} THEN '{t}'" for t, ks in T.DOC_TYPES)} ELSE 'general' END AS type,
-round(CASE WHEN pos + neg = 0 THEN 0.0 ELSE (pos - neg) / (pos + neg) END, 6) AS sentiment, CAST(strlen(text) // 4 + 1 AS BIGINT) AS tokens FROM s"""
+_CODE = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{k}', ''))) / {len(k)}" for k in T.CODE)
+CLASSES = f"""WITH s AS (SELECT *, greatest(length(text), 1) AS n, len(regexp_extract_all(text, '[가-힣]')) AS h, len(regexp_extract_all(text, '[ぁ-ヿ]')) AS k, len(regexp_extract_all(text, '[一-鿿]')) AS c, {_sum(T.POSITIVE)} - ({_sum(T.NEGATIVE)}) AS p FROM documents)
+SELECT doc_id, CASE WHEN h / n > 0.1 THEN 'ko' WHEN k > 0 AND k > c THEN 'ja' WHEN c / n > 0.1 THEN 'zh' ELSE 'en' END AS language,
+CASE WHEN {_any(T.TUTORIAL)} THEN 'tutorial' WHEN {_any(T.REFERENCE)} THEN 'reference' WHEN {_CODE} > 5 THEN 'code' WHEN regexp_matches(text, '(?m)^#{{1,6}} ') AND strlen(text) > 1000 THEN 'article' WHEN strlen(text) < 500 THEN 'notes' ELSE 'unknown' END AS type,
+CASE WHEN p > 0 THEN 'positive' WHEN p < 0 THEN 'negative' ELSE 'neutral' END AS sentiment, round(greatest(-1.0, least(1.0, p / 10)), 6) AS polarity, CAST(strlen(text) // 4 + 1 AS BIGINT) AS tokens FROM s"""
+
+
+def writing_advice(spark, d):
+    """What each document should be told."""
+    s = T.markdown_stats(C("text"))
+    rows = _docs(spark, d).select("doc_id", F.size(T.words(C("text"))).alias("w"), s["headers"].alias("h"), T.reading_minutes(C("text")).alias("m"), s["links"].alias("l"))
+    return rows.select("doc_id", F.array_join(F.transform(T.recommendations(C("w"), C("h"), C("m"), C("l")), lambda r: F.concat(r["kind"], F.lit(":"), r["severity"])), ";").alias("advice"))
+
+
+ADVICE = rf"""WITH s AS (SELECT doc_id, len({W}) AS w, {_N("(?m)^#{1,6} ")} AS h, {_N(r"\[[^\]]*\]\([^)]*\)")} AS l FROM documents)
+SELECT doc_id, concat_ws(';', CASE WHEN w < 100 THEN 'content_length:high' END, CASE WHEN w > 3000 THEN 'content_length:medium' END, CASE WHEN h = 0 AND w > 200 THEN 'structure:medium' END, CASE WHEN ceil(w / 200) > 10 THEN 'readability:low' END, CASE WHEN w > 500 AND l = 0 THEN 'engagement:low' END) AS advice FROM s"""
+
+
+def structure_analysis(spark, d):
+    """Headings, sections, introduction and conclusion of documents with headings of their source and language put in."""
+    t = F.concat(F.lit("# Overview "), C("source"), F.lit("\nA few words\n## Part "), C("lang"), F.lit("\n"), C("text"), F.lit("\n### Wrap up\nend"))
+    return _docs(spark, d).select("doc_id", *(v.alias(k) for k, v in T.structure(t).items()))
+
+
+STRUCTURE = f"SELECT doc_id, 3 AS depth, '1:Overview ' || source || ';2:Part ' || lang || ';3:Wrap up' AS headings, '3,' || CASE WHEN len({W}) > 0 THEN len({W}) || ',' ELSE '' END || '1' AS sections, true AS introduction, true AS conclusion FROM documents"
+
+
+def whitespace_keywords(spark, d):
+    """The ten most frequent words of each document that are no Korean stop words, with their share of all words."""
+    w = T.words(C("text"))
+    docs = _docs(spark, d).select("doc_id", "text", F.size(w).alias("words"))
+    n = T.top_tokens(docs, "doc_id", M.korean_keywords(C("text")))
+    return n.join(docs.select("doc_id", "words"), "doc_id").select("doc_id", "token", "n", F.round(C("n") / C("words"), 6).alias("score"))
+
+
+_KO = ", ".join(f"'{w}'" for w in M.KOREAN_STOP)
+WHITESPACE = f"""WITH w AS (SELECT doc_id, {W} AS w FROM documents), k AS (SELECT doc_id, len(w) AS words, unnest(list_filter(w, lambda x: length(x) >= 2 AND lower(x) NOT IN ({_KO}))) AS token FROM w)
+SELECT doc_id, token, count(*) AS n, round(count(*) / any_value(words), 6) AS score FROM k GROUP BY doc_id, token QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, token) <= 10"""
 
 
 def titles_and_slugs(spark, d):
@@ -163,6 +199,9 @@ QUERIES = {
     "doc_complexity": (doc_complexity, COMPLEXITY),
     "keyword_density": (keyword_density, KEYWORDS),
     "document_classes": (document_classes, CLASSES),
+    "writing_advice": (writing_advice, ADVICE),
+    "structure_analysis": (structure_analysis, STRUCTURE),
+    "whitespace_keywords": (whitespace_keywords, WHITESPACE),
     "titles_and_slugs": (titles_and_slugs, TITLES),
     "tags_and_mentions": (tags_and_mentions, TAGS),
     "content_hashes": (content_hashes, "SELECT doc_id, sha256(coalesce(text, '') || '|' || coalesce(lang, '') || '|' || coalesce(source, '')) AS hash FROM documents"),
