@@ -46,7 +46,9 @@ BUILTIN: dict[str, Callable[[Column], Column]] = {
     "trim": F.trim,
     "len": lambda a: F.octet_length(a).cast("string"),
     "join": lambda a: F.array_join(F.transform(F.split(a, ","), lambda x: F.trim(x)), ", "),
-    "repeat": lambda a: F.repeat(a, F.lit(2)),
+    "split": lambda a: F.array_join(F.split(a, ","), ", "),
+    # the count after the first comma: 1 without a whole number, 1000 at most
+    "repeat": lambda a: F.repeat(F.split_part(a, F.lit(","), F.lit(1)), F.least(F.coalesce(F.when(F.trim(F.split_part(a, F.lit(","), F.lit(2))).rlike("^[0-9]+$"), F.trim(F.split_part(a, F.lit(","), F.lit(2))).try_cast("int")), F.lit(1)), F.lit(1000))),
 }
 
 

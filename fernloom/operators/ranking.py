@@ -32,3 +32,16 @@ def latest_wins(old: DataFrame, new: DataFrame, keys: list[str], version: str) -
     """The upsert of new into old: of each key the row of greatest version, new before old."""
     rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     return newest(rows, keys, [F.desc(version), F.desc("_new")]).drop("_new")
+
+
+def placed(df: DataFrame, parts: list[str | Column], order: list[str]) -> DataFrame:
+    """df with place, counted from 1 in the order of parts and then of order.
+
+    parts cut the order into ranges of rows: only the counts of ranges are numbered in
+    one task, each range is sorted in a task of its own.
+    """
+    named = df.select("*", F.struct(*(F.expr(p) if isinstance(p, str) else p for p in parts)).alias("_range"))
+    counts = named.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return named.withColumn("_own", own).join(before, "_range").select(*df.columns, (F.col("_own") + F.col("_before")).cast("long").alias("place"))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from fernloom.operators import predicates, timeline
 from fernloom.session import load
+from fernloom.streaming import events as S
 
 AS_OF = "2024-01-31"
 
 
-
 def daily_activity(spark, d):
     return timeline.daily_activity(load(spark, d, "events").where(predicates.in_window("ts", f"{AS_OF} 00:00:00", 30)), ["click", "view", "purchase"])
 
@@ -87,12 +87,14 @@ s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id R
 
 
 def sliding_rate_limit(spark, d):
-    """Events that a sliding window of one day and three events a user would reject, were none rejected before."""
-    by = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-86_400_000_000 + 1, 0)
-    return load(spark, d, "events").withColumn("seen", F.count("*").over(by)).where("seen > 3").select("event_id", "user_id", "seen")
+    """Events that a limit of three accepted ones a user within a day rejects."""
+    return S.sliding_limited(load(spark, d, "events"), 3, 86_400).where("not accepted").select("event_id", "user_id")
 
 
-SLIDING = "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECOND PRECEDING AND CURRENT ROW) AS seen FROM events QUALIFY seen > 3"
+_ORDERED = "o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
+SLIDING = f"""WITH RECURSIVE {_ORDERED}, r AS (SELECT user_id, i, event_id, ts AS a, CAST(NULL AS TIMESTAMP) AS b, CAST(NULL AS TIMESTAMP) AS c, true AS ok FROM o WHERE i = 1 UNION ALL
+SELECT o.user_id, o.i, o.event_id, CASE WHEN k THEN o.ts ELSE r.a END, CASE WHEN k THEN r.a ELSE r.b END, CASE WHEN k THEN r.b ELSE r.c END, k FROM r JOIN (SELECT * FROM o) o ON o.user_id = r.user_id AND o.i = r.i + 1, LATERAL (SELECT r.c IS NULL OR o.ts - r.c >= INTERVAL 1 DAY AS k))
+SELECT event_id, user_id FROM r WHERE NOT ok"""
 
 
 def fixed_rate_limit(spark, d):
@@ -102,29 +104,41 @@ def fixed_rate_limit(spark, d):
 
 
 def lock_out(spark, d):
-    """Times at which a user's fifth event of a kind within a day locks the account for fifteen minutes."""
+    """Times until which each failure locks the account: from the fifth since the last success on, fifteen minutes. Errors are failures, purchases successes."""
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = load(spark, d, "events").where("event_type = 'login'").withColumn("fourth", F.lag("ts", 4).over(by))
-    return e.where(F.col("fourth") > F.col("ts") - F.expr("INTERVAL 1 DAY")).select("event_id", "user_id", (F.col("ts") + F.expr("INTERVAL 15 MINUTES")).alias("locked_until"))
+    e = load(spark, d, "events").where("event_type in ('error', 'purchase')").withColumn("run", F.count_if(F.col("event_type") == "purchase").over(by))
+    n = F.count_if(F.col("event_type") == "error").over(Window.partitionBy("user_id", "run").orderBy("ts", "event_id"))
+    return e.withColumn("failures", n).where("event_type = 'error' and failures >= 5").select("event_id", "user_id", "failures", (F.col("ts") + F.expr("INTERVAL 15 MINUTES")).alias("locked_until"))
 
 
-LOCK = "SELECT event_id, user_id, ts + INTERVAL 15 MINUTE AS locked_until FROM (SELECT *, lag(ts, 4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS fourth FROM events WHERE event_type = 'login') WHERE fourth > ts - INTERVAL 1 DAY"
+LOCK = """WITH e AS (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events WHERE event_type IN ('error', 'purchase')),
+n AS (SELECT *, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS failures FROM e)
+SELECT event_id, user_id, failures, ts + INTERVAL 15 MINUTE AS locked_until FROM n WHERE event_type = 'error' AND failures >= 5"""
 
 
 def debounced(spark, d):
-    """A user's events that come at least an hour after the one before."""
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = load(spark, d, "events").withColumn("last", F.lag("ts").over(by))
-    return e.where(F.col("last").isNull() | (F.col("ts") >= F.col("last") + F.expr("INTERVAL 1 HOUR"))).select("event_id")
+    """A user's events that come at least an hour after the last accepted one."""
+    return S.throttled(load(spark, d, "events"), 3600).where("accepted").select("event_id")
+
+
+DEBOUNCED = f"""WITH RECURSIVE {_ORDERED}, r AS (SELECT user_id, i, event_id, ts AS last, true AS ok FROM o WHERE i = 1 UNION ALL
+SELECT o.user_id, o.i, o.event_id, CASE WHEN o.ts >= r.last + INTERVAL 1 HOUR THEN o.ts ELSE r.last END, o.ts >= r.last + INTERVAL 1 HOUR FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT event_id FROM r WHERE ok"""
 
 
 def expired(spark, d):
-    """Entries older than their time to live: 30 days for logins, 7 for others."""
-    ttl = F.when(F.col("event_type") == "login", F.expr("INTERVAL 30 DAYS")).otherwise(F.expr("INTERVAL 7 DAYS"))
+    """Entries older than their time to live: 20 days for signups, 7 for others."""
+    ttl = F.when(F.col("event_type") == "signup", F.expr("INTERVAL 20 DAYS")).otherwise(F.expr("INTERVAL 7 DAYS"))
     return load(spark, d, "events").where(F.col("ts") + ttl < F.to_timestamp_ntz(F.lit(AS_OF))).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-EXPIRED = f"SELECT event_type, count(*) AS n FROM events WHERE ts + CASE WHEN event_type = 'login' THEN INTERVAL 30 DAY ELSE INTERVAL 7 DAY END < TIMESTAMP '{AS_OF}' GROUP BY 1"
+EXPIRED = f"SELECT event_type, count(*) AS n FROM events WHERE ts + CASE WHEN event_type = 'signup' THEN INTERVAL 20 DAY ELSE INTERVAL 7 DAY END < TIMESTAMP '{AS_OF}' GROUP BY 1"
+
+
+def durations(spark, d):
+    """Seconds from the first to the last event of each user and day."""
+    e = load(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
+    return e.select("user_id", "day", "n", F.round((F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))) / 1e6, 3).alias("seconds"))
 
 
 def presence(spark, d):
@@ -189,8 +203,9 @@ QUERIES = {
     "sliding_rate_limit": (sliding_rate_limit, SLIDING),
     "fixed_rate_limit": (fixed_rate_limit, "SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS place FROM events QUALIFY place > 3"),
     "account_lock_out": (lock_out, LOCK),
-    "debounced_events": (debounced, "SELECT event_id FROM events QUALIFY coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR, true)"),
+    "debounced_events": (debounced, DEBOUNCED),
     "expired_entries": (expired, EXPIRED),
+    "durations": (durations, "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS seconds FROM events GROUP BY 1, 2"),
     "presence": (presence, PRESENCE),
     "early_late_thirds": (retention_thirds, THIRDS),
     "conversation_stats": (conversation_stats, "SELECT conv_id, count(*) AS messages, count(DISTINCT role) AS users, round(avg(strlen(text)), 6) AS mean_bytes FROM conversations GROUP BY 1"),

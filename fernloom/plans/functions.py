@@ -24,12 +24,12 @@ TEMPLATE = "SELECT c_custkey, 'Dear ' || c_name || ', your balance in ' || c_mkt
 
 def doc_functions(spark, d):
     args = F.concat_ws(",", C("o_orderkey").cast("string"), F.lit(" 2.5"), F.lit("x"), (C("o_custkey") * 2).cast("string"))
-    rows = load(spark, d, "orders").where("o_orderkey < 2000").withColumn("args", args)
-    return rows.select("o_orderkey", *(D.called(n, C("args")).alias(f"f_{n}") for n in ("sum", "min", "max", "count", "upper", "len", "join", "nope")))
+    rows = load(spark, d, "orders").withColumn("args", args)
+    return rows.select("o_orderkey", *(D.called(n, C("args")).alias(f"f_{n}") for n in ("sum", "avg", "min", "max", "count", "upper", "lower", "len", "join", "split", "nope")), D.called("repeat", F.concat_ws(",", F.lit("ab"), (C("o_orderkey") % 4).cast("string"))).alias("f_repeat"), D.called("repeat", F.lit("ab,x")).alias("f_once"))
 
 
-FUNCTIONS = """WITH a AS (SELECT o_orderkey, o_orderkey AS x, o_custkey * 2 AS y, o_orderkey || ', 2.5,x,' || (o_custkey * 2) AS args FROM orders WHERE o_orderkey < 2000)
-SELECT o_orderkey, CAST(CAST(x + y + 2.5 AS DOUBLE) AS VARCHAR) AS f_sum, CASE WHEN least(x, y) > 2.5 THEN '2.5' ELSE CAST(least(x, y) AS VARCHAR) END AS f_min, CAST(greatest(x, y, 3) AS VARCHAR) AS f_max, '4' AS f_count, upper(args) AS f_upper, CAST(strlen(args) AS VARCHAR) AS f_len, x || ', 2.5, x, ' || y AS f_join, '[unknown function: nope]' AS f_nope FROM a"""
+FUNCTIONS = """WITH a AS (SELECT o_orderkey, o_orderkey AS x, o_custkey * 2 AS y, o_orderkey || ', 2.5,x,' || (o_custkey * 2) AS args FROM orders)
+SELECT o_orderkey, CAST(CAST(x + y + 2.5 AS DOUBLE) AS VARCHAR) AS f_sum, CAST(round(CAST(x + y + 2.5 AS DOUBLE) / 3, 6) AS VARCHAR) AS f_avg, lower(args) AS f_lower, x || ',  2.5, x, ' || y AS f_split, repeat('ab', x % 4) AS f_repeat, 'ab' AS f_once, CASE WHEN least(x, y) > 2.5 THEN '2.5' ELSE CAST(least(x, y) AS VARCHAR) END AS f_min, CAST(greatest(x, y, 3) AS VARCHAR) AS f_max, '4' AS f_count, upper(args) AS f_upper, CAST(strlen(args) AS VARCHAR) AS f_len, x || ', 2.5, x, ' || y AS f_join, '[unknown function: nope]' AS f_nope FROM a"""
 
 
 def table_of_contents(spark, d):
@@ -92,19 +92,19 @@ BACKUP = "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(ts AS DATE) END
 
 
 def stream_daily_counts(spark, d):
-    return S.finished(S.daily_counts(S.read_events(spark, d)), "complete").drop("_batch")
+    return S.finished(S.daily_counts(S.read_events(spark, d))).drop("_batch")
 
 
 def stream_sliding(spark, d):
-    return S.finished(S.sliding_counts(S.read_events(spark, d)), "complete").drop("_batch")
+    return S.finished(S.sliding_counts(S.read_events(spark, d))).drop("_batch")
 
 
 def stream_sessions(spark, d):
-    return S.finished(S.session_counts(S.read_events(spark, d)), "complete").drop("_batch")
+    return S.finished(S.session_counts(S.read_events(spark, d))).drop("_batch")
 
 
 STREAM_SESSIONS = """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS begin, count(*) AS n FROM s GROUP BY user_id, s"""
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS begin, count(*) AS n FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""
 
 
 def stream_distinct(spark, d):
@@ -139,8 +139,8 @@ QUERIES = {
     "export_roundtrip": (export_roundtrip, "SELECT doc_id, lang, sha256(text) AS json_hash, sha256(text) AS csv_hash FROM documents"),
     "upsert": (upsert, UPSERT),
     "backup_names": (backup_names, BACKUP),
-    "stream_daily_counts": (stream_daily_counts, "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
-    "stream_sliding": (stream_sliding, "SELECT CAST(d AS TIMESTAMP) AS start, count(*) AS n FROM (SELECT unnest([CAST(ts AS DATE), CAST(ts AS DATE) - 1]) AS d FROM events) GROUP BY 1"),
+    "stream_daily_counts": (stream_daily_counts, "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2"),
+    "stream_sliding": (stream_sliding, "SELECT CAST(d AS TIMESTAMP) AS start, count(*) AS n FROM (SELECT unnest([CAST(ts AS DATE), CAST(ts AS DATE) - 1]) AS d FROM events) WHERE d + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1"),
     "stream_sessions": (stream_sessions, STREAM_SESSIONS),
     "stream_distinct": (stream_distinct, "SELECT event_type, count(*) AS n FROM events GROUP BY 1"),
     "stream_rate_limit": (stream_rate_limit, "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) <= 3 AS allowed FROM events"),

@@ -49,16 +49,25 @@ def unified_diffs(spark, d):
 
 
 def backlinks(spark, d):
-    """Links between pages resolved by the last part of their path, both ways counted."""
-    pages = load(spark, d, "pages")
-    names = pages.select("page_id", F.lower(F.element_at(F.split(F.parse_url("url", F.lit("PATH")), "/"), -1)).alias("name")).where("name <> ''")
-    target = names.groupBy("name").agg(F.min("page_id").alias("target"))
-    out = pages.select("page_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit('href="/([^"/]*)"'), 1), lambda x: F.lower(x)))).alias("name"))
-    hits = out.join(target, "name").where(C("page_id") != C("target")).select("page_id", "target")
-    both = hits.select(C("page_id").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(hits.select("target", F.lit(0), F.lit(1)))
+    """Wiki links between documents, resolved by title in any case: the first document of a title is meant. Links to itself and to nothing don't count.
+
+    Each document links to the documents of its first two title words, so that links resolve.
+    """
+    docs = load(spark, d, "documents").where("text is not null").select("doc_id", F.lower(F.regexp_extract("text", r"^(\S{1,40})", 1)).alias("title"), F.lower(F.regexp_extract("text", r"^\S+\s+(\S{1,40})", 1)).alias("to"))
+    target = docs.where("title <> ''").groupBy("title").agg(F.min("doc_id").alias("target"))
+    text = F.concat(F.lit("see [["), "to", F.lit("|that]] and [["), "title", F.lit("]]"))
+    out = docs.where("to <> ''").select("doc_id", F.explode(T.wiki_links(text)).alias("title"))
+    hits = out.join(target, "title").where(C("doc_id") != C("target")).select("doc_id", "target").distinct()
+    both = hits.select(C("doc_id").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(hits.select("target", F.lit(0), F.lit(1)))
     return both.groupBy("node").agg(F.sum("o").alias("links"), F.sum("i").alias("backlinks"))
 
 
+BACKLINKS = r"""WITH d AS (SELECT doc_id, lower(regexp_extract(text, '^([^ \t\n\r\f\x0B]{1,40})', 1)) AS title, lower(regexp_extract(text, '^[^ \t\n\r\f\x0B]+[ \t\n\r\f\x0B]+([^ \t\n\r\f\x0B]{1,40})', 1)) AS other FROM documents WHERE text IS NOT NULL),
+t AS (SELECT title, min(doc_id) AS target FROM d WHERE title <> '' GROUP BY 1), o AS (SELECT doc_id, unnest([other, title]) AS title FROM d WHERE other <> ''),
+h AS (SELECT DISTINCT doc_id, target FROM o JOIN t USING (title) WHERE doc_id <> target AND NOT regexp_matches(title, '[\]|]'))
+SELECT node, CAST(sum(o) AS BIGINT) AS links, CAST(sum(i) AS BIGINT) AS backlinks FROM (SELECT doc_id AS node, 1 AS o, 0 AS i FROM h UNION ALL SELECT target, 0, 1 FROM h) GROUP BY 1"""
+
+
 def korean_and_initials(spark, d):
     t = F.concat(F.lit("그리고 한국어 검색 "), C("p_brand"), F.lit(" 가"))
     return load(spark, d, "part").select("p_partkey", F.array_join(M.korean_keywords(t), ";").alias("keywords"), T.initial_consonants(F.lit("검색")).alias("initials"))
@@ -104,7 +113,7 @@ QUERIES = {
     "decoded_pages": (decoded_pages, DECODED),
     "controlled_templates": (controlled_templates, CONTROLLED),
     "unified_diffs": (unified_diffs, None),
-    "backlinks": (backlinks, None),
+    "backlinks": (backlinks, BACKLINKS),
     "korean_and_initials": (korean_and_initials, KOREAN),
     "dbscan_clusters": (dbscan_clusters, DBSCAN),
     "cluster_quality": (cluster_quality, None),

@@ -6,6 +6,8 @@ versions), parts tags by brand, nations and regions two levels of categories.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,11 +162,11 @@ WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1999-01
 def contains_all_tags(spark, d):
     """Documents that have both of two tags."""
     lineitem, part = load(spark, d, "lineitem", "part")
-    brands = part.where(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13", "Brand#21")).select("p_partkey", F.substring("p_brand", 1, 7).alias("tag"))
+    brands = part.select("p_partkey", F.substring("p_brand", 1, 7).alias("tag"))
     return predicates.with_all(lineitem.join(brands, lineitem["l_partkey"] == brands["p_partkey"]), "l_orderkey", "tag", ["Brand#1", "Brand#2"])
 
 
-CONTAINS_ALL_TAGS = """SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21') GROUP BY 1 HAVING count(DISTINCT substr(p_brand, 1, 7)) = 2"""
+CONTAINS_ALL_TAGS = """SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE substr(p_brand, 1, 7) IN ('Brand#1', 'Brand#2') GROUP BY 1 HAVING count(DISTINCT substr(p_brand, 1, 7)) = 2"""
 
 
 def workflow_analytics(spark, d):
@@ -183,14 +185,14 @@ def overdue(spark, d):
 
 
 def assigned_sorted(spark, d):
-    """A user's documents by priority, then date with missing ones last; ten of them."""
+    """Documents by priority, then date with missing ones last; the first page of ten."""
     orders = load(spark, d, "orders")
     due = F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate"))
-    rows = orders.where("o_custkey % 50 = 1").withColumn("due", due)
+    rows = orders.withColumn("due", due)
     return rows.orderBy("o_orderpriority", F.asc_nulls_last("due"), "o_orderkey").limit(10).select("o_orderkey", "o_orderpriority", "due")
 
 
-ASSIGNED_SORTED = """SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS due FROM orders WHERE o_custkey % 50 = 1 ORDER BY o_orderpriority, due NULLS LAST, o_orderkey LIMIT 10"""
+ASSIGNED_SORTED = """SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS due FROM orders ORDER BY o_orderpriority, due NULLS LAST, o_orderkey LIMIT 10"""
 
 
 def untagged(spark, d):
@@ -308,7 +310,7 @@ NEXT_VERSION = "SELECT o_orderkey, CAST(coalesce(max(l_linenumber), 0) + 1 AS IN
 def queue_position(spark, d):
     """Pending documents by priority and age: each one's place in the queue, by sorting once."""
     orders = load(spark, d, "orders").where("o_orderstatus = 'P'")
-    return orders.select("o_orderkey", F.row_number().over(Window.orderBy("o_orderpriority", "o_orderdate", "o_orderkey")).cast("long").alias("place"))
+    return ranking.placed(orders.select("o_orderkey", "o_orderpriority", "o_orderdate"), ["o_orderpriority", F.trunc("o_orderdate", "month")], ["o_orderdate", "o_orderkey"]).select("o_orderkey", "place")
 
 
 QUEUE_POSITION = "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'P'"
@@ -355,7 +357,7 @@ def expertise(spark, d):
     shared = n.groupBy("p_brand").agg(F.count("*").alias("users"))
     level = F.when(F.col("n") >= 10, "expert").when(F.col("n") >= 5, "advanced").when(F.col("n") >= 2, "intermediate").otherwise("beginner")
     best = ranking.newest(n.withColumn("level", level), ["o_custkey"], [F.desc("n"), F.col("p_brand")], 3)
-    return best.join(F.broadcast(shared), "p_brand")
+    return best.join(shared, "p_brand")
 
 
 EXPERTISE = """WITH n AS (SELECT o_custkey, p_brand, count(DISTINCT o_orderkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 30 GROUP BY 1, 2),
@@ -385,13 +387,74 @@ def first_reviewer(spark, d):
     """For each document the first active one of its reviewers in order of preference."""
     lineitem, supplier = load(spark, d, "lineitem", "supplier")
     active = supplier.where("s_acctbal > 0").select("s_suppkey")
-    prefer = lineitem.select("l_orderkey", "l_suppkey", "l_linenumber").join(F.broadcast(active), F.col("l_suppkey") == F.col("s_suppkey"))
+    prefer = lineitem.select("l_orderkey", "l_suppkey", "l_linenumber").join(active, F.col("l_suppkey") == F.col("s_suppkey"))
     return prefer.groupBy("l_orderkey").agg(F.min_by("l_suppkey", F.struct("l_linenumber", "l_suppkey")).alias("reviewer"))
 
 
 FIRST_REVIEWER = "SELECT l_orderkey, l_suppkey AS reviewer FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal > 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) = 1"
 
+def best_annotation(spark, d):
+    """The path of each document's annotation of the highest priority, or one made of its key."""
+    orders, lineitem = load(spark, d, "orders", "lineitem")
+    best = lineitem.where("l_quantity > 40").groupBy("l_orderkey").agg(F.max_by(F.concat(F.lit("notes/"), F.col("l_partkey").cast("string")), F.struct("l_quantity", -F.col("l_linenumber"), -F.col("l_partkey"))).alias("path"))
+    return orders.join(best, orders["o_orderkey"] == best["l_orderkey"], "left").select("o_orderkey", F.coalesce("path", F.concat(F.lit("doc://"), F.col("o_orderkey").cast("string"))).alias("path"))
+
+
+BEST_ANNOTATION = """SELECT o_orderkey, coalesce(path, 'doc://' || o_orderkey) AS path FROM orders LEFT JOIN
+(SELECT l_orderkey, 'notes/' || l_partkey AS path FROM lineitem WHERE l_quantity > 40 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) = 1) ON l_orderkey = o_orderkey"""
+
+#: Sort orders by name: each takes whether it falls.
+SORTS = {
+    "created": lambda falls: F.desc_nulls_last("o_orderdate") if falls else F.asc_nulls_last("o_orderdate"),
+    "views": lambda falls: F.desc_nulls_last("o_totalprice") if falls else F.asc_nulls_last("o_totalprice"),
+    "title": lambda falls: F.desc_nulls_last(F.lower("o_orderpriority")) if falls else F.asc_nulls_last(F.lower("o_orderpriority")),
+}
+
+
+def sorted_by(spark, d):
+    """The first pages of five by each sort order, both ways."""
+    orders = load(spark, d, "orders")
+    pages = [orders.orderBy(order(falls), "o_orderkey").limit(5).select(F.lit(name).alias("by"), F.lit(falls).alias("falls"), "o_orderkey") for name, order in SORTS.items() for falls in (False, True)]
+    return reduce(lambda x, y: x.union(y), pages)
+
+
+SORTED_BY = " UNION ALL ".join(f"SELECT * FROM (SELECT '{n}' AS by, {'true' if f else 'false'} AS falls, o_orderkey FROM orders ORDER BY {c}{' DESC' if f else ''} NULLS LAST, o_orderkey LIMIT 5)" for n, c in (("created", "o_orderdate"), ("views", "o_totalprice"), ("title", "lower(o_orderpriority)")) for f in (False, True))
+
+
+def root_folders(spark, d):
+    """Folders that lie in no other listed folder: an anti join on all their parents."""
+    path = F.parse_url("url", F.lit("PATH"))
+    roots = load(spark, d, "pages").select(F.regexp_replace(path, "/+$", "").alias("path")).where("path <> ''").distinct()
+    n = F.size(F.split("path", "/"))
+    above = roots.select("path", F.explode(F.sequence(F.lit(1), n - 1)).alias("i")).select("path", F.expr("substring_index(path, '/', i)").alias("parent"))
+    nested = above.join(roots.select(F.col("path").alias("parent")), "parent", "left_semi").select("path").distinct()
+    return roots.join(nested, "path", "left_anti").select("path", n.cast("long").alias("depth"))
+
+
+ROOT_FOLDERS = r"""WITH r AS (SELECT DISTINCT regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path FROM pages)
+SELECT path, CAST(len(string_split(path, '/')) AS BIGINT) AS depth FROM r WHERE path <> '' AND NOT EXISTS (SELECT 1 FROM r x WHERE x.path <> '' AND starts_with(r.path, x.path || '/'))"""
+
+
+def trend_summary(spark, d):
+    """Documents of the last seven and thirty days up to a date, the five authors with most, and the day with most."""
+    orders = load(spark, d, "orders").where("o_orderdate <= timestamp_ntz'1998-08-02 00:00:00'")
+    since = lambda n: F.count_if(F.col("o_orderdate") > F.expr(f"timestamp_ntz'1998-08-02 00:00:00' - interval {n} days"))
+    counts = orders.agg(F.count("*").alias("n"), since(7).alias("last_7"), since(30).alias("last_30"))
+    authors = orders.groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_custkey").limit(5)
+    authors = authors.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "o_custkey"))), lambda s: s["o_custkey"].cast("string")), ",").alias("authors"))
+    peak = orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("m")).agg(F.max_by("day", F.struct("m", -F.unix_date("day"))).alias("peak"))
+    return counts.crossJoin(authors).crossJoin(peak)  # one row each
+
+
+TREND = """WITH o AS (SELECT * FROM orders WHERE o_orderdate <= TIMESTAMP '1998-08-02'), a AS (SELECT o_custkey, count(*) AS n FROM o GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 5), p AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM o GROUP BY 1 ORDER BY n DESC, day LIMIT 1)
+SELECT count(*) AS n, count(*) FILTER (o_orderdate > TIMESTAMP '1998-08-02' - INTERVAL 7 DAY) AS last_7, count(*) FILTER (o_orderdate > TIMESTAMP '1998-08-02' - INTERVAL 30 DAY) AS last_30,
+(SELECT string_agg(CAST(o_custkey AS VARCHAR), ',' ORDER BY n DESC, o_custkey) FROM a) AS authors, (SELECT day FROM p) AS peak FROM o"""
+
 QUERIES = {
+    "best_annotation": (best_annotation, BEST_ANNOTATION),
+    "sorted_by": (sorted_by, SORTED_BY),
+    "root_folders": (root_folders, ROOT_FOLDERS),
+    "trend_summary": (trend_summary, TREND),
     "overview": (overview, OVERVIEW),
     "active_users_union": (active_users_union, "SELECT count(*) AS active_users FROM (SELECT o_custkey FROM orders UNION SELECT user_id FROM events)"),
     "authors_and_actors": (authors_and_actors, "SELECT o_custkey AS user_id FROM orders INTERSECT SELECT user_id FROM events"),

@@ -13,9 +13,11 @@ MOST_BYTES = 10 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one that spark.checkpoint.dir names; a temporary one only where none is set."""
+    """A new folder in the shared one that spark.checkpoint.dir names; a temporary one only in a local session where none is set."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/files-{uuid.uuid4().hex}"

@@ -59,21 +59,34 @@ def distinct_events(events: DataFrame) -> DataFrame:
 def limited(events: DataFrame, most: int = 3) -> DataFrame:
     """(event_id, user_id, allowed): at most `most` events of a user and day, in order of time within a batch.
 
-    The state of a user is the newest day and its count.
+    The state of a user is the newest day with its count and that of the day before;
+    events of earlier days come too late and aren't allowed. State goes when the
+    watermark has passed it by two days.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, n = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        day, n, before = state.get if state.exists else (-2, 0, 0)
         rows = pd.concat(parts).sort_values(["ts", "event_id"])
         allowed = []
         for d in (rows["ts"].astype("int64") // 86_400_000_000_000 if str(rows["ts"].dtype).startswith("datetime64[ns") else rows["ts"].astype("int64") // 86_400_000_000):
-            n = n + 1 if d == day else 1
-            day = int(d)
-            allowed.append(n <= most)
-        state.update((day, n))
+            if d > day:
+                day, n, before = int(d), 1, n if d == day + 1 else 0
+                allowed.append(n <= most)
+            elif d == day:
+                n += 1
+                allowed.append(n <= most)
+            else:
+                before += d == day - 1
+                allowed.append(bool(d == day - 1 and before <= most))
+        state.update((int(day), int(n), int(before)))
+        state.setTimeoutTimestamp(max((int(day) + 2) * 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "allowed": allowed})
 
-    return events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "day long, n long", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", LATE).select("event_id", "user_id", "ts").groupBy("user_id")
+    return rows.applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "day long, n long, before long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def folded_edits(edits: DataFrame) -> DataFrame:
@@ -110,6 +123,47 @@ def folded_edits(edits: DataFrame) -> DataFrame:
     return rows.mapInArrow(fold, f"doc {dict(edits.dtypes)['doc']}, version bigint, text string")
 
 
+def _folded(events: DataFrame, decide) -> DataFrame:
+    """(event_id, user_id, ts, accepted) of events in order of time: decide(state, micros) gives a user's next state and the verdict.
+
+    Events come sorted, a bounded batch at a time; only one user's state is kept.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, state = object(), None
+        for batch in batches:
+            out = []
+            for u, at in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if u != user:
+                    user, state = u, None
+                state, verdict = decide(state, at)
+                out.append(verdict)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.bool_())], ["event_id", "user_id", "ts", "accepted"])
+
+    rows = events.where("ts is not null").select("event_id", "user_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(fold, f"event_id {kinds['event_id']}, user_id {kinds['user_id']}, ts {kinds['ts']}, accepted boolean")
+
+
+def throttled(events: DataFrame, seconds: int) -> DataFrame:
+    """An event is accepted if the user's last accepted one is at least so many seconds before."""
+
+    def decide(last, at):
+        return (at, True) if last is None or at - last >= seconds * 1_000_000 else (last, False)
+
+    return _folded(events, decide)
+
+
+def sliding_limited(events: DataFrame, most: int, seconds: int) -> DataFrame:
+    """An event is accepted if fewer than `most` accepted ones of the user lie within the seconds before; rejected ones don't count."""
+
+    def decide(seen, at):
+        seen = [t for t in seen or () if at - t < seconds * 1_000_000]
+        return ([*seen, at], True) if len(seen) < most else (seen, False)
+
+    return _folded(events, decide)
+
+
 def queue_step(queue: DataFrame, done: DataFrame, attempts: int = 3) -> DataFrame:
     """The queue (id, priority, attempts, status) after results (id, ok): finished, retried, or failed after the last attempt."""
     rows = queue.join(done.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")

@@ -10,6 +10,7 @@ from fernloom.functions import text as T
 from fernloom.operators import chunking, graph, hierarchy, predicates, ranking, search, timeline, vectors
 from fernloom.plans import catalogue
 from fernloom.sources import files
+from fernloom.streaming import events as streams
 from fernloom.streaming.events import folded_edits
 
 
@@ -62,7 +63,7 @@ def test_fusion(spark):
     best = search.fused([a, b]).orderBy(F.desc("score")).collect()
     assert (best[0]["doc_id"], best[0]["score"]) == (2, 1.0)
     assert search.fused([a.limit(0), b.limit(0)]).count() == 0
-    assert search.expansions("fix error") == ["solve error", "repair error", "fix bug"]
+    assert one(spark, search.expansions(F.lit("fix error"))) == ["fix issue", "fix problem", "solve error"]
 
 
 def test_graph(spark):
@@ -142,3 +143,73 @@ def test_lda_topics_of_all_languages(spark, tmp_path):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("wasser feuer", "de"), ("wasser feuer", "de"), ("letter window", "en"), ("letter window", "en")])]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["term"] for r in catalogue()["lda_topics"][0](spark, str(tmp_path)).collect()} == {"wasser", "feuer", "letter", "window"}
+
+
+def test_fixed_rules(spark):
+    sample = "a (b); c: [d] " * 3
+    assert one(spark, T.complexity(F.lit(sample))) == 100 and one(spark, T.complexity(F.lit(""))) == 0
+    # two sentences of four words with an empty one after the last mark, all words distinct
+    assert one(spark, T.complexity(F.lit("aa bb cc dd. ee ff gg hh."))) == round(25 * (8 / 3 / 20) + 25 * (18 / 8 / 8) + 25, 6)
+    assert [one(spark, T.sentiment(F.lit(t))) for t in ("I LIKE it", "the worst", "good but bad", "")] == ["positive", "negative", "neutral", "neutral"]
+    assert [one(spark, T.doc_type(F.lit(t))) for t in ("How to x", "Parameters: y", "let a let b let c let d let e let f", "# T\n" + "w " * 600, "short", "w " * 300)] == ["tutorial", "reference", "code", "article", "notes", "unknown"]
+    assert one(spark, search.expansions(F.lit("Fix the error"))) == ["fix the issue", "fix the problem", "solve the error"]
+    assert one(spark, search.expansions(F.lit("very new thing here"))) == ["thing here"] and one(spark, search.expansions(F.lit("new thing"))) == []
+    assert [one(spark, D.called("repeat", F.lit(a))) for a in ("ab", "ab,3", "ab, 0", "ab,x")] == ["ab", "ababab", "", "ab"]
+    assert len(one(spark, D.called("repeat", F.lit("a,5000")))) == 1000
+
+
+def test_sliding_limit_and_throttle(spark):
+    at = [0, 10, 20, 30, 61, 65, 75]
+    rows = spark.createDataFrame([(i, 1, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)) for i, s in enumerate(at)], "event_id int, user_id int, ts timestamp_ntz")
+    # the fourth is rejected and doesn't count: a minute after the first there is room again
+    assert sorted(r["event_id"] for r in streams.sliding_limited(rows, 3, 60).where("accepted").collect()) == [0, 1, 2, 4, 6]
+    assert sorted(r["event_id"] for r in streams.throttled(rows, 25).where("accepted").collect()) == [0, 3, 4]
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    import time
+
+    day = lambda n, h=0: datetime.datetime(2024, 1, n, h)
+    for name, rows in (("a", [(1, day(1)), (2, day(1, 5)), (3, day(5))]), ("b", [(5, day(9))]), ("c", [(4, day(1, 6)), (6, day(20))])):
+        spark.createDataFrame([(i, 7, t, "view") for i, t in rows], "event_id long, user_id long, ts timestamp_ntz, event_type string").coalesce(1).write.parquet(str(tmp_path / f"raw-{name}"))
+        next((tmp_path / f"raw-{name}").glob("part-*.parquet")).rename(tmp_path / f"events-{name}.parquet")
+        time.sleep(1.1)
+    for folder in tmp_path.glob("raw-*"):
+        for f in folder.iterdir():
+            f.unlink()
+        folder.rmdir()
+    got = streams.finished(streams.daily_counts(streams.read_events(spark, str(tmp_path), "events-*.parquet")))
+    # event 4 comes after the watermark has passed its day; the last day is still open
+    assert sorted((str(r["day"]), r["n"]) for r in got.collect()) == [("2024-01-01", 2), ("2024-01-05", 1), ("2024-01-09", 1)]
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    x = np.random.default_rng(1).normal(size=(60, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    want = {(i, j, s[i, j]) for i in range(60) for j in range(i + 1, 60) if s[i, j] >= 0.5}
+    assert {(r["a"], r["b"], r["similarity"]) for r in vectors.similarity_edges(rows, 0.5).collect()} == want
+    got = vectors.neighbours(rows.where("vec_id % 20 = 0"), rows, 3, -1.0).collect()
+    for q in (0, 20, 40):
+        best = sorted(((-s[q, j], j) for j in range(60) if j != q))[:3]
+        assert sorted((-r["similarity"], r["vec_id"]) for r in got if r["query_id"] == q) == best
+    pairs = s[np.triu_indices(60, 1)]
+    row = vectors.similarity_summary(rows).first()
+    assert row["n"] == len(pairs) and row["low"] == pairs.min() and row["far"] == (pairs < 0.5).sum() and abs(row["dev"] - pairs.std()) < 1e-5
+
+
+def test_chunks_against_plain_code(spark):
+    text = "One two. Three! Four?  Five\n\nshort\n\n" + "long paragraph " * 20 + "\n\nend"
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    parts = [p.strip() for p in text.split("\n\n") if p.strip()]
+    want = []
+    for p in parts:
+        if want and len(p) < 100:
+            want[-1] += "\n\n" + p
+        else:
+            want.append(p)
+    assert [r["text"] for r in chunking.paragraphs(docs, 100).orderBy("index").collect()] == want
