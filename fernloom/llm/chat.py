@@ -25,9 +25,13 @@ def rotate_perspectives(conversations: DataFrame) -> DataFrame:
     null text is rendered empty and has no target, an empty one has its end mark; a
     null role is a participant named unknown. Rows without conv_id or turn can't be
     placed and are left out. Rows with equal conversation and turn are each
-    rendered; equal rows are rendered once. Extra columns are dropped.
+    rendered, equal rows too. Marks in a text or a name are broken by a space, and
+    line ends in a name are one, so that no text can end its segment. Extra columns
+    are dropped.
     """
-    turns = conversations.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("name"), "text").distinct()
+    broken = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
+    name = F.regexp_replace(broken(F.coalesce("role", F.lit("unknown"))), r"[\r\n]+", " ")
+    turns = conversations.where("conv_id is not null and turn is not null").select("conv_id", "turn", name.alias("name"), broken(F.col("text")).alias("text"))
     people = turns.where("name <> 'system'").select("conv_id", F.col("name").alias("perspective")).distinct()
     both = turns.join(people, "conv_id")
     own = F.col("name") == F.col("perspective")
@@ -53,7 +57,7 @@ def op9_chat_formatting(spark, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS name, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+WITH t AS (SELECT conv_id, turn, regexp_replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '[\r\n]+', ' ', 'g') AS name, replace(text, '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 p AS (SELECT DISTINCT conv_id, name AS perspective FROM t WHERE name <> 'system'),
 b AS (SELECT t.*, perspective, CASE WHEN name = 'system' THEN 'system' WHEN name = perspective THEN 'assistant' ELSE 'user' END AS as_role FROM t JOIN p USING (conv_id)),
 h AS (SELECT *, '<|im_start|>' || as_role || CASE WHEN as_role = 'user' THEN ' name=' || name ELSE '' END || chr(10) AS head, coalesce(text, '') || '<|im_end|>' || chr(10) AS body FROM b)

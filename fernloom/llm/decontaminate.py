@@ -71,8 +71,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z went to lower case. A
     word is hit if it lies in an occurrence of an item window; n_items counts the
     items with such windows. Null or empty texts have no words and no hits; null
-    item texts have no windows. Rows that repeat both doc_id and text are one
-    document; rows that share a doc_id only are each their own, as are null ids.
+    item texts have no windows. Each row is its own, rows that repeat a doc_id, with
+    the same text or another, and null ids too. Other columns are left out.
     """
     items = table(item_windows(benchmark, window, shingle))
     grams = items.select("words", "k", F.posexplode("keys").alias("off", "key")).distinct()
@@ -127,7 +127,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     kind = dict(documents.dtypes)["doc_id"]
     per_doc = docs.mapInArrow(candidates, f"doc_id {kind}, copy binary, n_words bigint, hits array<struct<pos:int,key:bigint,k:int,before:int,near:array<string>>>")
     doc = ["doc_id", "copy", "n_words"]
-    hit = per_doc.select(*doc, F.explode_outer("hits").alias("hit")).select(*doc, "hit.*")
+    hit = per_doc.select(*doc, F.posexplode_outer("hits").alias("i", "hit")).select(*doc, F.when(F.coalesce("i", F.lit(0)) == 0, 1).alias("row"), "hit.*")
+    # documents without hits are dealt out by themselves; no window has 0 words in its shingles
+    hit = hit.withColumn("key", F.coalesce("key", F.xxhash64("doc_id", "copy"))).withColumn("k", F.coalesce("k", F.lit(0)))
     hit = hit.join(chosen, ["key", "k"], "left").withColumn(
         "start",
         # position and length: the window must begin and end in the document; then all its words are compared
@@ -136,7 +138,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     found = hit.groupBy(*doc).agg(
         F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", F.size("words").alias("size")))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set(F.when(F.col("start").isNotNull(), F.col("items"))))).alias("items"),
+        F.sum("row").alias("rows"),
     )
+    found = found.withColumn("rows", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),

@@ -15,6 +15,8 @@ prefix ends is sorted.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ from fernloom.llm.common import sent, table
 
 #: Part of the corpus's tokens that the mix has, passes over a leaf at most, and the seed of the order.
 BUDGET, EPOCHS, SEED = 0.5, 2, 20240229
-#: Whole-number weights of languages; other languages have weight 1, and domains and sources weigh the same.
-LANGUAGES = {"en": 5, "fr": 2, "de": 2, "es": 2}
+#: Whole-number weights by level and name; what isn't named has weight 1.
+WEIGHTS = {"domain": {"d1": 2}, "lang": {"en": 5, "fr": 2, "de": 2, "es": 2}, "source": {"src0": 3}}
 #: Hexadecimal digits of the hash by which a leaf is summed: 4096 buckets of a leaf.
 DIGITS = 3
 
@@ -57,23 +59,23 @@ def filled(nodes: DataFrame, parent: list[str], budget: str) -> DataFrame:
     return full.withColumn("rest", rest).withColumn("got", F.when(F.col("full"), F.col("cap")).otherwise(F.floor(F.col("rest.share") * F.col("weight")))).drop("share", "full", "rest")
 
 
-def leaf_budgets(leaves: DataFrame, budget: float = BUDGET, epochs: int = EPOCHS, languages: dict[str, int] | None = None) -> DataFrame:
-    """(domain, lang, source, tokens, got) of leaves (domain, lang, source, tokens)."""
-    languages = LANGUAGES if languages is None else languages
-    weight = F.coalesce(F.create_map(*(F.lit(x) for kv in languages.items() for x in kv))[F.col("lang")], F.lit(1))
+def leaf_budgets(leaves: DataFrame, budget: float = BUDGET, epochs: int = EPOCHS, weights: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """(domain, lang, source, tokens, got) of leaves (domain, lang, source, tokens). weights: whole numbers by level and name."""
+    weights = WEIGHTS if weights is None else weights
+    weight = lambda level: reduce(lambda w, kv: F.when(F.col(level) == kv[0], kv[1]).otherwise(w), weights.get(level, {}).items(), F.lit(1))
     caps = leaves.withColumn("cap", F.col("tokens") * epochs)
     domains = caps.groupBy("domain").agg(F.sum("cap").alias("cap"))
     total = Window.partitionBy(F.lit(0))
     # the budget is a part of all tokens, in whole tokens
-    domains = domains.withColumn("weight", F.lit(1)).withColumn("node", F.col("domain")).withColumn("all", F.floor(F.sum("cap").over(total) / epochs * budget))
+    domains = domains.withColumn("weight", weight("domain")).withColumn("node", F.col("domain")).withColumn("all", F.floor(F.sum("cap").over(total) / epochs * budget))
     domains = filled(domains.withColumn("top", F.lit(0)), ["top"], "all").select("domain", F.col("got").alias("given"))
-    langs = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).withColumn("weight", weight).withColumn("node", F.col("lang"))
+    langs = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).withColumn("weight", weight("lang")).withColumn("node", F.col("lang"))
     langs = filled(langs.join(domains, "domain"), ["domain"], "given").select("domain", "lang", F.col("got").alias("given"))
-    sources = caps.withColumn("weight", F.lit(1)).withColumn("node", F.col("source"))
+    sources = caps.withColumn("weight", weight("source")).withColumn("node", F.col("source"))
     return filled(sources.join(langs, ["domain", "lang"]), ["domain", "lang"], "given").select(*LEVELS, "tokens", "got")
 
 
-def mix(documents: DataFrame, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = SEED, languages: dict[str, int] | None = None) -> DataFrame:
+def mix(documents: DataFrame, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = SEED, weights: dict[str, dict[str, int]] | None = None) -> DataFrame:
     """(doc_id, domain, lang, source, n_tokens, copies) of the chosen documents.
 
     copies is how many epochs take the document. Tokens are words
@@ -82,6 +84,7 @@ def mix(documents: DataFrame, budget: float = BUDGET, epochs: int = EPOCHS, seed
     text. Of an epoch's documents in seeded order those are taken whose first token
     lies before the budget's end, so a leaf passes its budget by less than one
     document. Rows that repeat a doc_id share its place and are ordered by length.
+    Other columns are left out.
     """
     docs = documents.select(
         "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), n_words(F.col("text")).alias("n_tokens")
@@ -92,7 +95,7 @@ def mix(documents: DataFrame, budget: float = BUDGET, epochs: int = EPOCHS, seed
     docs = table(docs.select("doc_id", *LEVELS, "n_tokens", "key", "bucket"))
     leaf = list(LEVELS)
     sums = docs.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("sum"))
-    budgets = leaf_budgets(sums.groupBy(*leaf).agg(F.sum("sum").alias("tokens")), budget, epochs, languages)
+    budgets = leaf_budgets(sums.groupBy(*leaf).agg(F.sum("sum").alias("tokens")), budget, epochs, weights)
     budgets = budgets.withColumn("whole", F.floor(F.col("got") / F.col("tokens"))).withColumn("part", F.col("got") - F.col("whole") * F.col("tokens")).drop("tokens", "got")
     upto = Window.partitionBy(*leaf).orderBy("bucket")
     placed = sums.withColumn("end", F.sum("sum").over(upto)).join(budgets, leaf)
@@ -113,7 +116,7 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
 
 def mixing_sql(documents: str = "documents") -> str:
     """DuckDB: the same budgets; prefixes by sorting each leaf."""
-    weights = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LANGUAGES.items()) + " ELSE 1 END"
+    weight = lambda level, c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS[level].items()) + " ELSE 1 END"
 
     def fill(name: str, nodes: str, parent: str, node: str) -> str:
         order = f"PARTITION BY {parent} ORDER BY cap / weight, {node}"
@@ -129,9 +132,9 @@ WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS so
   FROM {documents} WHERE doc_id IS NOT NULL),
 e AS (SELECT * FROM d WHERE n_tokens > 0),
 l AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) AS BIGINT) * {EPOCHS} AS cap FROM e GROUP BY ALL),
-{fill("x", f"SELECT domain, 0 AS top, CAST(sum(cap) AS BIGINT) AS cap, 1 AS weight, CAST(floor(CAST(sum(sum(cap)) OVER () AS BIGINT) / {EPOCHS} * {BUDGET}) AS BIGINT) AS given FROM l GROUP BY domain", "top", "domain")},
-{fill("y", f"SELECT l.domain, lang, CAST(sum(l.cap) AS BIGINT) AS cap, {weights} AS weight, any_value(given) AS given FROM l JOIN x USING (domain) GROUP BY l.domain, lang", "domain", "lang")},
-{fill("z", "SELECT l.domain, l.lang, source, tokens, l.cap, 1 AS weight, given FROM l JOIN y USING (domain, lang)", "domain, lang", "source")},
+{fill("x", f"SELECT domain, 0 AS top, CAST(sum(cap) AS BIGINT) AS cap, {weight('domain', 'domain')} AS weight, CAST(floor(CAST(sum(sum(cap)) OVER () AS BIGINT) / {EPOCHS} * {BUDGET}) AS BIGINT) AS given FROM l GROUP BY domain", "top", "domain")},
+{fill("y", f"SELECT l.domain, lang, CAST(sum(l.cap) AS BIGINT) AS cap, {weight('lang', 'lang')} AS weight, any_value(given) AS given FROM l JOIN x USING (domain) GROUP BY l.domain, lang", "domain", "lang")},
+{fill("z", f"SELECT l.domain, l.lang, source, tokens, l.cap, {weight('source', 'source')} AS weight, given FROM l JOIN y USING (domain, lang)", "domain, lang", "source")},
 b AS (SELECT *, given // tokens AS whole, given % tokens AS part FROM z),
 o AS (SELECT e.*, whole, part, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e JOIN b USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN before < part THEN 1 ELSE 0 END AS INTEGER) AS copies FROM o WHERE whole > 0 OR before < part

@@ -42,11 +42,49 @@ BASE = (
     # `[0-9a-f]+` of 24 or more characters: the same runs
     Rule("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 )
-#: Added to the base: forms that hardly anything else has.
+def _more(kind: str, pattern: str, least: int) -> Rule:
+    return Rule(kind, re.compile(pattern, re.ASCII), 0, least)
+
+
+#: Added to the base: published forms that hardly anything else has. Fixed values.
 MORE = (
-    Rule("pem", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,20}PRIVATE KEY-----"), 0, 60),
-    Rule("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"), 0, 40),
-    Rule("slack", re.compile(r"xox[abprs]-[0-9]+-[0-9A-Za-z-]{16,}"), 0, 24),
+    _more("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,20}PRIVATE KEY-----", 60),
+    _more("age", r"AGE-SECRET-KEY-1[0-9A-Z]{58}", 74),
+    _more("atlassian", r"ATATT3xFfGF0[A-Za-z0-9_=-]{40,}", 52),
+    _more("azure_storage", r"AccountKey=[A-Za-z0-9+/]{86}==", 99),
+    _more("databricks", r"dapi[0-9a-f]{32}", 36),
+    _more("digitalocean", r"do[opr]_v1_[a-f0-9]{64}", 71),
+    _more("discord_hook", r"discord(?:app)?\.com/api/webhooks/[0-9]{17,20}/[A-Za-z0-9_-]{60,}", 100),
+    _more("docker", r"dckr_pat_[A-Za-z0-9_-]{27,}", 36),
+    _more("facebook", r"EAACEdEose0cBA[0-9A-Za-z]+", 20),
+    _more("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 40),
+    _more("github_fine", r"github_pat_[A-Za-z0-9_]{70,}", 81),
+    _more("gitlab", r"glpat-[A-Za-z0-9_-]{20,}", 26),
+    _more("google_key", r"AIza[0-9A-Za-z_-]{35}", 39),
+    _more("google_oauth", r"ya29\.[0-9A-Za-z_-]{20,}", 25),
+    _more("grafana", r"glsa_[A-Za-z0-9]{32}_[A-Fa-f0-9]{8}", 46),
+    _more("huggingface", r"hf_[A-Za-z0-9]{34,}", 37),
+    _more("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 36),
+    _more("linear", r"lin_api_[A-Za-z0-9]{40}", 48),
+    _more("mailchimp", r"[0-9a-f]{32}-us[0-9]{1,2}", 36),
+    _more("mailgun", r"key-[0-9a-z]{32}", 36),
+    _more("newrelic", r"NRAK-[A-Z0-9]{27}", 32),
+    _more("npm", r"npm_[A-Za-z0-9]{36}", 40),
+    _more("planetscale", r"pscale_tkn_[A-Za-z0-9_.=-]{32,}", 43),
+    _more("postman", r"PMAK-[0-9a-f]{24}-[0-9a-f]{34}", 64),
+    _more("pulumi", r"pul-[0-9a-f]{40}", 44),
+    _more("pypi", r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}", 70),
+    _more("rubygems", r"rubygems_[0-9a-f]{48}", 57),
+    _more("sendgrid", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}", 69),
+    _more("sentry", r"sntrys_[A-Za-z0-9+/=_-]{40,}", 47),
+    _more("shopify", r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}", 38),
+    _more("slack", r"xox[abprs]-[0-9]+-[0-9A-Za-z-]{16,}", 24),
+    _more("slack_hook", r"hooks\.slack\.com/services/T[A-Z0-9]{8,}/B[A-Z0-9]{8,}/[A-Za-z0-9]{20,}", 60),
+    _more("square", r"sq0(?:atp|csp)-[0-9A-Za-z_-]{22,43}", 29),
+    _more("stripe", r"[rs]k_live_[0-9A-Za-z]{24,}", 32),
+    _more("telegram", r"[0-9]{8,10}:AA[0-9A-Za-z_-]{33}", 44),
+    _more("url_password", r"[a-z]{2,12}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@", 10),
+    _more("vault", r"hvs\.[A-Za-z0-9_-]{24,}", 28),
 )
 
 
