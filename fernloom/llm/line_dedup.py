@@ -47,6 +47,8 @@ PICKS = 3
 SIZE_BITS, PLACE_BITS = 20, 18
 #: Removed or repeated lines (16 bytes each) up to which they are sent to the executors; beyond, they are joined by shuffle.
 SEND_LINES = 1 << 20
+#: Keys of families (60 bytes each) up to which they are sent.
+SEND_KEYS = 1 << 18
 
 
 class LineSets(NamedTuple):
@@ -226,7 +228,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
     keyed = rows.select("doc_id", "line", "parity", "size", "edits", F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("class"), F.explode("keys").alias("key"))
     keyed = keyed.select("doc_id", "line", "parity", "size", "edits", F.xxhash64("class", "key").alias("key"))
     shared = table(keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"))
-    return keyed.join(sent(shared), "key", "left_semi")
+    return table(keyed.join(sent(shared, SEND_KEYS), "key", "left_semi"))
 
 
 def _some_pairs(asked: DataFrame, keyed: DataFrame, by: list[Column], percent: int) -> DataFrame:
@@ -234,7 +236,7 @@ def _some_pairs(asked: DataFrame, keyed: DataFrame, by: list[Column], percent: i
     least = [F.min(F.struct(c.alias("by"), "doc_id", "line", "parity", "size")).dropFields("by").alias(f"x{i}") for i, c in enumerate(by)]
     first = keyed.groupBy("key").agg(*least)
     first = table(first.select("key", F.explode(F.array_distinct(F.array(*(f"x{i}" for i in range(len(by)))))).alias("x")).select("key", "x.*"))
-    near = asked.alias("y").join(sent(first).alias("x"), "key").where(_before() & _alike(percent))
+    near = asked.alias("y").join(sent(first, SEND_KEYS).alias("x"), "key").where(_before() & _alike(percent))
     return near.select(*_pair(), _apart().alias("apart"))
 
 
