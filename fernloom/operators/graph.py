@@ -50,3 +50,11 @@ def shared_members(members: DataFrame, least: int = 1) -> DataFrame:
 def top_neighbours(edges: DataFrame, k: int = 5) -> DataFrame:
     by = Window.partitionBy("a").orderBy(F.desc("weight"), "b")
     return both_ways(edges).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def export_lines(edges: DataFrame) -> DataFrame:
+    """(section, line): quoted nodes with their degrees, and quoted edges with weights of four decimals."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
+    nodes = both_ways(edges).groupBy("a").agg(F.count("*").alias("n"))
+    nodes = nodes.select(F.lit("nodes").alias("section"), F.concat_ws(",", quoted(F.col("a")), F.col("n").cast("string")).alias("line"))
+    return nodes.union(edges.select(F.lit("edges"), F.concat_ws(",", quoted(F.col("a")), quoted(F.col("b")), F.format_string("%.4f", "weight"))))

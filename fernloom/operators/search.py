@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernloom.functions.content import ANNOTATION_LABELS, fuzzy_hits
 from fernloom.functions.text import ascii_words
 
 #: Synonyms of parts of a query, in the order in which they are tried.
@@ -91,3 +92,20 @@ def autocomplete(names: DataFrame, column: str, prefix: str, k: int = 10) -> Dat
     """Names that start with the prefix in any case, by how often they come, with the count of all matches."""
     hits = names.where(F.lower(F.col(column)).startswith(prefix.lower())).groupBy(column).agg(F.count("*").alias("n"))
     return hits.withColumn("matches", F.count("*").over(Window.partitionBy(F.lit(0)))).orderBy(F.desc("n"), column).limit(k)
+
+
+def boosted(documents: DataFrame, boosts: dict[str, float], terms: list[str], doc: str = "doc_id") -> DataFrame:
+    """(doc, score) of documents with a word near one of the terms: the best field's hits by its boost. Null fields have none."""
+    fields = documents.select(doc, *(F.array_distinct(ascii_words(F.col(c))).alias(c) for c in boosts))
+    parts = [fuzzy_hits(F.col(c), terms) * b for c, b in boosts.items()]
+    score = F.greatest(*parts) if len(parts) > 1 else parts[0]
+    return fields.select(doc, F.round(score, 6).alias("score")).where("score > 0")
+
+
+def contexts(annotations: DataFrame, most: int = 5) -> DataFrame:
+    """(path, context): the place and the annotations (path, seq, priority, type, note) of greatest priority, by seq where it is equal."""
+    order = Window.partitionBy("path").orderBy(F.desc("priority"), "seq")
+    top = annotations.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most)
+    label = F.coalesce(*(F.when(F.col("type") == k, v) for k, v in ANNOTATION_LABELS.items()), F.lit("Note"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("at", F.concat(label, F.lit(": "), F.col("note")).alias("line")))), lambda x: x["line"])
+    return top.groupBy("path").agg(F.array_join(F.concat(F.array(F.concat(F.lit("Location: "), F.col("path"))), lines), "\n").alias("context"))

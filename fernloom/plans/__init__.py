@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "events", "texts", "retrieval", "functions", "markup")
+MODULES = ("relational", "events", "texts", "retrieval", "functions", "markup", "content")
 
 
 def catalogue() -> dict:

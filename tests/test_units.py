@@ -213,3 +213,27 @@ def test_chunks_against_plain_code(spark):
         else:
             want.append(p)
     assert [r["text"] for r in chunking.paragraphs(docs, 100).orderBy("index").collect()] == want
+
+
+def test_semantic_chunks(spark):
+    from fernloom.operators.chunking import semantic
+
+    long = "One two three four. Five six seven eight! Nine ten?"
+    rows = [(1, "aaaa\n\nbbbb\n\n \n\ncccc"), (2, "x\n\n" + long + "\n\ny\n\nz"), (3, None), (4, " \n\n"), (5, "é" * 40)]
+    got = {}
+    for r in semantic(spark.createDataFrame(rows, "doc_id int, text string"), 6).orderBy("doc_id", "index").collect():
+        got.setdefault(r["doc_id"], []).append((r["index"], r["text"], r["n_tokens"]))
+    assert got == {
+        1: [(0, "aaaa\n\nbbbb\n\ncccc", 5)],
+        2: [(0, "x", 1), (1, "One two three four.", 5), (2, "Five six seven eight.", 6), (3, "Nine ten?.", 3), (4, "y\n\nz", 2)],
+        5: [(0, "é" * 40 + ".", 21)],
+    }
+
+
+def test_comment_cut(spark):
+    from pyspark.sql import functions as F
+
+    from fernloom.functions.content import comment_cut
+
+    rows = spark.createDataFrame([("é" * 60,), ("a" * 60,), ("é" * 50,), ("",), (None,)], "t string").select(comment_cut(F.col("t"), 100)).collect()
+    assert [r[0] for r in rows] == ["é" * 50, "a" * 60, "é" * 50, "", None]
