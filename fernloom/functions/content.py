@@ -129,3 +129,36 @@ def fuzzy_hits(words: Column, terms: list[str]) -> Column:
         return F.coalesce(1 - far / len(t), F.lit(0.0))
 
     return sum((best(t) for t in terms), F.lit(0.0))
+
+#: Directives of strftime and the patterns of the same meaning.
+DIRECTIVES = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "p": "a", "j": "DDD", "B": "MMMM", "b": "MMM", "A": "EEEE", "a": "EEE"}
+
+
+def formatted(at: Column, form: str) -> Column:
+    """A time by a strftime form; unknown directives stay as they are."""
+    parts, i = [], 0
+    while i < len(form):
+        known = form[i] == "%" and DIRECTIVES.get(form[i + 1 : i + 2])
+        parts.append(F.date_format(at, known) if known else F.lit(form[i]))
+        i += 2 if known else 1
+    return F.concat(*parts) if parts else F.lit("")
+
+
+#: English function words that are no lexemes.
+LEXEME_STOP = "a an and are as at be by for from had has have he her his i in is it its not of on or she that the their they this to was we were will with you".split()
+
+
+def lexemes(text: Column) -> Column:
+    """Lower-case ASCII words without function words, less the endings of plurals, -ing, -ed and -ly where three letters stay."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
+    return F.transform(F.filter(found, lambda w: ~w.isin(LEXEME_STOP)), lexeme)
+
+
+def lexeme(word: Column) -> Column:
+    for ending, new in LEXEME_ENDINGS:
+        word = F.regexp_replace(word, ending, new)
+    return word
+
+
+#: Endings, in the order in which they go, with what stays.
+LEXEME_ENDINGS = [("sses$", "ss"), ("^(.{2,})ies$", "$1y"), ("^(.{2,}[^su])s$", "$1"), ("^(.{3,})(?:ing|ed)$", "$1"), ("^(.{3,})ly$", "$1")]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernloom.functions.content import ANNOTATION_LABELS, fuzzy_hits
+from fernloom.functions.content import ANNOTATION_LABELS, fuzzy_hits, lexemes
 from fernloom.functions.text import ascii_words
 
 #: Synonyms of parts of a query, in the order in which they are tried.
@@ -109,3 +109,21 @@ def contexts(annotations: DataFrame, most: int = 5) -> DataFrame:
     label = F.coalesce(*(F.when(F.col("type") == k, v) for k, v in ANNOTATION_LABELS.items()), F.lit("Note"))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("at", F.concat(label, F.lit(": "), F.col("note")).alias("line")))), lambda x: x["line"])
     return top.groupBy("path").agg(F.array_join(F.concat(F.array(F.concat(F.lit("Location: "), F.col("path"))), lines), "\n").alias("context"))
+
+
+def full_text(documents: DataFrame, weights: dict[str, float], query: str, doc: str = "doc_id") -> DataFrame:
+    """(doc, score) of documents with every lexeme of the query in one of the weighted fields.
+
+    The score adds, for each lexeme and field, the weight by the logarithm of one more
+    than its occurrences; their distance is not looked at. A query without lexemes finds nothing.
+    """
+    asked = F.array_distinct(lexemes(F.lit(query)))
+    fields = documents.select(doc, asked.alias("_asked"), *(lexemes(F.col(c)).alias(c) for c in weights))
+    every = F.size(F.array_except("_asked", F.concat(*weights))) == 0
+
+    def part(field: str, weight: float) -> Column:
+        found = lambda t: F.size(F.filter(field, lambda x: x == t))
+        return F.aggregate("_asked", F.lit(0.0), lambda acc, t: acc + weight * F.log1p(found(t)))
+
+    score = sum((part(c, w) for c, w in weights.items()), F.lit(0.0))
+    return fields.where((F.size("_asked") > 0) & every).select(doc, F.round(score, 6).alias("score"))

@@ -125,7 +125,42 @@ def semantic_chunks(spark, d):
     return chunking.semantic(docs, 64).select("doc_id", "index", "n_tokens", F.sha2("text", 256).alias("hash"))
 
 
+def full_text(spark, d):
+    """Documents with all lexemes of a query; the source as title has weight A, the text B."""
+    return search.full_text(load(spark, d, "documents"), {"source": 1.0, "text": 0.4}, "The tioning of bles").select("doc_id", "score")
+
+
+def full_text_plain(spark, d):
+    """The same over one field, all weights equal."""
+    docs = load(spark, d, "documents").select("doc_id", F.concat_ws(" ", "source", "text").alias("both"))
+    return search.full_text(docs, {"both": 1.0}, "src8 the thered").select("doc_id", "score")
+
+
+def formatted_times(spark, d):
+    at = C("ts")
+    return load(spark, d, "events").select("event_id", T.formatted(at, "%Y-%m-%d").alias("date"), T.formatted(at, "%H:%M:%S").alias("time"), T.formatted(at, "%A, %d %b %y at %I %p, day %j").alias("long"))
+
+
+def _lexemes(c):
+    word = "w"
+    for ending, kept in T.LEXEME_ENDINGS:
+        word = f"regexp_replace({word}, '{ending}', '{kept.replace('$1', chr(92) + '1')}')"
+    stop = ", ".join(f"'{w}'" for w in T.LEXEME_STOP)
+    return f"list_transform(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda w: w NOT IN ({stop})), lambda w: {word})"
+
+
+def _full_text(fields, query):
+    cols = ", ".join(f"{_lexemes(f'coalesce({c}, chr(32))')} AS f{i}" for i, (c, _) in enumerate(fields))
+    score = " + ".join(f"{w} * ln(1 + len(list_filter(f{i}, lambda x: x = t)))" for i, (_, w) in enumerate(fields))
+    every = f"list_has_all(list_concat({', '.join(f'f{i}' for i in range(len(fields)))}{', []' if len(fields) == 1 else ''}), q)"
+    return f"""WITH w AS (SELECT doc_id, {cols}, list_distinct({_lexemes("'" + query + "'")}) AS q FROM documents), t AS (SELECT *, unnest(q) AS t FROM w WHERE {every})
+SELECT doc_id, round(sum({score}), 6) AS score FROM t GROUP BY doc_id"""
+
+
 QUERIES = {
+    "full_text": (full_text, _full_text([("source", 1.0), ("text", 0.4)], "The tioning of bles")),
+    "full_text_plain": (full_text_plain, _full_text([("source || ' ' || text", 1.0)], "src8 the thered")),
+    "formatted_times": (formatted_times, "SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M:%S') AS time, strftime(ts, '%A, %d %b %y at %I %p, day %j') AS long FROM events"),
     "uploads": (uploads, rf"WITH {UPLOADS} SELECT doc_id, fault, CASE WHEN fault IS NULL THEN translate(regexp_replace(name, '\.(md|MD)$', ''), '-_', '  ') END AS title FROM f"),
     "ingest_report": (ingest_report, f"WITH {UPLOADS} SELECT CASE WHEN fault IS NULL THEN 'ingested' WHEN fault IN ('Only .md files are accepted', 'File too large') THEN 'skipped' ELSE 'error' END AS status, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY 1"),
     "scan_estimates": (scan_estimates, "SELECT doc_id, e AS extension, e IN ('pdf', 'png', 'jpg', 'jpeg', 'tiff', 'bmp') AS supported, (n_chars::BIGINT * 1024 // 1048576 + 1) * 1000 AS millis FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'png' WHEN 2 THEN 'webp' ELSE lang END AS e FROM documents)"),
