@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernloom.llm import chat, decontaminate, html_text, line_dedup, mixing, ngram_join, pii, quality, secrets, substring_dedup
+from fernloom.llm import chat, decontaminate, html_text, line_dedup, mixing, near_vectors, ngram_join, pii, prefix_trie, quality, secrets, substring_dedup, whitening
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_embedding_dedup": near_vectors.op11_embedding_dedup,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
@@ -24,4 +27,6 @@ ORACLE_SQL = {
     "op8_quality_rules": quality.OP8_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_embedding_dedup": near_vectors.OP11_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
