@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "events", "texts", "retrieval", "functions", "markup", "content")
+MODULES = ("relational", "events", "texts", "retrieval", "functions", "markup", "content", "fulltext")
 
 
 def catalogue() -> dict:

@@ -104,21 +104,6 @@ def graph_export(spark, d):
 EXPORT = f"""WITH {retrieval.GRAPH} SELECT 'nodes' AS section, '"' || a || '",' || count(*) AS line FROM l GROUP BY a UNION ALL SELECT 'edges', '"' || a || '","' || b || '",' || printf('%.4f', weight) FROM e"""
 
 
-def boosted_search(spark, d):
-    """Documents whose source (as the title) or words are near the query's, best field, with a boost of 3 for titles."""
-    return search.boosted(load(spark, d, "documents"), {"source": 3.0, "text": 1.0}, ["the", "lation", "webb"]).select("doc_id", "score")
-
-
-def _best(t, field):
-    most = 0 if len(t) <= 2 else 1 if len(t) <= 5 else 2
-    return f"coalesce(1 - list_min(list_filter(list_transform(list_filter({field}, lambda w: abs(len(w) - {len(t)}) <= {most}), lambda w: levenshtein(w, '{t}')), lambda x: x <= {most})) / {len(t)}, 0)"
-
-
-_FIELD = "list_distinct(regexp_extract_all(lower({}), '[a-z]+'))"
-BOOSTED = f"""WITH w AS (SELECT doc_id, {_FIELD.format('source')} AS s, {_FIELD.format('text')} AS t FROM documents)
-SELECT * FROM (SELECT doc_id, round(greatest(3 * ({' + '.join(_best(t, 's') for t in ('the', 'lation', 'webb'))}), {' + '.join(_best(t, 't') for t in ('the', 'lation', 'webb'))}), 6) AS score FROM w) WHERE score > 0"""
-
-
 def semantic_chunks(spark, d):
     """Lines as paragraphs, packed up to 64 tokens."""
     docs = load(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
@@ -173,6 +158,5 @@ QUERIES = {
     "query_variants": (query_variants, VARIANTS),
     "document_contexts": (document_contexts, CONTEXTS),
     "graph_export": (graph_export, EXPORT),
-    "boosted_search": (boosted_search, BOOSTED),
     "semantic_chunks": (semantic_chunks, None),
 }
