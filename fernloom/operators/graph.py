@@ -27,6 +27,30 @@ def distances(edges: DataFrame, source, depth: int = 5) -> DataFrame:
     return seen
 
 
+def paths(edges: DataFrame, source, depth: int = 5, target=None) -> DataFrame:
+    """(node, distance, path) of what is within depth steps (1 to 10) of the source; path is an array from the source to the node.
+
+    Of several shortest paths a node's is that of its least neighbour before it. With a
+    target, the search ends where that is reached, and its row alone is returned; none
+    if it isn't within reach. A source without edges reaches nothing.
+    """
+    links = cut(both_ways(edges).select("a", "b").where("a <> b").distinct())
+    start = F.col("a").alias("node")
+    seen = cut(links.where(F.col("a") == F.lit(source)).select(start, F.lit(0).alias("distance"), F.array("a").alias("path")).limit(1))
+    last = seen
+    for step in range(1, min(max(depth, 1), 10) + 1):
+        if target is not None and last.where(F.col("node") == F.lit(target)).count():
+            break
+        reached = last.join(links, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "a", "path")
+        # a path is carried by one of a node's neighbours before it
+        new = reached.groupBy("node").agg(F.min_by("path", "a").alias("path")).join(seen.select("node"), "node", "left_anti")
+        last = cut(new.select("node", F.lit(step).alias("distance"), F.array_append("path", F.col("node")).alias("path")))
+        if not last.limit(1).count():
+            break
+        seen = seen.union(last)
+    return seen if target is None else seen.where(F.col("node") == F.lit(target))
+
+
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community) by synchronous label propagation: the label of most weight among a node's neighbours and itself, the least of equal ones."""
     links = cut(both_ways(edges))

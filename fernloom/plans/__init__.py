@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "events", "texts", "retrieval", "functions", "markup", "content", "fulltext", "ingest")
+MODULES = ("relational", "events", "texts", "retrieval", "functions", "markup", "content", "fulltext", "ingest", "changes")
 
 
 def catalogue() -> dict:

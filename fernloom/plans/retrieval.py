@@ -158,6 +158,17 @@ def shortest_paths(spark, d):
     return graph.distances(_graph(spark, d), 11, 4)
 
 
+def graph_paths(spark, d):
+    """The path from one node to each that is within four steps."""
+    return graph.paths(_graph(spark, d), 11, 4).select("node", "distance", F.array_join("path", " > ").alias("path"))
+
+
+GRAPH_PATHS = """p AS (SELECT 11::BIGINT AS node, 0 AS distance UNION SELECT l.b, distance + 1 FROM p JOIN l ON l.a = p.node WHERE distance < 4), s AS (SELECT node, min(distance) AS distance FROM p WHERE 11 IN (SELECT a FROM l) GROUP BY 1),
+b AS (SELECT s.node, s.distance, (SELECT min(l.a) FROM l JOIN s q ON q.node = l.a WHERE l.b = s.node AND q.distance = s.distance - 1) AS before FROM s),
+w AS (SELECT node, distance, CAST(node AS VARCHAR) AS path FROM b WHERE distance = 0 UNION ALL SELECT b.node, b.distance, w.path || ' > ' || b.node FROM w JOIN b ON b.before = w.node AND b.distance = w.distance + 1)
+SELECT node, distance, path FROM w"""
+
+
 def communities(spark, d):
     return graph.communities(_graph(spark, d), 3)
 
@@ -239,6 +250,7 @@ QUERIES = {
     "graph_edges": (graph_edges, f"WITH {GRAPH} SELECT * FROM e"),
     "graph_nodes": (graph_nodes, f"WITH {GRAPH} SELECT a AS node, count(*) AS degree, round(avg(weight), 6) AS mean_weight, first(b ORDER BY weight DESC, b) AS best FROM l GROUP BY 1"),
     "shortest_paths": (shortest_paths, f"WITH RECURSIVE {GRAPH}, p AS (SELECT 11::BIGINT AS node, 0 AS distance UNION SELECT l.b, distance + 1 FROM p JOIN l ON l.a = p.node WHERE distance < 4) SELECT node, min(distance) AS distance FROM p GROUP BY 1"),
+    "graph_paths": (graph_paths, f"WITH RECURSIVE {GRAPH}, {GRAPH_PATHS}"),
     "communities": (communities, None),
     "chunk_fixed": (chunk_fixed, CHUNKS),
     "chunk_sentences": (chunk_sentences, None),
