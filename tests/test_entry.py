@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-NO_SQL = {"communities", "chunk_sentences", "chunk_paragraphs", "kmeans_clusters", "edit_fold", "unified_diffs", "cluster_quality", "lda_topics", "semantic_chunks", "marked_headlines"}
+NO_SQL = {"communities", "chunk_sentences", "chunk_paragraphs", "kmeans_clusters", "edit_fold", "unified_diffs", "cluster_quality", "lda_topics", "semantic_chunks", "marked_headlines", "ward_clusters", "cluster_choice", "auto_clusters"}
 
 
 @pytest.fixture(scope="module")
