@@ -43,6 +43,12 @@ FRAME = frozenset("nav aside footer form menu dialog button".split())
 FRAME_WORDS = frozenset(
     "ad ads adv advert advertisement advertisements adverts adsense advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist cookie cookies consent disclaimer discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget".split()
 )
+#: Words of FRAME_WORDS that are titles of an article's sections too.
+TITLES = frozenset("advertising banner consent disclaimer discussion notice notices notification promotion related replies search sharing social sponsor sponsored subscription".split())
+#: Elements whose class and id don't make them a frame.
+PLAIN = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+#: Elements that may stand in the head; any other one, and text, ends it.
+IN_HEAD = frozenset("base link meta noscript object script style template title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar note alert".split())
 #: Scores without labelled pages: of a word, a linked word (also the least with them) and a tag; and of a word in a frame element.
 WORD, LINKED, TAG, FRAMED = 1.0, -0.5, -0.3, -0.2
@@ -52,7 +58,9 @@ MOST = -0.05
 CLASSES = 1 << 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|["'=/<]""")
+#: Attributes that say what an element is for.
+_TOLD = frozenset("class id role hidden aria-hidden style".split())
 _NAMES = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: White space that goes to one space: that of the text model, with the no-break space.
@@ -71,29 +79,45 @@ class Piece(NamedTuple):
     classes: tuple[str, ...] = ()
 
 
-def _frame(name: str, attributes: str, in_article: bool) -> bool:
+def _attributes(text: str) -> list[tuple[str, str]]:
+    """Names and values of the attributes in _TOLD; each value is read as a whole, so that no word in it is taken for a name."""
+    if not text or text.isspace():
+        return []
+    return [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text) if m[1] and m[1].lower() in _TOLD]
+
+
+def _words(value: str) -> list[str]:
+    return _NAMES.findall(_CAMEL.sub("-", value).lower())
+
+
+def _frame(name: str, attributes: list[tuple[str, str]], in_article: bool) -> bool:
+    """Whether an element is no part of an article: by its name, or by a class or id all of whose words say so.
+
+    A word among others ("has-sidebar", "no-comments") says nothing of the element
+    itself, nor does a heading's id, or a section's that may be made from its title.
+    """
     if name in FRAME or (name == "header" and not in_article):
         return True
-    for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+    for key, value in attributes:
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE)):
             return True
         if key == "role" and value.lower() in ROLES:
             return True
-        if key in ("class", "id") and name not in ("body", "html", "article", "main"):
+        if key in ("class", "id") and name not in PLAIN:
             for part in value.split():
-                words = _NAMES.findall(_CAMEL.sub("-", part).lower())
-                if FRAME_WORDS & set(words) and not (in_article and words[-1:] == ["header"]):
+                words = [w for w in _words(part) if not w.isdigit()]
+                if not words or key == "id" and name == "section" and TITLES.issuperset(words):
+                    continue
+                if FRAME_WORDS.issuperset(words) and not (in_article and words[-1] == "header"):
                     return True
     return False
 
 
-def _classes(name: str, attributes: str) -> tuple[str, ...]:
+def _classes(name: str, attributes: list[tuple[str, str]]) -> tuple[str, ...]:
     """The hashes of an element's class and id words, as names of features."""
-    if not attributes or name in EMPTY:
+    if name in EMPTY:
         return ()
-    found = [w for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id") for w in _NAMES.findall(_CAMEL.sub("-", m[2] or m[3] or m[4] or "").lower())]
-    return tuple(f".{zlib.crc32(w.encode()) % CLASSES}" for w in found)
+    return tuple(f".{zlib.crc32(w.encode()) % CLASSES}" for key, value in attributes if key in ("class", "id") for w in _words(value))
 
 
 def pieces(page: str) -> list[Piece]:
@@ -105,6 +129,8 @@ def pieces(page: str) -> list[Piece]:
     at = block = 0
 
     def text(run: str) -> None:
+        if run and stack and stack[-1][0] == "head" and not run.isspace():
+            close(len(stack) - 1)
         if run and not unread:
             out.append(Piece("", html.unescape(run), framed > 0, linked > 0, articles > 0, block))
 
@@ -124,9 +150,12 @@ def pieces(page: str) -> list[Piece]:
         if m[2] is None:
             continue
         name, closing = m[2].lower(), bool(m[1])
+        if not closing and stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            close(len(stack) - 1)
+        told = [] if closing else _attributes(m[3])
         if name in BLOCKS:
             block += 1
-        out.append(Piece(("/" if closing else "") + name, "", framed > 0, linked > 0, articles > 0, block, () if closing else _classes(name, m[3])))
+        out.append(Piece(("/" if closing else "") + name, "", framed > 0, linked > 0, articles > 0, block, _classes(name, told)))
         if closing:
             # a stray end tag closes nothing; else what is above the element is closed with it
             if opened.get(name):
@@ -143,7 +172,7 @@ def pieces(page: str) -> list[Piece]:
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        frame = _frame(name, m[3], articles > 0)
+        frame = _frame(name, told, articles > 0)
         stack.append((name, frame))
         opened[name] = opened.get(name, 0) + 1
         framed += frame

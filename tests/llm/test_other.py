@@ -261,3 +261,32 @@ def test_pipeline(spark):
         assert 0 < out.count() <= before and out.select("doc_id").distinct().count() == out.count()
         docs, before = out, out.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).join(docs, "doc_id", "left_anti").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ('<div class="layout has-sidebar no-comments"><p>One two three four.</p></div>', "One two three four."),
+        ('<p title="the hidden side">One two three four.</p><p>See <a title="A hidden gem">this one here</a> now.</p>', "One two three four.\nSee this one here now."),
+        ('<div data-id="toc-3" data-class=\'menu\'><p>One two three four.</p></div>', "One two three four."),
+        ('<h2 id="related">Related work</h2><p>One two three four.</p><section id="discussion"><h2>Discussion</h2><p>Five six seven.</p></section>', "Related work\nOne two three four.\nDiscussion\nFive six seven."),
+        ('<p>One two three four.</p><div class="sidebar">Not this.</div><div id="comments">Nor this.</div><p hidden>nor this</p><div class=\'cookie-notice x\' >nor this</div><p>Five six seven eight nine ten.</p>', "One two three four.\nFive six seven eight nine ten."),
+        ('<p>One two three four.</p><div class=sidebar>not this</div><p class="a > b">Five six seven.</p>', "One two three four.\nFive six seven."),
+    ],
+)
+def test_words_of_attributes(body, want):
+    page = f"<html><head><title>t</title></head><body><article>{body}</article></body></html>"
+    assert main_text(page, {}) == want
+
+
+@pytest.mark.parametrize("head", ["<head><title>t</title><meta charset=utf-8><style>p{}</style>", "<head><title>t</title>", "<head>", ""])
+@pytest.mark.parametrize("body", ["<body>", ""])
+def test_omitted_tags(head, body):
+    page = f"<!doctype html><html>{head}{body}<p>One two three four.<p>Five six seven.<ul><li>a b c<li>d e f</ul>"
+    assert main_text(page, {}) == "One two three four.\nFive six seven.\na b c\nd e f"
+    assert main_text("<head><title>t</title>Text at once, with words.", {}) == "Text at once, with words."
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "<p>One two three four.</p>", "old", 7)], "page_id long, html string, text string, n_chars int")
+    assert [tuple(r) for r in extract_text(pages, {}).select("page_id", "text", "n_chars").collect()] == [(1, "One two three four.", 19)]
