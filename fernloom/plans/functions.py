@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fernloom.functions import calls as K
 from fernloom.functions import documents as D
 from fernloom.operators import ranking
 from fernloom.sources import files
@@ -130,7 +131,31 @@ def queue_step(spark, d):
 
 QUEUE = "SELECT event_id AS id, user_id % 3 AS priority, CAST(event_id % 4 + CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS attempts, CASE WHEN event_id % 2 = 1 THEN 'pending' WHEN event_id % 3 = 0 THEN 'completed' WHEN event_id % 4 + 1 >= 3 THEN 'failed' ELSE 'pending' END AS status FROM events"
 
+def document_calls(spark, d):
+    """What looks like a call in the documents, with its place."""
+    return load(spark, d, "documents").select("doc_id", F.posexplode(K.calls(C("text"))).alias("place", "c")).select("doc_id", "place", "c.name", F.size("c.arguments").alias("n_arguments"), "c.start", "c.end", "c.raw")
+
+
+def expanded_documents(spark, d):
+    """Documents with a line of calls, expanded with stored and built-in functions and variables."""
+    stored = spark.createDataFrame([("Greet", "old", 1), ("greet", "Hello {{1}} of {{0}} ({{args}}) {{2}}", 2), ("com", "commerce", 1)], "name string, template string, version int")
+    line = F.concat(F.lit("\n.sum {"), C("doc_id").cast("string"), F.lit("} {2.5}{x}; .greet {"), C("source"), F.lit("}{"), C("lang"), F.lit("} .var { lang }.var {none} .upper {"), C("lang"), F.lit("} .if {x} .join {a, b,c}{-} .repeat {ab} {"), (C("doc_id") % 3).cast("string"), F.lit("} .split {1-2} {-}"))
+    text = K.expand(F.concat(F.coalesce("text", F.lit("")), line), F.create_map(F.lit("lang"), "lang"), K.registry(stored))
+    return load(spark, d, "documents").select("doc_id", F.sha2(text, 256).alias("hash"), F.substring_index(text, "\n", -1).alias("line"))
+
+
+_CALL = r"\.([a-zA-Z_][a-zA-Z0-9_]*)(?:[ \t\n\x0B\f\r]*\{[^}]*\})*"
+CALLS = rf"""WITH r AS (SELECT doc_id, regexp_extract_all(text, '{_CALL}') AS raws, regexp_extract_all(text, '{_CALL}', 1) AS names, regexp_split_to_array(text, '{_CALL}') AS parts FROM documents),
+e AS (SELECT doc_id, unnest(raws) AS raw, unnest(names) AS name, unnest(parts[1:len(raws)]) AS before, unnest(range(0, len(raws))) AS place FROM r),
+p AS (SELECT *, sum(length(before) + length(raw)) OVER (PARTITION BY doc_id ORDER BY place) AS e FROM e)
+SELECT doc_id, CAST(place AS INTEGER) AS place, name, CAST(len(regexp_extract_all(raw, '\{{[^}}]*\}}')) AS INTEGER) AS n_arguments, CAST(e - length(raw) AS INTEGER) AS start, CAST(e AS INTEGER) AS end, raw FROM p"""
+EXPANDED = rf"""WITH x AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{_CALL}', '[unknown function: \1]', 'g'), '\[unknown function: com\]', 'commerce', 'g') AS t,
+  doc_id + 2 || '.5; Hello ' || lang || ' of ' || source || ' (' || source || ', ' || lang || ') {{{{2}}}} ' || lang || '[undefined: none] ' || upper(lang) || ' .if {{x}} a-b-c ' || repeat('ab', doc_id % 3) || ' 1, 2' AS line FROM documents)
+SELECT doc_id, sha256(t || chr(10) || line) AS hash, line FROM x"""
+
 QUERIES = {
+    "document_calls": (document_calls, CALLS),
+    "expanded_documents": (expanded_documents, EXPANDED),
     "template_expand": (template_expand, TEMPLATE),
     "doc_functions": (doc_functions, FUNCTIONS),
     "table_of_contents": (table_of_contents, TOC),
