@@ -7,32 +7,33 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels after which a walk stops.
-DEPTH = 10
+from fernloom.sources.files import cut
 
+def descendants(nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """(root, id, level, path) for every node and each node below it, itself at level 0, to a depth if one is given.
 
-def descendants(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(root, id, level, path) for every node and each node below it, itself at level 0.
-
-    nodes: id, parent, name. A node that a path has already is not entered again.
-    The levels are joins in one plan, as deep as `depth`; empty levels cost little.
+    nodes: id, parent, name. A node that a path has already is not entered again. Each
+    level is a table in the shared folder, joined with the nodes for the next, until
+    one is empty.
     """
     kids = nodes.select(F.col("id").alias("_kid"), F.col("parent").alias("_of"), F.col("name").alias("_name"))
     level = nodes.select(F.col("id").alias("root"), "id", F.lit(0).alias("level"), F.col("name").alias("path"), F.array("id").alias("_seen"))
     out = [level]
-    for _ in range(depth):
+    while depth is None or len(out) <= depth:
         level = level.join(kids, F.col("_of") == F.col("id")).where(~F.array_contains("_seen", F.col("_kid")))
-        level = level.select("root", F.col("_kid").alias("id"), (F.col("level") + 1).alias("level"), F.concat("path", F.lit(" > "), "_name").alias("path"), F.array_append("_seen", F.col("_kid")).alias("_seen"))
+        level = cut(level.select("root", F.col("_kid").alias("id"), (F.col("level") + 1).alias("level"), F.concat("path", F.lit(" > "), "_name").alias("path"), F.array_append("_seen", F.col("_kid")).alias("_seen")))
+        if not level.limit(1).count():
+            break
         out.append(level)
     return reduce(DataFrame.unionByName, out).drop("_seen")
 
 
-def ancestors(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
+def ancestors(nodes: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, ancestor, distance), each node its own at 0."""
     return descendants(nodes, depth).select("id", F.col("root").alias("ancestor"), F.col("level").alias("distance"))
 
 
-def subtree_counts(nodes: DataFrame, facts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def subtree_counts(nodes: DataFrame, facts: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, direct, total) of facts (id) at a node and in its whole subtree, zeros kept."""
     own = facts.groupBy("id").agg(F.count("*").alias("n"))
     direct = nodes.select("id").join(own, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("direct"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from fernloom.functions.content import ANNOTATION_LABELS, fuzzy_hits, lexemes
 from fernloom.functions.text import ascii_words
+from fernloom.operators.ranking import decayed
+from fernloom.operators.vectors import nearest
 
 #: Synonyms of parts of a query, in the order in which they are tried.
 SYNONYMS = {
@@ -66,6 +68,28 @@ def fused(lists: list[DataFrame], weights: list[float] | None = None, k: int = 6
     return total.withColumn("score", F.round(F.col("score") / F.max("score").over(Window.partitionBy(F.lit(0))), 6))
 
 
+def by_mode(index, query: str, rows: DataFrame, vector: list[float], mode: str = "hybrid", limit: int = 20, threshold: float = 0.2) -> DataFrame:
+    """(doc, score) of at most limit documents of at least the threshold: keyword by the full-text index, vector by the vectors' rows (vec_id, embedding), hybrid by both fused, deep by both with expansions of the query and a decay by place.
+
+    Each list is twice as long as the result before it is fused and cut. An expanded
+    query asks for the stems of all its forms.
+    """
+    if mode not in ("keyword", "vector", "hybrid", "deep"):
+        raise ValueError("mode must be keyword, vector, hybrid or deep")
+    lists = []
+    if mode != "vector":
+        more = rows.sparkSession.range(1).select(expansions(F.lit(query)).alias("q")).first()["q"] if mode == "deep" else []
+        lists.append(index.ranked(" ".join([query, *more])).orderBy(F.desc("score"), "doc").limit(2 * limit))
+    if mode != "keyword":
+        lists.append(nearest(rows, vector, 2 * limit, -1.0).select(F.col("vec_id").alias("doc"), F.round("similarity", 6).alias("score")))
+    found = lists[0]
+    if len(lists) == 2:
+        found = fused([ranked(x, doc="doc") for x in lists], doc="doc")
+    if mode == "deep":
+        found = decayed(found, "score", [F.desc("score"), F.col("doc")]).select("doc", F.round("score", 6).alias("score"))
+    return found.where(F.col("score") >= threshold).orderBy(F.desc("score"), "doc").limit(limit)
+
+
 def expansions(query: Column) -> Column:
     """Three at most: the lower-case query with a known part replaced by each of its first two synonyms, then the query without qualifiers if that leaves two words."""
     low = F.lower(query)

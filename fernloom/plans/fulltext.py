@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernloom.operators import fulltext
+from fernloom.operators import fulltext, search
 from fernloom.session import load
 from fernloom.sources.files import scratch
 
@@ -33,6 +36,14 @@ def ranked_titles(spark, d):
     return index(spark, d).ranked("src8 tions").select(C("doc").alias("doc_id"), "score")
 
 
+def search_modes(spark, d):
+    """One query in each of the four modes."""
+    rows = load(spark, d, "embeddings")
+    vector = [float(x) for x in rows.where("vec_id = 0").first()["embedding"]]
+    modes = [search.by_mode(index(spark, d), "the tioning", rows, vector, m, 20, 0.05).select(F.lit(m).alias("mode"), C("doc").cast("long").alias("doc_id"), "score") for m in ("keyword", "vector", "hybrid", "deep")]
+    return reduce(DataFrame.unionByName, modes)
+
+
 def marked_headlines(spark, d):
     return index(spark, d).headlines("The tioning of an Erinator", load(spark, d, "documents"), "doc_id", "text").select(C("doc").alias("doc_id"), "score", "headline")
 
@@ -85,7 +96,16 @@ NEAR = " UNION ALL ".join(f"SELECT '{t}' AS term, word, levenshtein({_ONE.format
 BOOSTED = f"""WITH f AS (SELECT doc_id, list_distinct({_WORDS.format("source")}) AS s, list_distinct({_WORDS.format("text")}) AS t FROM documents)
 SELECT * FROM (SELECT doc_id, round(greatest(3 * ({" + ".join(_best(t, "s") for t in TERMS)}), {" + ".join(_best(t, "t") for t in TERMS)}), 6) AS score FROM f) WHERE score > 0"""
 
+_COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+MODES = f"""WITH a AS ({_ranked(TION)}), k AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM a QUALIFY r <= 40),
+v AS (SELECT e.vec_id AS doc_id, round({_COS}, 6) AS score, row_number() OVER (ORDER BY round({_COS}, 6) DESC, e.vec_id) AS r FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q QUALIFY r <= 40),
+u AS (SELECT doc_id, sum(1 / (60 + r)) + CASE WHEN count(*) = 2 THEN 0.1 ELSE 0 END AS score FROM (SELECT * FROM k UNION ALL SELECT * FROM v) GROUP BY 1), h AS (SELECT doc_id, round(score / (SELECT max(score) FROM u), 6) AS score FROM u),
+p AS (SELECT doc_id, round(score * (1 - 0.02 * (row_number() OVER (ORDER BY score DESC, doc_id) - 1)), 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM h QUALIFY place <= 30),
+m AS (SELECT 'keyword' AS mode, doc_id, score FROM k UNION ALL SELECT 'vector', doc_id, score FROM v UNION ALL SELECT 'hybrid', doc_id, score FROM h UNION ALL SELECT 'deep', doc_id, score FROM p)
+SELECT mode, CAST(doc_id AS BIGINT) AS doc_id, score FROM m WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY mode ORDER BY score DESC, doc_id) <= 20"""
+
 QUERIES = {
+    "search_modes": (search_modes, MODES),
     "ranked_full_text": (ranked_full_text, _ranked(TION, ERIN)),
     "ranked_titles": (ranked_titles, _ranked("src8", TION)),
     "marked_headlines": (marked_headlines, None),

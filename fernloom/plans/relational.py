@@ -85,7 +85,7 @@ NODES = "nodes AS (SELECT r_regionkey + 1000 AS id, NULL::INTEGER AS parent, r_n
 
 def category_tree_counts(spark, d):
     facts = load(spark, d, "customer").select(F.col("c_nationkey").alias("id"))
-    return hierarchy.subtree_counts(_nodes(spark, d), facts, 3)
+    return hierarchy.subtree_counts(_nodes(spark, d), facts)
 
 
 CATEGORY_TREE_COUNTS = f"""WITH RECURSIVE {NODES}, t AS (SELECT id AS root, id FROM nodes UNION ALL SELECT t.root, n.id FROM t JOIN nodes n ON n.parent = t.id), c AS (SELECT c_nationkey AS id, count(*) n FROM customer GROUP BY 1)
@@ -94,14 +94,14 @@ SELECT root AS id, CAST(coalesce(any_value(own.n), 0) AS BIGINT) AS direct, CAST
 
 def category_paths(spark, d):
     """Descendants with level and path."""
-    return hierarchy.descendants(_nodes(spark, d), 3)
+    return hierarchy.descendants(_nodes(spark, d))
 
 
 CATEGORY_PATHS = f"""WITH RECURSIVE {NODES}, t AS (SELECT id AS root, id, 0 AS level, name AS path FROM nodes UNION ALL SELECT t.root, n.id, t.level + 1, t.path || ' > ' || n.name FROM t JOIN nodes n ON n.parent = t.id) SELECT * FROM t"""
 
 
 def category_ancestors(spark, d):
-    return hierarchy.ancestors(_nodes(spark, d), 3)
+    return hierarchy.ancestors(_nodes(spark, d))
 
 
 CATEGORY_ANCESTORS = f"""WITH RECURSIVE {NODES}, t AS (SELECT id, id AS ancestor, parent, 0 AS distance FROM nodes UNION ALL SELECT t.id, n.id, n.parent, distance + 1 FROM t JOIN nodes n ON n.id = t.parent) SELECT id, ancestor, distance FROM t"""

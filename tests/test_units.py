@@ -237,3 +237,12 @@ def test_comment_cut(spark):
 
     rows = spark.createDataFrame([("é" * 60,), ("a" * 60,), ("é" * 50,), ("",), (None,)], "t string").select(comment_cut(F.col("t"), 100)).collect()
     assert [r[0] for r in rows] == ["é" * 50, "a" * 60, "é" * 50, "", None]
+
+
+def test_deep_hierarchy(spark):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}") for i in range(14)], "id int, parent int, name string")
+    got = {(r["root"], r["id"]): r["level"] for r in hierarchy.descendants(nodes).collect()}
+    assert got == {(a, b): b - a for a in range(14) for b in range(a, 14)}
+    assert hierarchy.descendants(nodes, 2).count() == 14 + 13 + 12
+    facts = spark.createDataFrame([(13,), (13,), (5,)], "id int")
+    assert {r["id"]: (r["direct"], r["total"]) for r in hierarchy.subtree_counts(nodes, facts).collect()} == {i: ((i == 5) + 2 * (i == 13), 2 + (i <= 5)) for i in range(14)}
