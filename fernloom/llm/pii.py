@@ -286,7 +286,7 @@ def training_sample(documents: DataFrame, most: int = SAMPLE) -> list[Labelled]:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [labelled(t.as_py()) for t in batch.column(1)]
+            found = [labelled((t.as_py() or b"").decode(errors="replace")) for t in batch.column(1).cast(pa.binary())]
             rows = [(h, len(d.labels), np.packbits(d.features.astype(bool)).tobytes(), d.labels.astype(np.int8).tobytes(), d.chain.astype(np.int32).tobytes(), d.skip.astype(np.int32).tobytes()) for h, d in zip(batch.column(0).to_pylist(), found, strict=True) if len(d.labels)]
             names = ("h", "n", "features", "labels", "chain", "skip")
             kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
@@ -312,8 +312,8 @@ def tag(text: str, field: Field) -> list[tuple[int, int, int, bool]]:
 def find_pii(documents: DataFrame, field: Field | None = None) -> DataFrame:
     """Each row of documents with found: an array of (kind, start, end, base), in code points, end exclusive, by start and kind.
 
-    A null or empty text has no spans. Extra columns stay, but one named found is
-    replaced. Repeated rows are each searched. Without a field one is trained on
+    A null or empty text has no spans; bytes that are no UTF-8 count as replacement
+    characters. Extra columns stay, but one named found is replaced. Repeated rows are each searched. Without a field one is trained on
     SAMPLE documents of the input; an empty input gives no rows.
     """
     field = field or train(training_sample(documents))
@@ -325,7 +325,7 @@ def find_pii(documents: DataFrame, field: Field | None = None) -> DataFrame:
         for batch in batches:
             for x in texts(batch):
                 n = len(x.at) - 1
-                found = [[{"kind": KINDS[k], "start": a, "end": b, "base": own} for a, k, b, own in tag(x.data[x.at[i] : x.at[i + 1]].tobytes().decode(), field)] for i in range(n)]
+                found = [[{"kind": KINDS[k], "start": a, "end": b, "base": own} for a, k, b, own in tag(x.data[x.at[i] : x.at[i + 1]].tobytes().decode(errors="replace"), field)] for i in range(n)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(x.first, n) for j in range(len(names))), pa.array(found, pa.list_(kind))], [*names, "found"])
 
     return documents.mapInArrow(tagged, StructType([*documents.schema.fields, StructField("found", SPANS)]))

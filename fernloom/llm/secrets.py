@@ -28,12 +28,13 @@ from fernloom.llm.trigrams import of_rule
 
 
 class Rule(NamedTuple):
-    """A kind of secret: an expression, the group whose length counts, and the least length."""
+    """A kind of secret: an expression, the group whose length counts, the least length, and the group that is the secret."""
 
     kind: str
     pattern: re.Pattern
     group: int
     least: int
+    span: int = 0
 
 
 BASE = (
@@ -64,7 +65,8 @@ MORE = (
     _more("google_oauth", r"ya29\.[0-9A-Za-z_-]{20,}", 25),
     _more("grafana", r"glsa_[A-Za-z0-9]{32}_[A-Fa-f0-9]{8}", 46),
     _more("huggingface", r"hf_[A-Za-z0-9]{34,}", 37),
-    _more("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 36),
+    # of a run of these characters, only the first eyJ is tried: what follows the run is the same for all
+    Rule("jwt", re.compile(r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)"), 1, 36, 1),
     _more("linear", r"lin_api_[A-Za-z0-9]{40}", 48),
     _more("mailchimp", r"[0-9a-f]{32}-us[0-9]{1,2}", 36),
     _more("mailgun", r"key-[0-9a-z]{32}", 36),
@@ -139,7 +141,8 @@ def scan_secrets(documents: DataFrame, base: tuple[Rule, ...] = BASE, more: tupl
 
     Matches of a rule are leftmost and do not overlap; those whose group is too
     short are dropped. Rules in `more` add spans, those of `base` always stay. A
-    null or empty text has no spans. Extra columns stay, but one named found is
+    null or empty text has no spans; bytes that are no UTF-8 count as replacement
+    characters. Extra columns stay, but one named found is
     replaced. Repeated rows are each scanned.
     """
     rules = [*base, *more]
@@ -157,11 +160,11 @@ def scan_secrets(documents: DataFrame, base: tuple[Rule, ...] = BASE, more: tupl
                 may = np.array([candidates(q, postings, n) for q in queries])
                 spans: list[list] = [[] for _ in range(n)]
                 for i in np.flatnonzero(may.any(0)):
-                    text = x.data[x.at[i] : x.at[i + 1]].tobytes().decode()
+                    text = x.data[x.at[i] : x.at[i + 1]].tobytes().decode(errors="replace")
                     own = []
                     for k in np.flatnonzero(may[:, i]):
                         r = rules[k]
-                        own += [(m.start(), k, m.end()) for m in r.pattern.finditer(text) if len(m.group(r.group)) >= r.least]
+                        own += [(m.start(r.span), k, m.end(r.span)) for m in r.pattern.finditer(text) if len(m.group(r.group)) >= r.least]
                     spans[i] = [{"kind": rules[k].kind, "start": a, "end": b, "base": bool(k < len(base))} for a, k, b in sorted(own)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(x.first, n) for j in range(len(names))), pa.array(spans, pa.list_(kind))], [*names, "found"])
 

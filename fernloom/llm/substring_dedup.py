@@ -111,7 +111,7 @@ def substring_dedup(documents: DataFrame, length: int = LENGTH, seed: int = SEED
                     lo, hi = w.bounds[i], w.bounds[i + 1]
                     own = starts[x.first + i].values
                     if own is None or not len(own):
-                        kept.append(b" ".join(x.data[x.at[i] : x.at[i + 1]].tobytes().split()).decode())
+                        kept.append(b" ".join(x.data[x.at[i] : x.at[i + 1]].tobytes().split()).decode(errors="replace"))
                         gone.append(0)
                         continue
                     # rows that repeat a doc_id with another text may be shorter
@@ -123,7 +123,7 @@ def substring_dedup(documents: DataFrame, length: int = LENGTH, seed: int = SEED
                     keep = np.cumsum(depth[:-1]) == 0
                     data = x.data[x.at[i] : x.at[i + 1]].tobytes()
                     a, b = w.starts[lo:hi][keep] - x.at[i], w.ends[lo:hi][keep] - x.at[i]
-                    kept.append(b" ".join(data[p:q] for p, q in zip(a.tolist(), b.tolist(), strict=True)).decode())
+                    kept.append(b" ".join(data[p:q] for p, q in zip(a.tolist(), b.tolist(), strict=True)).decode(errors="replace"))
                     gone.append(int((~keep).sum()))
                 m = len(kept)
                 cols = [batch.column(j).slice(x.first, m) for j in range(s)]

@@ -173,3 +173,38 @@ def test_field_on_held_out():
 def test_pii_long_and_empty(docs):
     assert find_pii(docs([(1, "a" * 1000000), (2, "1" * 1000000), (3, "a@" * 100000)])).count() == 3
     assert find_pii(docs([])).count() == 0
+
+
+def test_jwt_in_linear_time_and_as_before():
+    import re
+    import time
+
+    rule = next(r for r in MORE if r.kind == "jwt")
+    before = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+    rng = random.Random(3)
+    hits = 0
+    for _ in range(3000):
+        text = "".join(rng.choice(["eyJ", "eyJ" + "a" * 11, "b" * 9, ".", ".eyJ" + "c" * 10, "." + "d" * 12, "-", " ", "é"]) for _ in range(rng.randint(3, 16)))
+        want = [m.span() for m in before.finditer(text)]
+        assert [m.span(rule.span) for m in rule.pattern.finditer(text)] == want
+        hits += len(want)
+    assert hits > 50
+    began = time.time()
+    for text in ("eyJ" * 400_000, "eyJ" * 400_000 + ".eyJ", "eyJ.eyJ" * 170_000):
+        assert not list(rule.pattern.finditer(text))
+    assert time.time() - began < 5
+
+
+def test_texts_that_are_no_utf8(spark):
+    from fernloom.llm.substring_dedup import substring_dedup
+
+    long = " ".join(f"w{i}" for i in range(60)).encode()
+    rows = [(1, b"\xff\xfe password = abc123 a@b.cc"), (2, b"\x80" + long + b"\xc3"), (3, b"x " + long + b" \xff"), (4, b"\xff"), (5, b"caf\xc3\xa9 a@b.cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, b binary").selectExpr("doc_id", "CAST(b AS STRING) AS text")
+    secrets = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["found"]] for r in scan_secrets(docs.select("doc_id", "text")).select("doc_id", "found").collect()}
+    assert secrets == {1: [("assign", 3, 20)], 2: [], 3: [], 4: [], 5: []}
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["found"]] for r in find_pii(docs).select("doc_id", "found").collect()}
+    assert found[1] == [("email", 21, 27)] and found[5] == [("email", 5, 11)]
+    kept = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept").collect()}
+    assert kept[3] == (62, 58, "x w0 w59 \ufffd")
+    assert kept[4] == (1, 0, "�")
