@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "events", "texts", "retrieval", "functions", "markup", "content", "fulltext", "ingest", "changes", "clusters", "watch")
+MODULES = ("relational", "events", "texts", "retrieval", "functions", "markup", "content", "fulltext", "ingest", "changes", "clusters", "watch", "korean", "copies")
 
 
 def catalogue() -> dict:
