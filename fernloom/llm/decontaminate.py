@@ -30,7 +30,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHIN
             for x in texts(batch):
                 w, rows = words(x, ALNUM_LOWER), []
                 for i in range(len(x.at) - 1):
-                    own = [x.data[a:b].tobytes().decode().translate(_LOWER) for a, b in zip(w.starts[w.bounds[i] : w.bounds[i + 1]], w.ends[w.bounds[i] : w.bounds[i + 1]], strict=True)]
+                    own = [x.data[a:b].tobytes().decode(errors="backslashreplace").translate(_LOWER) for a, b in zip(w.starts[w.bounds[i] : w.bounds[i + 1]], w.ends[w.bounds[i] : w.bounds[i + 1]], strict=True)]
                     h = w.hashes[w.bounds[i] : w.bounds[i + 1]]
                     size = min(window, len(own))
                     k = shingle if size >= shingle else 1
@@ -71,7 +71,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z went to lower case. A
     word is hit if it lies in an occurrence of an item window; n_items counts the
     items with such windows. Null or empty texts have no words and no hits; null
-    item texts have no windows. Each row is its own, rows that repeat a doc_id, with
+    item texts have no windows. Bytes that are no UTF-8 belong to words and are equal
+    to the same bytes alone. Each row is its own, rows that repeat a doc_id, with
     the same text or another, and null ids too. Other columns are left out.
     """
     items = table(item_windows(benchmark, window, shingle))
@@ -109,7 +110,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                 at, keys, ks = at[order].astype(np.int64), keys[order].astype(np.int64), ks[order]
                 row = rows[at] if len(at) else np.zeros(0, np.int64)
                 lo, hi = np.maximum(at - window + 1, w.bounds[row]), np.minimum(at + window, w.bounds[row + 1])
-                near = [[x.data[w.starts[j] : w.ends[j]].tobytes().decode().translate(_LOWER) for j in range(a, b)] for a, b in zip(lo, hi, strict=True)]
+                near = [[x.data[w.starts[j] : w.ends[j]].tobytes().decode(errors="backslashreplace").translate(_LOWER) for j in range(a, b)] for a, b in zip(lo, hi, strict=True)]
                 hits = pa.StructArray.from_arrays(
                     [pa.array(at - w.bounds[row], pa.int32()), pa.array(keys, pa.int64()), pa.array(ks, pa.int32()), pa.array(at - lo, pa.int32()), pa.array(near, pa.list_(pa.string()))], ["pos", "key", "k", "before", "near"]
                 )

@@ -290,3 +290,11 @@ def test_omitted_tags(head, body):
 def test_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "<p>One two three four.</p>", "old", 7)], "page_id long, html string, text string, n_chars int")
     assert [tuple(r) for r in extract_text(pages, {}).select("page_id", "text", "n_chars").collect()] == [(1, "One two three four.", 19)]
+
+
+def test_decontaminate_bytes_that_are_no_utf8(spark):
+    item = b"a b c d \xff\xfe f g h i j"
+    rows = [(1, b"X " + item.upper()), (2, item.replace(b"\xff", b"\xfd")), (3, item.replace(b"\xff\xfe", b"\xef\xbf\xbd")), (4, item.replace(b"\xff\xfe", rb"\xff\xfe")), (5, b"\xff"), (6, "a b c d é".encode() + b"\xc3 f")]
+    of = lambda rows, key: spark.createDataFrame(rows, f"{key} long, b binary").selectExpr(key, "CAST(b AS STRING) AS text")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["contaminated"]) for r in decontaminate(of(rows, "doc_id"), of([(1, item)], "item_id")).collect()}
+    assert got == {1: (11, 10, True), 2: (10, 0, False), 3: (10, 0, False), 4: (11, 0, False), 5: (1, 0, False), 6: (6, 0, False)}
