@@ -115,7 +115,10 @@ def snippet(text: Column, tokens: list[str], most: int = 200) -> Column:
 def autocomplete(names: DataFrame, column: str, prefix: str, k: int = 10) -> DataFrame:
     """Names that start with the prefix in any case, by how often they come, with the count of all matches."""
     hits = names.where(F.lower(F.col(column)).startswith(prefix.lower())).groupBy(column).agg(F.count("*").alias("n"))
-    return hits.withColumn("matches", F.count("*").over(Window.partitionBy(F.lit(0)))).orderBy(F.desc("n"), column).limit(k)
+    first = hits.orderBy(F.desc("n"), column).limit(k).withColumn("all", F.lit(True))
+    # one row, which each of the first meets
+    total = hits.groupBy(F.lit(True).alias("all")).agg(F.count("*").alias("matches"))
+    return first.join(F.broadcast(total), "all").drop("all")
 
 
 def boosted(documents: DataFrame, boosts: dict[str, float], terms: list[str], doc: str = "doc_id") -> DataFrame:

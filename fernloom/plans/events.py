@@ -41,7 +41,7 @@ def streaks(spark, d):
     return timeline.streaks(load(spark, d, "events").select("user_id", F.to_date("ts").alias("day")), AS_OF)
 
 
-STREAKS = f"""WITH a AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE CAST(ts AS DATE) <= DATE '{AS_OF}'), g AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS island FROM a),
+STREAKS = f"""WITH a AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE CAST(ts AS DATE) <= DATE '{AS_OF}' AND CAST(ts AS DATE) > DATE '{AS_OF}' - 365), g AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS island FROM a),
 r AS (SELECT user_id, island, count(*) AS n, max(day) AS last FROM g GROUP BY 1, 2)
 SELECT user_id, coalesce(max(n) FILTER (last >= DATE '{AS_OF}' - 1), 0) AS current, max(n) AS longest FROM r GROUP BY 1"""
 

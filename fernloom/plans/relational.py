@@ -326,12 +326,12 @@ def facets(spark, d):
     """The twenty categories and the fifty tags that most hits have."""
     hits, nation, orders, lineitem, part = load(spark, d, "customer", "nation", "orders", "lineitem", "part")
     cats = hits.join(nation, hits["c_nationkey"] == nation["n_nationkey"]).groupBy("n_name").agg(F.count("*").alias("n")).select(F.lit("category").alias("facet"), F.col("n_name").alias("term"), "n")
-    tags = lineitem.where("l_quantity > 45").join(part, lineitem["l_partkey"] == part["p_partkey"]).groupBy("p_brand").agg(F.count("*").alias("n")).select(F.lit("tag").alias("facet"), F.col("p_brand").alias("term"), "n")
+    tags = lineitem.join(part, lineitem["l_partkey"] == part["p_partkey"]).groupBy("p_brand").agg(F.count("*").alias("n")).select(F.lit("tag").alias("facet"), F.col("p_brand").alias("term"), "n")
     return cats.orderBy(F.desc("n"), "term").limit(20).unionByName(tags.orderBy(F.desc("n"), "term").limit(50))
 
 
 FACETS = """(SELECT 'category' AS facet, n_name AS term, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 2 ORDER BY n DESC, term LIMIT 20)
-UNION ALL (SELECT 'tag', p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45 GROUP BY 2 ORDER BY n DESC, p_brand LIMIT 50)"""
+UNION ALL (SELECT 'tag', p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 2 ORDER BY n DESC, p_brand LIMIT 50)"""
 
 
 def ratings(spark, d):
@@ -352,7 +352,7 @@ def storage_totals(spark, d):
 def expertise(spark, d):
     """Distinct documents by user and tag with a level; the three best tags of a user and how many share them."""
     orders, lineitem, part = load(spark, d, "orders", "lineitem", "part")
-    rows = lineitem.where("l_quantity > 30").join(orders, lineitem["l_orderkey"] == orders["o_orderkey"]).join(part, lineitem["l_partkey"] == part["p_partkey"])
+    rows = lineitem.join(orders, lineitem["l_orderkey"] == orders["o_orderkey"]).join(part, lineitem["l_partkey"] == part["p_partkey"])
     n = rows.groupBy("o_custkey", "p_brand").agg(F.count_distinct("o_orderkey").alias("n"))
     shared = n.groupBy("p_brand").agg(F.count("*").alias("users"))
     level = F.when(F.col("n") >= 10, "expert").when(F.col("n") >= 5, "advanced").when(F.col("n") >= 2, "intermediate").otherwise("beginner")
@@ -360,7 +360,7 @@ def expertise(spark, d):
     return best.join(shared, "p_brand")
 
 
-EXPERTISE = """WITH n AS (SELECT o_custkey, p_brand, count(DISTINCT o_orderkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 30 GROUP BY 1, 2),
+EXPERTISE = """WITH n AS (SELECT o_custkey, p_brand, count(DISTINCT o_orderkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 s AS (SELECT p_brand, count(*) AS users FROM n GROUP BY 1)
 SELECT n.*, CASE WHEN n >= 10 THEN 'expert' WHEN n >= 5 THEN 'advanced' WHEN n >= 2 THEN 'intermediate' ELSE 'beginner' END AS level, users FROM n JOIN s USING (p_brand) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, p_brand) <= 3"""
 
@@ -396,12 +396,12 @@ FIRST_REVIEWER = "SELECT l_orderkey, l_suppkey AS reviewer FROM lineitem JOIN su
 def best_annotation(spark, d):
     """The path of each document's annotation of the highest priority, or one made of its key."""
     orders, lineitem = load(spark, d, "orders", "lineitem")
-    best = lineitem.where("l_quantity > 40").groupBy("l_orderkey").agg(F.max_by(F.concat(F.lit("notes/"), F.col("l_partkey").cast("string")), F.struct("l_quantity", -F.col("l_linenumber"), -F.col("l_partkey"))).alias("path"))
+    best = lineitem.groupBy("l_orderkey").agg(F.max_by(F.concat(F.lit("notes/"), F.col("l_partkey").cast("string")), F.struct("l_quantity", -F.col("l_linenumber"), -F.col("l_partkey"))).alias("path"))
     return orders.join(best, orders["o_orderkey"] == best["l_orderkey"], "left").select("o_orderkey", F.coalesce("path", F.concat(F.lit("doc://"), F.col("o_orderkey").cast("string"))).alias("path"))
 
 
 BEST_ANNOTATION = """SELECT o_orderkey, coalesce(path, 'doc://' || o_orderkey) AS path FROM orders LEFT JOIN
-(SELECT l_orderkey, 'notes/' || l_partkey AS path FROM lineitem WHERE l_quantity > 40 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) = 1) ON l_orderkey = o_orderkey"""
+(SELECT l_orderkey, 'notes/' || l_partkey AS path FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) = 1) ON l_orderkey = o_orderkey"""
 
 #: Sort orders by name: each takes whether it falls.
 SORTS = {

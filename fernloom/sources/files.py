@@ -74,13 +74,11 @@ def backup_name(name: Column) -> Column:
 
 
 def commits(lines: DataFrame) -> DataFrame:
-    """(hash, author, subject, files, insertions, deletions) of log lines `hash|author|subject`, each followed by its short statistics; lines: no, line."""
-    from pyspark.sql import Window
-
-    after = F.lead("line").over(Window.orderBy("no"))
+    """(hash, author, subject, files, insertions, deletions) of log lines `hash|author|subject`, each followed by its short statistics; lines: no (counted by one), line."""
     parts = F.split("line", r"\|", 3)
     number = lambda p: F.coalesce(F.nullif(F.regexp_extract("stat", p, 1), F.lit("")).cast("int"), F.lit(0))
-    rows = lines.withColumn("stat", after).where(F.col("line").rlike(r"^[0-9a-f]{7,40}\|"))
+    heads = lines.where(F.col("line").rlike(r"^[0-9a-f]{7,40}\|"))
+    rows = heads.join(lines.select((F.col("no") - 1).alias("no"), F.col("line").alias("stat")), "no", "left")
     return rows.select(parts[0].alias("hash"), parts[1].alias("author"), parts[2].alias("subject"), number("([0-9]+) file").alias("files"), number("([0-9]+) insertion").alias("insertions"), number("([0-9]+) deletion").alias("deletions"))
 
 

@@ -246,3 +246,9 @@ def test_deep_hierarchy(spark):
     assert hierarchy.descendants(nodes, 2).count() == 14 + 13 + 12
     facts = spark.createDataFrame([(13,), (13,), (5,)], "id int")
     assert {r["id"]: (r["direct"], r["total"]) for r in hierarchy.subtree_counts(nodes, facts).collect()} == {i: ((i == 5) + 2 * (i == 13), 2 + (i <= 5)) for i in range(14)}
+
+
+def test_streaks_of_a_long_history(spark):
+    days = spark.sql("SELECT 1 AS user_id, explode(sequence(DATE '2022-01-01', DATE '2024-01-07')) AS day")
+    assert [tuple(r) for r in timeline.streaks(days, "2024-01-07").collect()] == [(1, 365, 365)]
+    assert [tuple(r) for r in timeline.streaks(days.where("day < '2023-06-01'"), "2024-01-07").collect()] == [(1, 0, 144)]
