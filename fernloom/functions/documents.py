@@ -25,8 +25,10 @@ def numbers(args: Column) -> Column:
 
 
 def shown(x: Column) -> Column:
-    """A number without decimals if it is whole."""
-    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(F.round(x, 6).cast("string"))
+    """A number to six decimals, without an exponent and without zeros at its end."""
+    plain = F.round(x, 6).try_cast("decimal(38,6)").cast("string")
+    # what has no such decimal (from 1e32 on, infinite, not a number) is shown as it is
+    return F.coalesce(F.regexp_replace(plain, r"\.?0+$", ""), x.cast("string"))
 
 
 def _sum(a: Column) -> Column:
