@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernloom.functions import documents as D
+from fernloom.operators import mining
 
 
 @pytest.mark.parametrize(
@@ -12,3 +13,22 @@ from fernloom.functions import documents as D
 )
 def test_numbers_are_shown_without_exponent(spark, name, args, want):
     assert spark.range(1).select(D.called(name, F.lit(args)).alias("x")).first()["x"] == want
+
+
+def test_similar_texts_passes_on_the_best_alone(spark, monkeypatch):
+    """Blocks of few terms, ties, copies and a text without terms give what all pairs give, and no pair is shuffled but the best of a block."""
+    monkeypatch.setattr(mining, "BLOCK_TERMS", 120)
+    texts = [(i, " ".join(f"w{chr(97 + i * j % 7)}{chr(97 + (i + j) % 5)}" for j in range(i % 9))) for i in range(60)] + [(60, None), (61, "common wab"), (62, "common wab")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    w = mining.tfidf(docs)
+    got = mining.similar_texts(w, docs.where("doc_id % 3 = 1"), 3)
+    of = {}
+    for r in w.collect():
+        of.setdefault(r["doc_id"], {})[r["term"]] = r["weight"]
+    want = []
+    for q in (x for x in of if x % 3 == 1):
+        sims = [(-round(sum(of[q][t] * v for t, v in of[i].items() if t in of[q]), 6), i) for i in of if i != q and of[i].keys() & of[q].keys()]
+        want += [(q, i, -s) for s, i in sorted(sims)[:3]]
+    assert {(q, i): s for q, i, s in map(tuple, got.collect())} == pytest.approx({(q, i): s for q, i, s in want}) and len(want) > 40
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
