@@ -1,9 +1,11 @@
 """Values and groups that only larger tables have."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fernloom.functions import documents as D
+from fernloom.functions import korean as K
 from fernloom.operators import mining
 
 
@@ -32,3 +34,17 @@ def test_similar_texts_passes_on_the_best_alone(spark, monkeypatch):
     assert {(q, i): s for q, i, s in map(tuple, got.collect())} == pytest.approx({(q, i): s for q, i, s in want}) and len(want) > 40
     plan = got._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_hangul_in_steps(spark, monkeypatch):
+    """Python objects are made for a step's texts alone, whatever an Arrow batch has."""
+    texts = pa.array(["가나 다", None, "", "라" * 50, "마 바", None])
+    monkeypatch.setattr(K, "STEP_BYTES", 20)
+    seen = []
+    batches = iter([texts, texts.slice(0, 0), texts.slice(4)])
+    out = K._in_steps(batches, lambda rows: seen.append(rows) or pa.array(rows, pa.string()))
+    assert pa.concat_arrays(list(out)).to_pylist() == texts.to_pylist() + ["마 바", None]
+    assert seen == [["가나 다", None, ""], ["라" * 50], ["마 바", None], ["마 바", None]]
+    of = spark.createDataFrame([(t,) for t in texts.to_pylist()], "t string").repartition(1)
+    got = of.select("t", K.tokens(F.col("t")).alias("w"), K.letters(F.col("t")).alias("l")).collect()
+    assert {r["t"]: r["w"] and [w["text"] for w in r["w"]] for r in got} == {t: None if t is None else t.split() for t in texts.to_pylist()}
