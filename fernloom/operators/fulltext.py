@@ -3,7 +3,7 @@
 The index is three tables in one folder: a row for each occurrence of a word, in
 directories by a hash of the word and sorted by word, so that a search reads its own
 words alone; the distinct words with their stems; and, for fuzzy search, the words by
-what is left of them when one or two letters go.
+each of their thirds.
 """
 
 from __future__ import annotations
@@ -32,17 +32,32 @@ def _bucket(c: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
 
 
-def _without_one(words: Column) -> Column:
-    """The words, and each of them less any one letter."""
-    less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    return F.array_distinct(F.concat(words, F.flatten(F.transform(F.filter(words, lambda w: F.length(w) > 0), less))))
+def _thirds(length: int) -> list[tuple[int, int]]:
+    return [(i * length // 3, (i + 1) * length // 3) for i in range(3)]
 
 
-def deletions(word: Column) -> Column:
-    """What is left of a word when up to as many letters go as may differ from a term that is near it."""
-    one = _without_one(F.array(word))
-    # a term is near if it is up to two letters longer or shorter, and a term of six letters may differ by two
-    return F.when(F.length(word) >= 4, _without_one(one)).otherwise(one)
+def segments(word: Column) -> Column:
+    """A word's thirds that aren't empty, each with the word's length and its number: three at most, however long the word."""
+    n = F.length(word)
+    start = lambda i: F.floor(i * n / 3)
+    third = lambda i: F.concat_ws(":", n.cast("string"), i.cast("string"), F.substring(word, (start(i) + 1).cast("int"), (start(i + 1) - start(i)).cast("int")))
+    return F.transform(F.filter(F.array(*map(F.lit, range(3))), lambda i: start(i + 1) > start(i)), third)
+
+
+def may_differ(term: str) -> int:
+    """Letters in which a word near the term may differ."""
+    return 0 if len(term) <= 2 else 1 if len(term) <= 5 else 2
+
+
+def asked_segments(term: str) -> list[str]:
+    """The segments of which a word near the term has one: an edit changes one third at most, so one is left, moved by as many letters as may differ."""
+    most, keys = may_differ(term), {}
+    for n in range(max(1, len(term) - most), len(term) + most + 1):
+        for i, (a, b) in enumerate(_thirds(n)):
+            for at in range(max(0, a - most), min(len(term) - (b - a), a + most) + 1):
+                if b > a:
+                    keys[f"{n}:{i}:{term[at : at + b - a]}"] = None
+    return list(keys)
 
 
 @dataclass(frozen=True)
@@ -113,17 +128,15 @@ class FullTextIndex:
         return rows.select("doc", "score", made("text").alias("headline"))
 
     def near(self, terms: list[str]) -> DataFrame:
-        """(term, word, distance) of the index's words near a term; only words that share a rest with it are compared.
+        """(term, word, distance) of the index's words near a term; only words that share a third with it are compared.
 
         No letter may differ from a term of up to two letters, one of up to five, else two.
         """
-        asked = self.spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string").select("term", F.explode(deletions(F.col("term"))).alias("rest"))
-        asked = asked.withColumn("bucket", _bucket(F.col("rest"), self.buckets))
-        rests = self.spark.read.parquet(f"{self.path}/rests")
-        found = rests.join(F.broadcast(asked), ["bucket", "rest"]).select("term", "word").distinct()
-        length = F.length("term")
-        most = F.when(length <= 2, 0).when(length <= 5, 1).otherwise(2)
-        return found.withColumn("distance", F.levenshtein("term", "word")).where(F.col("distance") <= most)
+        asked = self.spark.createDataFrame([(t, may_differ(t), k) for t in dict.fromkeys(terms) for k in asked_segments(t)], "term string, most int, segment string")
+        asked = asked.withColumn("bucket", _bucket(F.col("segment"), self.buckets))
+        found = self.spark.read.parquet(f"{self.path}/segments").join(F.broadcast(asked), ["bucket", "segment"])
+        found = found.withColumn("distance", F.levenshtein("term", "word")).where(F.col("distance") <= F.col("most"))
+        return found.select("term", "word", "distance").distinct()
 
     def fuzzy(self, terms: list[str], boosts: list[float]) -> DataFrame:
         """(doc, score): the best field's boost by its hits, which add for each term 1 less the share of its letters in which the nearest word differs."""
@@ -153,8 +166,8 @@ def build_index(documents: DataFrame, path: str, fields: dict[str, float], doc:
     each = index.occurrences().groupBy("word", "doc").agg(F.count("*").alias("n"))
     words = each.groupBy("word").agg(F.sum("n").alias("uses"), F.count("*").alias("docs"))
     words.select("word", stems("word").alias("stem"), "uses", "docs").write.parquet(f"{path}/words")
-    rests = index.words().select("word", F.explode(deletions(F.col("word"))).alias("rest")).withColumn("bucket", _bucket(F.col("rest"), buckets))
-    rests.repartition("bucket").sortWithinPartitions("rest").write.partitionBy("bucket").parquet(f"{path}/rests")
+    thirds = index.words().select("word", F.explode(segments(F.col("word"))).alias("segment")).withColumn("bucket", _bucket(F.col("segment"), buckets))
+    thirds.repartition("bucket").sortWithinPartitions("bucket", "segment").write.partitionBy("bucket").parquet(f"{path}/segments")
     return index
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fernloom.functions import documents as D
 from fernloom.functions import korean as K
-from fernloom.operators import mining
+from fernloom.operators import fulltext, mining
 
 
 @pytest.mark.parametrize(
@@ -48,3 +48,18 @@ def test_hangul_in_steps(spark, monkeypatch):
     of = spark.createDataFrame([(t,) for t in texts.to_pylist()], "t string").repartition(1)
     got = of.select("t", K.tokens(F.col("t")).alias("w"), K.letters(F.col("t")).alias("l")).collect()
     assert {r["t"]: r["w"] and [w["text"] for w in r["w"]] for r in got} == {t: None if t is None else t.split() for t in texts.to_pylist()}
+
+
+def test_words_are_indexed_by_three_segments(spark, tmp_path):
+    """A word of any length has three rows at most, and all words near a term are found by them."""
+    letters = ["", "a", "b", "é"]
+    words = sorted({w + x + y for w in ("aab", "abab", "babab", "ababab", "bbaaéb", "abcdefg") for x in letters for y in letters} | {w[:i] + x + w[i + 1 :] for w in ("abab", "ababab", "bbaaéb", "abcdefg") for i in range(7) for x in letters} | {"a", "b", "ab", "x" * 4000})
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    index = fulltext.build_index(docs, str(tmp_path / "i"), {"text": 1.0}, buckets=2)
+    kept = spark.read.parquet(f"{index.path}/segments")
+    assert kept.groupBy("word").count().where("count > 3").count() == 0 and kept.select("word").distinct().count() == len(words)
+    terms = ["a", "ab", "aba", "abab", "babab", "ababab", "bbaaéb", "abcdefg", "cdefgab", "bcdefg"]
+    got = {tuple(r) for r in index.near(terms).collect()}
+    pairs = spark.createDataFrame([(t, fulltext.may_differ(t), w) for t in terms for w in words], "term string, most int, word string")
+    want = {tuple(r) for r in pairs.withColumn("d", F.levenshtein("term", "word")).where("d <= most").select("term", "word", "d").collect()}
+    assert got == want and len(want) > 60
