@@ -71,7 +71,7 @@ class FullTextIndex:
 
     def occurrences(self) -> DataFrame:
         """(word, doc, field, pos, bucket): pos goes on from field to field."""
-        return self.spark.read.parquet(f"{self.path}/occurrences")
+        return self.spark.read.parquet(f"{self.path}/occurrences").drop("first")
 
     def words(self) -> DataFrame:
         """(word, stem, uses, docs)."""
@@ -160,11 +160,13 @@ def build_index(documents: DataFrame, path: str, fields: dict[str, float], doc:
     begin = [reduce(lambda a, c: a + c, [F.size(f"w{j}") for j in range(i)], F.lit(0)) for i in range(len(fields))]
     parts = [rows.select("doc", F.lit(i).alias("field"), begin[i].alias("begin"), F.posexplode(f"w{i}").alias("at", "word")) for i in range(len(fields))]
     every = reduce(DataFrame.unionByName, parts).select("word", "doc", "field", (F.col("begin") + F.col("at") + 1).alias("pos"), _bucket(F.col("word"), buckets).alias("bucket"))
-    every = every.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(spread)))
-    every.sortWithinPartitions("bucket", "word", "doc", "pos").write.partitionBy("bucket").parquet(f"{path}/occurrences")
+    every = every.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(spread))).repartition("bucket", "part")
+    # a word's first place in a document is marked here, where they are in order, so that documents are counted without being shuffled again
+    order = ["bucket", "part", "word", "doc", "pos"]
+    every = every.withColumn("first", F.row_number().over(Window.partitionBy(*order[:-1]).orderBy("pos")) == 1).sortWithinPartitions(*order)
+    every.drop("part").write.partitionBy("bucket").parquet(f"{path}/occurrences")
     index = FullTextIndex(spark, path, tuple(fields.values()), buckets)
-    each = index.occurrences().groupBy("word", "doc").agg(F.count("*").alias("n"))
-    words = each.groupBy("word").agg(F.sum("n").alias("uses"), F.count("*").alias("docs"))
+    words = spark.read.parquet(f"{path}/occurrences").groupBy("word").agg(F.count("*").alias("uses"), F.count_if("first").alias("docs"))
     words.select("word", stems("word").alias("stem"), "uses", "docs").write.parquet(f"{path}/words")
     thirds = index.words().select("word", F.explode(segments(F.col("word"))).alias("segment")).withColumn("bucket", _bucket(F.col("segment"), buckets))
     thirds.repartition("bucket").sortWithinPartitions("bucket", "segment").write.partitionBy("bucket").parquet(f"{path}/segments")

@@ -63,3 +63,13 @@ def test_words_are_indexed_by_three_segments(spark, tmp_path):
     pairs = spark.createDataFrame([(t, fulltext.may_differ(t), w) for t in terms for w in words], "term string, most int, word string")
     want = {tuple(r) for r in pairs.withColumn("d", F.levenshtein("term", "word")).where("d <= most").select("term", "word", "d").collect()}
     assert got == want and len(want) > 60
+
+
+def test_documents_of_a_word_are_counted_at_its_first_place(spark, tmp_path):
+    """Fields, repeated words and rows without an id count once for a document; the places are marked when they are written."""
+    docs = spark.createDataFrame([(1, "a b a", "a"), (2, "b", None), (None, "a", "a c"), (None, "a", "b")], "doc_id long, title string, text string")
+    index = fulltext.build_index(docs, str(tmp_path / "i"), {"title": 1.0, "text": 0.4}, buckets=2)
+    assert {(r["word"], r["uses"], r["docs"]) for r in index.words().collect()} == {("a", 6, 2), ("b", 3, 3), ("c", 1, 1)}
+    kept = spark.read.parquet(f"{index.path}/occurrences")
+    assert {(r["word"], r["n"]) for r in kept.where("first").groupBy("word").agg(F.count("*").alias("n")).collect()} == {("a", 2), ("b", 3), ("c", 1)}
+    assert index.occurrences().columns == ["word", "doc", "field", "pos", "bucket"]
