@@ -1,5 +1,7 @@
 """Values and groups that only larger tables have."""
 
+import re
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from fernloom.functions import documents as D
 from fernloom.functions import korean as K
 from fernloom.operators import fulltext, mining
+from fernloom.plans import relational
 
 
 @pytest.mark.parametrize(
@@ -73,3 +76,10 @@ def test_documents_of_a_word_are_counted_at_its_first_place(spark, tmp_path):
     kept = spark.read.parquet(f"{index.path}/occurrences")
     assert {(r["word"], r["n"]) for r in kept.where("first").groupBy("word").agg(F.count("*").alias("n")).collect()} == {("a", 2), ("b", 3), ("c", 1)}
     assert index.occurrences().columns == ["word", "doc", "field", "pos", "bucket"]
+
+
+def test_expertise_has_more_tasks_for_more_rows(spark, monkeypatch):
+    """A task's share of the rows is bounded: partitions grow with the line items."""
+    monkeypatch.setattr(relational, "TASK_ROWS", 500)
+    plan = relational.expertise(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert re.search(r"hashpartitioning\(o_custkey#\d+L?, p_brand#\d+, 1[0-9]\), REPARTITION_BY_NUM", plan)
