@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fernloom.functions import documents as D
 from fernloom.functions import korean as K
+from fernloom.functions import text as T
 from fernloom.operators import fulltext, mining
 from fernloom.plans import relational
 
@@ -83,3 +84,14 @@ def test_expertise_has_more_tasks_for_more_rows(spark, monkeypatch):
     monkeypatch.setattr(relational, "TASK_ROWS", 500)
     plan = relational.expertise(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert re.search(r"hashpartitioning\(o_custkey#\d+L?, p_brand#\d+, 1[0-9]\), REPARTITION_BY_NUM", plan)
+
+
+def test_top_tokens_shuffle_texts_once(spark, monkeypatch):
+    """Tokens are counted where their texts are; partitions grow with the texts."""
+    monkeypatch.setattr(T, "TASK_TEXTS", 3)
+    docs = spark.createDataFrame([(i, "b b a c " * i) for i in range(30)] + [(3, "c c c c"), (40, None)], "doc_id long, text string")
+    got = T.top_tokens(docs, "doc_id", F.split("text", " +"), 2)
+    rows = {(r["doc_id"], r["token"]): r["n"] for r in got.collect() if r["token"]}
+    assert rows[3, "c"] == 7 and rows[3, "b"] == 6 and (3, "a") not in rows and rows[29, "b"] == 58
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and ", 10), REPARTITION_BY_NUM" in plan
