@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from fernloom.functions import documents as D
 from fernloom.functions import korean as K
 from fernloom.functions import text as T
-from fernloom.operators import fulltext, mining
+from fernloom.operators import clusters, fulltext, mining, vectors
 from fernloom.plans import relational
 
 
@@ -95,3 +96,47 @@ def test_top_tokens_shuffle_texts_once(spark, monkeypatch):
     assert rows[3, "c"] == 7 and rows[3, "b"] == 6 and (3, "a") not in rows and rows[29, "b"] == 58
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning") == 1 and ", 10), REPARTITION_BY_NUM" in plan
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    for name, n in {"BLOCK": 8, "GROUP": 50, "TILE": 7}.items():
+        monkeypatch.setattr(vectors, name, n)
+
+
+def embedded(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+
+
+def test_vectors_are_copied_for_few_blocks(spark, monkeypatch):
+    """A vector is copied for no more blocks than give each core some pairs of them, and a pair's results are those of all pairs."""
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    rows = embedded(spark, np.random.default_rng(5).normal(size=(400, 6)).round(3))
+    plan = vectors.similarity_edges(rows, 0.9)._jdf.queryExecution().analyzed().toString()
+    # blocks are numbered from 0
+    assert int(re.search(r"sequence\(0, (\d+)", plan)[1]) < 10
+
+
+def test_pairs_over_tiles_and_blocks(spark, small_blocks):
+    """Pairs, nearest rows, sums and silhouettes where a task has several tiles, and copies among the vectors."""
+    x = np.random.default_rng(6).normal(size=(130, 5)).round(3)
+    x[100:] = x[:30]
+    rows = embedded(spark, x)
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    upper = np.triu_indices(130, 1)
+    assert {tuple(r) for r in vectors.similarity_edges(rows, 0.5).collect()} == {(i, j, s[i, j]) for i, j in zip(*upper, strict=True) if s[i, j] >= 0.5}
+    near = {(r["query_id"], r["vec_id"]) for r in vectors.neighbours(rows, rows, 3, -1.0).collect()}
+    assert near == {(i, j) for i in range(130) for j in sorted((j for j in range(130) if j != i), key=lambda j: (-s[i, j], j))[:3]}
+    got, all_pairs = vectors.similarity_summary(rows).first(), s[upper]
+    assert (got["n"], got["low"], got["high"], got["near"]) == (130 * 129 // 2, all_pairs.min(), all_pairs.max(), (all_pairs >= 0.8).sum())
+    assert got["mean"] == pytest.approx(all_pairs.mean(), abs=1e-6) and got["dev"] == pytest.approx(all_pairs.std(), abs=1e-6)
+    labels = rows.select("vec_id", F.lit(0).alias("labelling"), (F.col("vec_id") % 3).alias("cluster"))
+    d = np.sqrt(np.maximum(0, ((x.astype(np.float32).astype(float)[:, None] - x.astype(np.float32).astype(float)[None]) ** 2).sum(2)))
+    of = np.arange(130) % 3
+    a = np.array([d[i, of == of[i]].sum() / ((of == of[i]).sum() - 1) for i in range(130)])
+    b = np.array([min(d[i, of == k].mean() for k in range(3) if k != of[i]) for i in range(130)])
+    assert clusters.silhouettes(rows, labels).first()["silhouette"] == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=1e-6)
+    with pytest.raises(Exception, match="lengths"):
+        vectors.similarity_edges(rows.union(spark.createDataFrame([(999, [1.0])], rows.schema)), 0.5).collect()
