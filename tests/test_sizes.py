@@ -140,3 +140,19 @@ def test_pairs_over_tiles_and_blocks(spark, small_blocks):
     assert clusters.silhouettes(rows, labels).first()["silhouette"] == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=1e-6)
     with pytest.raises(Exception, match="lengths"):
         vectors.similarity_edges(rows.union(spark.createDataFrame([(999, [1.0])], rows.schema)), 0.5).collect()
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_term_weights_shuffle_texts_once(spark, monkeypatch, most):
+    """Counts and norms stay where the texts were dealt to; terms join by broadcast or, where there are too many, by shuffle."""
+    monkeypatch.setattr(mining, "SEND_TERMS", most)
+    texts = [(1, "Aaa bbb-aaa 1ccc"), (2, "bbb ccc ddd the"), (2, "Éaaa"), (None, "ddd ccc"), (None, "ddd"), (4, None), (5, ""), (6, "zz xyz")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = mining.tfidf(docs)
+    count = {1: {"aaa": 2, "bbb": 1, "ccc": 1}, 2: {"bbb": 1, "ccc": 1, "ddd": 1, "aaa": 1}, None: {"ddd": 2, "ccc": 1}}
+    df = {t: sum(t in c for c in count.values()) for t in ("aaa", "bbb", "ccc", "ddd")}
+    raw = {d: {t: n * (np.log(9 / (1 + df[t])) + 1) for t, n in c.items()} for d, c in count.items()}
+    want = {(d, t): w / np.sqrt(sum(x * x for x in c.values())) for d, c in raw.items() for t, w in c.items()}
+    assert {(r["doc_id"], r["term"]): r["weight"] for r in got.collect()} == pytest.approx(want)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not most or plan.count("Exchange hashpartitioning") == 1
