@@ -72,11 +72,18 @@ def run(stages: list[Stage], documents: DataFrame, context: Context, key: str =
             continue
         began, seen, made = time.monotonic(), Observation(), Observation()
         fault = stage.fault(context) if stage.fault else F.lit(None).cast("string")
-        marked = rows.withColumn("_fault", fault).observe(seen, F.count("*").alias("rows"), F.count("_fault").alias("failed"))
+        given = rows.withColumn("_fault", fault).observe(seen, F.count("*").alias("rows"), F.count("_fault").alias("failed")).where("_fault is null").drop("_fault")
         metric = {"stage": stage.name, "status": "done", "rows_in": None, "failed": None, "rows_out": None}
         try:
-            out = cut(stage.process(marked.where("_fault is null").drop("_fault"), context).observe(made, F.count("*").alias("rows")))
-            taken, passed = _counted(seen, rows, {"rows": F.count("*"), "failed": F.count(fault)}), _counted(made, out, {"rows": F.count("*")})
+            out = stage.process(given, context)
+            if out is given and not stage.fault:
+                # rows that a stage passes on as they are aren't written again
+                out = rows
+                taken = {"rows": rows.count(), "failed": 0}
+                passed = taken
+            else:
+                out = cut(out.observe(made, F.count("*").alias("rows")))
+                taken, passed = _counted(seen, rows, {"rows": F.count("*"), "failed": F.count(fault)}), _counted(made, out, {"rows": F.count("*")})
             metric |= {"rows_in": taken["rows"], "failed": taken["failed"], "rows_out": passed["rows"]}
         except Exception as e:
             metric["status"] = "failed"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fernloom.functions import documents as D
 from fernloom.functions import korean as K
 from fernloom.functions import text as T
-from fernloom.operators import clusters, fulltext, mining, vectors
+from fernloom.operators import clusters, fulltext, ingest, mining, vectors
 from fernloom.plans import relational
 
 
@@ -156,3 +156,14 @@ def test_term_weights_shuffle_texts_once(spark, monkeypatch, most):
     assert {(r["doc_id"], r["term"]): r["weight"] for r in got.collect()} == pytest.approx(want)
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert not most or plan.count("Exchange hashpartitioning") == 1
+
+
+def test_rows_passed_on_are_not_written_again(spark, monkeypatch):
+    """A stage that gives back its rows as they are writes no table of them, and is counted all the same."""
+    written = []
+    monkeypatch.setattr(ingest, "cut", lambda df, real=ingest.cut: written.append(df) or real(df))
+    stages = [ingest.Stage("one", lambda r, c: r.withColumn("y", F.col("x") + 1)), ingest.Stage("same", lambda r, c: r), ingest.Stage("two", lambda r, c: r, lambda c: F.when(F.col("x") > 3, "big"))]
+    context = ingest.Context()
+    out = ingest.run(stages, spark.createDataFrame([(i, i) for i in range(6)], "doc_id long, x long"), context)
+    assert out.count() == 4 and len(written) == 2
+    assert [(m["rows_in"], m["failed"], m["rows_out"]) for m in context.metrics] == [(6, 0, 6), (6, 0, 6), (6, 2, 4)]
