@@ -7,9 +7,9 @@ by their count over all texts, the others first, by hash. Two sets with a Jaccar
 at least 0.75 share a token in prefixes whose lengths follow from the two sizes
 (prefix filter); their sizes differ by at most a quarter (length filter), and from
 the place of the first shared token on each must have enough tokens left
-(positional filter). A 90-bit parity of each set bounds the symmetric difference
-from below, which drops most pairs of unlike lines inside the join. Pairs are
-verified on whole sets. A line goes if a line before it is similar enough.
+(positional filter). A parity of each set (90 bits, of larger sets 218) bounds the
+symmetric difference from below, which drops most pairs of unlike lines inside the
+join. Pairs are verified on whole sets. A line goes if a line before it is similar enough.
 
 Only whether such a line exists counts, so a family of near copies isn't expanded
 into pairs: each line is first verified against one line before it, of the first
@@ -39,8 +39,10 @@ COUNTED = 1 << 22
 SEEDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 #: The most frequent tokens, which in a prefix hint at a family of near copies and are keys of the same kind.
 HOT = 1 << 15
-#: Tokens of sets that are too large for their parities to say much, and how many prefix tokens, of prefixes longer by as many less one, two of them must share.
-LONG, SHARED = 96, 3
+#: Tokens of sets from which 90 bits of parity say little: 64 of these are then told apart by thirds of the tokens.
+WIDE = 96
+#: Tokens of sets that are too large for any of their parities to say much, and how many prefix tokens, of prefixes longer by as many less one, two of them must share.
+LONG, SHARED = 256, 3
 #: Lines of a key that a line is compared with where the first and the least edited one differ too much.
 PICKS = 3
 #: Bits of a posting's size and place, beside which it has 26 of the parity; larger sizes count as the greatest and aren't bounded by place.
@@ -138,10 +140,11 @@ def _rarity(tokens: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarr
 
 
 def _lines(documents: DataFrame, percent: int, order: np.ndarray) -> DataFrame:
-    """(n, c1, c2, parity, size, edits, keys, doc_id, line, prefix) of each line with a word.
+    """(n, c1, c2, parity, size, thirds, edits, keys, doc_id, line, prefix) of each line with a word.
 
     c1 and c2 are two digests of its set, parity 64 bits of the set's parity and size
-    another 26 with the number of its tokens; edits grows with the rarity of the words; keys are least hashes and the frequent
+    another 26 with the number of its tokens; thirds is null for sets below WIDE, else has the
+    parities of two thirds of the tokens, of which the third one's follows; edits grows with the rarity of the words; keys are least hashes and the frequent
     tokens of the set's prefix, of which similar sets mostly share some.
     """
     known, rank = _ranked(order)
@@ -156,8 +159,15 @@ def _lines(documents: DataFrame, percent: int, order: np.ndarray) -> DataFrame:
                 n, begin, t = np.diff(s.cuts), s.cuts[:-1], s.tokens
                 digests = [np.add.reduceat(mixed(t * np.uint64(c) + np.uint64(c)), begin) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
                 # a token turns one of the bits of the two numbers
-                bit = t % np.uint64(128 - SIZE_BITS - PLACE_BITS)
-                parity, extra = (np.bitwise_xor.reduceat(np.where(own, np.uint64(1) << at % np.uint64(64), np.uint64(0)), begin) for own, at in ((bit < 64, bit), (bit >= 64, bit)))
+                third, bit = np.divmod(t, np.uint64(128 - SIZE_BITS - PLACE_BITS))
+                own, turned = bit < 64, np.uint64(1) << bit % np.uint64(64)
+                parity, extra = (np.bitwise_xor.reduceat(np.where(some, turned, np.uint64(0)), begin) for some in (own, ~own))
+                wide = np.flatnonzero(n >= WIDE)
+                in_wide = np.repeat(n >= WIDE, n)
+                own, turned, third = own[in_wide], turned[in_wide], third[in_wide] % np.uint64(3)
+                at = np.append(0, np.cumsum(n[wide]))[:-1]
+                thirds = [np.bitwise_xor.reduceat(np.where(own & (third == k), turned, np.uint64(0)), at) if len(wide) else np.zeros(0, np.uint64) for k in (0, 1)]
+                bounds = np.append(0, np.cumsum(n >= WIDE))
                 size = extra << np.uint64(SIZE_BITS + PLACE_BITS) | np.minimum(n, (1 << SIZE_BITS) - 1).astype(np.uint64)
                 within = s.within()
                 some = np.minimum(n, n - (percent * n + 99) // 100 + 1 + np.where(n >= LONG, SHARED - 1, 0))
@@ -177,6 +187,7 @@ def _lines(documents: DataFrame, percent: int, order: np.ndarray) -> DataFrame:
                         "c2": signed(digests[1]),
                         "parity": signed(parity),
                         "size": signed(size),
+                        "thirds": pa.StructArray.from_arrays([pa.array(signed(x)).take(pa.array(bounds[:-1], mask=n < WIDE)) for x in thirds], ["p", "q"], mask=pa.array(n < WIDE)),
                         "edits": pa.array(edits.astype(np.int32), pa.int32()),
                         "keys": lists(signed(keys), np.searchsorted(of_key[by_line], np.arange(len(n) + 1)), pa.int64()),
                         "doc_id": batch.column(0).take(pa.array(s.row + x.first)),
@@ -186,7 +197,7 @@ def _lines(documents: DataFrame, percent: int, order: np.ndarray) -> DataFrame:
                 )
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "text").mapInArrow(of, f"n int, c1 bigint, c2 bigint, parity bigint, size bigint, edits int, keys array<bigint>, doc_id {kind}, line int, prefix array<bigint>")
+    return documents.select("doc_id", "text").mapInArrow(of, f"n int, c1 bigint, c2 bigint, parity bigint, size bigint, thirds struct<p: bigint, q: bigint>, edits int, keys array<bigint>, doc_id {kind}, line int, prefix array<bigint>")
 
 
 def _bits(c: Column, low: int, n: int) -> Column:
@@ -198,10 +209,12 @@ def _n(side: str) -> Column:
     return _bits(F.col(f"{side}.size"), 0, SIZE_BITS)
 
 
-def _apart() -> Column:
-    """Tokens that the sets of a pair don't share, at least."""
+def _apart(thirds: bool = False) -> Column:
+    """Tokens that the sets of a pair don't share, at least; thirds: told by p and q too where both sets are large."""
     low = SIZE_BITS + PLACE_BITS
-    return F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) + F.bit_count(F.shiftrightunsigned(F.col("x.size"), low).bitwiseXOR(F.shiftrightunsigned(F.col("y.size"), low)))
+    parity, p, q = (F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in ("parity", "p", "q"))
+    of = F.coalesce(F.bit_count(p) + F.bit_count(q) + F.bit_count(parity.bitwiseXOR(p).bitwiseXOR(q)), F.bit_count(parity)) if thirds else F.bit_count(parity)
+    return of + F.bit_count(F.shiftrightunsigned(F.col("x.size"), low).bitwiseXOR(F.shiftrightunsigned(F.col("y.size"), low)))
 
 
 def _common(percent: int) -> Column:
@@ -209,10 +222,10 @@ def _common(percent: int) -> Column:
     return F.ceil((_n("x") + _n("y")) * percent / (100 + percent))
 
 
-def _alike(percent: int) -> Column:
+def _alike(percent: int, thirds: bool = False) -> Column:
     """The length filter, and what the parities leave possible."""
     length = 100 * F.least(_n("x"), _n("y")) >= percent * F.greatest(_n("x"), _n("y"))
-    return length & (_apart() <= _n("x") + _n("y") - 2 * _common(percent))
+    return length & (_apart(thirds) <= _n("x") + _n("y") - 2 * _common(percent))
 
 
 def _before() -> Column:
@@ -263,14 +276,14 @@ def later_lines(documents: DataFrame, percent: int = PERCENT, frequent: int = FR
     # then the lines that this leaves open with each other and with those that went; their first shared token is at places i and j
 
     def post(r: DataFrame) -> DataFrame:
-        p = r.select(*here, "parity", "size", F.posexplode("prefix").alias("i", "token"))
+        p = r.select(*here, "parity", "size", F.col("thirds.p").alias("p"), F.col("thirds.q").alias("q"), F.posexplode("prefix").alias("i", "token"))
         place = F.shiftleft(F.least(F.col("i"), F.lit((1 << PLACE_BITS) - 1)).cast("long"), SIZE_BITS)
-        return p.select(*here, "parity", F.col("size").bitwiseOR(place).alias("size"), "token")
+        return p.select(*here, "parity", F.col("size").bitwiseOR(place).alias("size"), "p", "q", "token")
 
     left, went = post(rows.join(known, here, "left_anti")), post(rows.join(known, here, "left_semi"))
     shared = F.when(F.least(_n("x"), _n("y")) >= LONG, SHARED).otherwise(1)
     place = [(_n(s) == (1 << SIZE_BITS) - 1) | (_bits(F.col(f"{s}.size"), SIZE_BITS, PLACE_BITS) < _n(s) - _common(percent) + shared) for s in ("x", "y")]
-    found = [x.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & _before() & _alike(percent) & place[0] & place[1]).select(*_pair(), shared.alias("least")) for x in (left, went)]
+    found = [x.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & _before() & _alike(percent, thirds=True) & place[0] & place[1]).select(*_pair(), shared.alias("least")) for x in (left, went)]
     found = [f.groupBy("a", "al", "b", "bl", "least").agg(F.count("*").alias("shared")).where("shared >= least").select("a", "al", "b", "bl") for f in found]
     near = _verified(table(found[0].union(found[1]).distinct()), docs, percent)
     return copies.select(*here).union(gone).union(near).distinct()

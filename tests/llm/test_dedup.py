@@ -3,6 +3,9 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from fernloom.llm import line_dedup as lines_of
 from fernloom.llm.line_dedup import line_dedup
 from fernloom.llm.ngram_join import ngram_components
 from fernloom.llm.substring_dedup import substring_dedup
@@ -73,6 +76,21 @@ def test_line_dedup_few_frequent_words(docs):
     assert {tuple(r) for r in line_dedup(docs(rows), frequent=3).collect()} == {tuple(r) for r in line_dedup(docs(rows)).collect()}
 
 
+def test_long_unlike_lines_are_told_apart_before_they_are_compared(docs):
+    """Parities of large sets drop unlike pairs that 90 bits let pass, and no pair that is alike."""
+    rng = random.Random(4)
+    sets = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in range(60, 300, 3)]
+    near = [[*w[: len(w) * 7 // 8], "other"] for w in sets]
+    rows = list(enumerate(" ".join(w) for w in sets + near))
+    made = lines_of._lines(docs(rows), 75, lines_of.frequent_tokens(docs(rows))).select("doc_id", "parity", "size", "thirds.p", "thirds.q", "n").cache()
+    both = made.alias("x").join(made.alias("y"), F.col("x.doc_id") < F.col("y.doc_id"))
+    found = {k: {(r["a"], r["b"]) for r in both.where(lines_of._alike(75, thirds=k)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).collect()} for k in (False, True)}
+    words = [set(w) for w in sets + near]
+    alike = {(a, b) for b in range(len(words)) for a in range(b) if 100 * len(words[a] & words[b]) >= 75 * len(words[a] | words[b])}
+    assert len(alike) == len(sets) and alike <= found[True] <= found[False]
+    assert len(found[True] - alike) * 10 < len(found[False] - alike)
+
+
 def test_substring_dedup(docs):
     rows = corpus(3)
     texts = {d: spaced(t) for d, t in rows}
