@@ -76,12 +76,8 @@ def korean_and_initials(spark, d):
 KOREAN = "SELECT p_partkey, '한국어;검색;' || p_brand AS keywords, 'ㄱㅅ' AS initials FROM part"
 
 
-def _edges(spark, d):
-    return vectors.similarity_edges(load(spark, d, "embeddings"), 0.35)
-
-
 def dbscan_clusters(spark, d):
-    return mining.dbscan(_edges(spark, d), load(spark, d, "embeddings"))
+    return mining.dbscan(load(spark, d, "embeddings"), 0.35)
 
 
 COS = "list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))"
