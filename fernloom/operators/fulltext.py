@@ -1,17 +1,21 @@
 """A stored positional index of words, and ranked, marked and fuzzy search over it.
 
-The index is three tables in one folder: a row for each occurrence of a word, in
-directories by a hash of the word and sorted by word, so that a search reads its own
-words alone; the distinct words with their stems; and, for fuzzy search, the words by
+The index is three tables in one folder: a row for each word of a document's field with
+its places there, in directories by a hash of the word and sorted by word, so that a
+search reads its own words alone; the distinct words with their stems; and, for fuzzy search, the words by
 each of their thirds.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -22,6 +26,8 @@ WORD = r"[\p{L}\p{N}]+"
 #: Words that a headline has at most and at least.
 MOST_WORDS, LEAST_WORDS = 50, 20
 _MOST_FORMS = 1 << 12
+#: Documents whose words are brought together in one step.
+STEP_DOCUMENTS = 1 << 10
 
 
 def words_of(text: Column) -> Column:
@@ -69,9 +75,13 @@ class FullTextIndex:
     weights: tuple[float, ...]
     buckets: int
 
+    def places(self) -> DataFrame:
+        """(word, doc, field, pos, first, bucket): all places of a word in a document's field; first marks the first of its fields."""
+        return self.spark.read.parquet(f"{self.path}/occurrences")
+
     def occurrences(self) -> DataFrame:
         """(word, doc, field, pos, bucket): pos goes on from field to field."""
-        return self.spark.read.parquet(f"{self.path}/occurrences").drop("first")
+        return self.places().select("word", "doc", "field", F.explode("pos").alias("pos"), "bucket")
 
     def words(self) -> DataFrame:
         """(word, stem, uses, docs)."""
@@ -141,7 +151,7 @@ class FullTextIndex:
     def fuzzy(self, terms: list[str], boosts: list[float]) -> DataFrame:
         """(doc, score): the best field's boost by its hits, which add for each term 1 less the share of its letters in which the nearest word differs."""
         near = self.near(terms).select("term", "word", (1 - F.col("distance") / F.length("term")).alias("share"), _bucket(F.col("word"), self.buckets).alias("bucket"))
-        hits = self.occurrences().join(F.broadcast(near), ["bucket", "word"])
+        hits = self.places().join(F.broadcast(near), ["bucket", "word"])
         # a document's words of one term meet before they are shuffled
         each = hits.groupBy("doc", "field", "term").agg(F.max("share").alias("share"))
         fields = each.groupBy("doc", "field").agg(F.sum("share").alias("share"))
@@ -149,6 +159,34 @@ class FullTextIndex:
         return fields.groupBy("doc").agg(F.round(F.max(boost * F.col("share")), 6).alias("score"))
 
 
+def _by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with a list of words for each field, as rows (word, doc, field, pos, first) of each word of a field."""
+    for whole in batches:
+        for at in range(0, len(whole), STEP_DOCUMENTS):
+            batch = whole.slice(at, STEP_DOCUMENTS)
+            begin, values, rows, places, fields = np.zeros(len(batch), np.int64), [], [], [], []
+            for i in range(1, batch.num_columns):
+                column = batch.column(i)
+                n = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+                values.append(pc.list_flatten(column))
+                rows.append(np.repeat(np.arange(len(batch)), n))
+                places.append(np.arange(n.sum()) + np.repeat(begin + 1 - (np.cumsum(n) - n), n))
+                fields.append(np.full(n.sum(), i - 1, np.int32))
+                begin += n
+            coded = pa.concat_arrays(values).dictionary_encode()
+            row, word, field = np.concatenate(rows), coded.indices.to_numpy(), np.concatenate(fields)
+            # places are in order in each field, and fields in order
+            order = np.lexsort((word, row))
+            row, word, field, place = row[order], word[order], field[order], np.concatenate(places)[order]
+            first = np.ones(len(row), bool)
+            first[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1])
+            new = first.copy()
+            new[1:] |= field[1:] != field[:-1]
+            cut = np.flatnonzero(new)
+            pos = pa.ListArray.from_arrays(pa.array(np.append(cut, len(row)), pa.int32()), pa.array(place, pa.int32()))
+            yield pa.record_batch({"word": coded.dictionary.take(pa.array(word[cut])), "doc": batch.column(0).take(pa.array(row[cut])), "field": pa.array(field[cut], pa.int32()), "pos": pos, "first": pa.array(first[cut])})
+
+
 def build_index(documents: DataFrame, path: str, fields: dict[str, float], doc: str = "doc_id", buckets: int = 32, spread: int = 4) -> FullTextIndex:
     """Writes the index of the fields, each with its weight, of the documents in path.
 
@@ -157,16 +195,25 @@ def build_index(documents: DataFrame, path: str, fields: dict[str, float], doc:
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(doc).alias("doc"), *(words_of(F.col(c)).alias(f"w{i}") for i, c in enumerate(fields)))
-    begin = [reduce(lambda a, c: a + c, [F.size(f"w{j}") for j in range(i)], F.lit(0)) for i in range(len(fields))]
-    parts = [rows.select("doc", F.lit(i).alias("field"), begin[i].alias("begin"), F.posexplode(f"w{i}").alias("at", "word")) for i in range(len(fields))]
-    every = reduce(DataFrame.unionByName, parts).select("word", "doc", "field", (F.col("begin") + F.col("at") + 1).alias("pos"), _bucket(F.col("word"), buckets).alias("bucket"))
-    every = every.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(spread))).repartition("bucket", "part")
-    # a word's first place in a document is marked here, where they are in order, so that documents are counted without being shuffled again
-    order = ["bucket", "part", "word", "doc", "pos"]
-    every = every.withColumn("first", F.row_number().over(Window.partitionBy(*order[:-1]).orderBy("pos")) == 1).sortWithinPartitions(*order)
-    every.drop("part").write.partitionBy("bucket").parquet(f"{path}/occurrences")
+    kind = dict(rows.dtypes)["doc"]
+    every = rows.mapInArrow(_by_word, f"word string, doc {kind}, field int, pos array<int>, first boolean")
+    every = every.withColumn("bucket", _bucket(F.col("word"), buckets)).withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(spread))).repartition("bucket", "part")
+    if documents.groupBy(doc).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        # rows that repeat an id, or have none, are one document
+        of = Window.partitionBy("bucket", "part", "word", "doc").orderBy("field")
+        every = every.withColumn("first", F.row_number().over(of) == 1)
+    # rows are sorted by the word alone, whose first letters Spark compares as numbers, and go to their directories in this order
+    confs = {"spark.sql.optimizer.plannedWrite.enabled": "false", "spark.sql.maxConcurrentOutputFileWriters": str(buckets)}
+    before = {c: spark.conf.get(c) for c in confs}
+    try:
+        for c, v in confs.items():
+            spark.conf.set(c, v)
+        every.drop("part").sortWithinPartitions("word", "doc", "field").write.partitionBy("bucket").parquet(f"{path}/occurrences")
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
     index = FullTextIndex(spark, path, tuple(fields.values()), buckets)
-    words = spark.read.parquet(f"{path}/occurrences").groupBy("word").agg(F.count("*").alias("uses"), F.count_if("first").alias("docs"))
+    words = index.places().groupBy("word").agg(F.sum(F.size("pos")).alias("uses"), F.count_if("first").alias("docs"))
     words.select("word", stems("word").alias("stem"), "uses", "docs").write.parquet(f"{path}/words")
     thirds = index.words().select("word", F.explode(segments(F.col("word"))).alias("segment")).withColumn("bucket", _bucket(F.col("segment"), buckets))
     thirds.repartition("bucket").sortWithinPartitions("bucket", "segment").write.partitionBy("bucket").parquet(f"{path}/segments")

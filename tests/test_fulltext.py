@@ -101,3 +101,15 @@ def test_headline(corpus):
     assert near.endswith("<mark>connect</mark> <mark>rivers</mark> y y y y y") and len(near.split()) == 20
     got = corpus[2].headlines("river connect", corpus[1], "doc_id", "body", 5).collect()
     assert len(got) == 5 and all(r["headline"] == headline(next(b for i, _, b in corpus[0] if i == r["doc"]) or "", corpus[2].forms("river connect")) for r in got)
+
+
+def test_a_row_for_each_word_of_a_field(corpus):
+    """Places of a word in a field are one row, sorted, and the first field of a document that has the word is marked."""
+    _, _, index = corpus
+    every = {}
+    for r in index.occurrences().collect():
+        every.setdefault((r["word"], r["doc"], r["field"]), []).append(r["pos"])
+    rows = index.places().collect()
+    assert {(r["word"], r["doc"], r["field"]): list(r["pos"]) for r in rows} == {k: sorted(v) for k, v in every.items()}
+    assert len(rows) == len(every) < sum(map(len, every.values()))
+    assert {(r["word"], r["doc"], r["field"]) for r in rows if r["first"]} == {(w, d, min(f for x, y, f in every if (x, y) == (w, d))) for w, d, _ in every}
