@@ -25,7 +25,10 @@ SEND_ROWS = 1 << 20
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _SEED.integers(1, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _NEXT = np.uint64(0xD1342543DE82EF95)
+#: Bytes whose words are hashed at once.
+_STEP_WORDS = 1 << 16
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -117,7 +120,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 def words(x: Texts, codes: np.ndarray) -> Words:
     """The words of every row; a word ends with its row."""
-    inside = codes[x.data] != 0
+    inside = (codes != 0)[x.data]
     firsts = x.at[:-1][x.at[:-1] < x.at[1:]]
     edge = np.empty(len(inside), bool)
     edge[:1] = True
@@ -128,13 +131,16 @@ def words(x: Texts, codes: np.ndarray) -> Words:
     starts, ends = marks[keep], np.append(marks[1:], len(inside))[keep]
     bounds = np.searchsorted(starts, x.at)
     out = np.empty(len(starts), np.uint64)
-    a, most = 0, powers(_BASE, int((ends - starts).max()) + 1) if len(starts) else None
+    a, least = 0, min(len(x.data), _STEP_WORDS)
+    up, down = powers(_BASE, least + 1), powers(_INVERSE, least + 1)
     while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + (1 << 19), "right")))
-        rel = starts[a:b] - starts[a]
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + _STEP_WORDS, "right")))
         seg = codes[x.data[starts[a] : ends[b - 1]]]
-        pos = np.arange(len(seg)) - np.repeat(rel, np.diff(np.append(rel, len(seg))))
-        out[a:b] = np.add.reduceat(seg * most[np.minimum(pos, len(most) - 1)], rel)
+        # differences of running sums of byte times power, moved back to the word's first byte
+        sums = np.zeros(len(seg) + 1, np.uint64)
+        np.cumsum(seg * (up[: len(seg)] if len(seg) < len(up) else powers(_BASE, len(seg))), out=sums[1:])
+        rel = starts[a:b] - starts[a]
+        out[a:b] = (sums[ends[a:b] - starts[a]] - sums[rel]) * down[rel]
         a = b
     return Words(mixed(out), starts, ends, bounds)
 

@@ -91,6 +91,22 @@ def test_long_unlike_lines_are_told_apart_before_they_are_compared(docs):
     assert len(found[True] - alike) * 10 < len(found[False] - alike)
 
 
+def test_postings_are_shuffled_once_and_lose_no_similar_pair(docs):
+    """Lines that share prefix tokens are found by one shuffle without a join; of two lines that went none is asked for."""
+    rng = random.Random(8)
+    sets = [[f"w{rng.randrange(3000)}" for _ in range(n)] for n in [*range(1, 40), *range(40, 400, 9)]]
+    rows = list(enumerate(" ".join(w) for w in [*sets, *([*w[: len(w) * 7 // 8 + 1], "other"] for w in sets)]))
+    made = lines_of._lines(docs(rows), 75, lines_of.frequent_tokens(docs(rows)))
+    found = lines_of._sharing(made.withColumn("went", F.lit(None).cast("boolean")), 75, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+    words = [set(t.split(" ")) for _, t in rows]
+    alike = {(a, b) for b in range(len(words)) for a in range(b) if words[a] != words[b] and 100 * len(words[a] & words[b]) >= 75 * len(words[a] | words[b])}
+    got = {(r["a"], r["b"]) for r in found.collect()}
+    assert len(alike) > 60 and alike <= got and len(got - alike) < len(alike)
+    assert not lines_of._sharing(made.withColumn("went", F.lit(True)), 75, 3).count()
+
+
 def test_substring_dedup(docs):
     rows = corpus(3)
     texts = {d: spaced(t) for d, t in rows}
