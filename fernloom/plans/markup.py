@@ -98,8 +98,8 @@ def lda_topics(spark, d):
 
 def duplicate_classes(spark, d):
     """Pairs by how alike they are, and whether their label is even."""
-    e = vectors.similarity_edges(load(spark, d, "embeddings"), 0.2)
-    return e.groupBy(mining.duplicate_class(C("similarity"), C("a") % 2 == C("b") % 2).alias("class")).agg(F.count("*").alias("n"))
+    e = vectors.similarity_counts(load(spark, d, "embeddings").withColumn("author", C("vec_id") % 2), 0.2, "author")
+    return e.groupBy(mining.duplicate_class(C("upto"), C("same")).alias("class")).agg(F.sum("n").alias("n"))
 
 
 CLASSES = f"SELECT CASE WHEN s > 0.95 THEN 'exact' WHEN s > 0.8 AND a % 2 = b % 2 THEN 'same_author' WHEN s > 0.8 THEN 'cross_author' WHEN s > 0.6 THEN 'similar' ELSE 'different' END AS class, count(*) AS n FROM (SELECT x.vec_id AS a, y.vec_id AS b, round({COS}, 6) AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE s >= 0.2 GROUP BY 1"

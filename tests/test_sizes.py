@@ -142,6 +142,43 @@ def test_pairs_over_tiles_and_blocks(spark, small_blocks):
         vectors.similarity_edges(rows.union(spark.createDataFrame([(999, [1.0])], rows.schema)), 0.5).collect()
 
 
+def test_pairs_of_a_class_stay_in_their_task(spark, small_blocks, monkeypatch):
+    """Pairs are counted by hundredths where they are found; listed ones leave their task tile by tile."""
+    x = np.random.default_rng(8).normal(size=(120, 3)).round(1)
+    # similarities of exactly 0.8 and 0.6
+    x[:3], x[3:6] = [[1, 0, 0], [0.8, 0.6, 0], [-1, 0, 0]], [[0.8, -0.6, 0], [0, 1, 0], [3, 0, 0]]
+    rows = embedded(spark, x).withColumn("of", F.col("vec_id") % 3)
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    upper = [(i, j) for i, j in zip(*np.triu_indices(120, 1), strict=True) if s[i, j] >= 0.2]
+    found = vectors.similarity_counts(rows, 0.2, "of")
+    got = {(r["upto"], r["same"]): r["n"] for r in found.collect()}
+    assert sum(got.values()) == len(upper)
+    for bound in (0.2, 0.6, 0.8, 0.95):
+        for same in (True, False):
+            assert sum(n for (upto, alike), n in got.items() if upto > bound and alike == same) == sum(s[i, j] > bound and (i % 3 == j % 3) == same for i, j in upper)
+    sizes = []
+    monkeypatch.setattr(vectors.pa, "record_batch", lambda x, real=pa.record_batch: sizes.append(len(x["a"])) or real(x))
+    monkeypatch.setattr(vectors, "block_pairs", lambda rows, key: Caught(rows))
+    near = vectors.similarity_edges(rows, 0.2)
+    batch = pa.RecordBatch.from_pylist([{"vec_id": i, "embedding": v.tolist(), "block": 0} for i, v in enumerate(x)])
+    assert sum(map(len, near((0, 0), iter([batch])))) == len(upper) and max(sizes) <= 49
+
+
+class Caught:
+    """Gives the function that a task would run."""
+
+    def __init__(self, rows):
+        self.rows = rows
+
+    def groupBy(self, *keys):  # noqa: N802
+        return self
+
+    def applyInArrow(self, f, schema):  # noqa: N802
+        return f
+
+
 @pytest.mark.parametrize("most", [0, 1 << 20])
 def test_term_weights_shuffle_texts_once(spark, monkeypatch, most):
     """Counts and norms stay where the texts were dealt to; terms join by broadcast or, where there are too many, by shuffle."""
