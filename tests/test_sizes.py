@@ -179,6 +179,32 @@ class Caught:
         return f
 
 
+def test_terms_move_as_bytes(spark, monkeypatch):
+    """A document's terms are a few bytes each wherever they are written or shuffled, texts that have an id of their own are counted where they lie, and similarities are those of all pairs."""
+    for name, n in {"BLOCK_TERMS": 300, "BLOCK_PACKED": 900, "STEP_TEXTS": 7}.items():
+        monkeypatch.setattr(mining, name, n)
+    x = np.array([0, 127, 128, 5, 1 << 14, (1 << 33) + 9, 300])
+    packed = pa.concat_arrays([mining._packed(x, np.array([0, 3, 3, 7])), mining._packed(x, np.array([0, 7]))])
+    for rows, want, ends in ((packed, [*x, *x], [0, 3, 3, 7, 14]), (packed.slice(2, 1), x[3:], [0, 4]), (packed.slice(1, 1), [], [0, 0])):
+        got, bounds = mining._unpacked(rows)
+        assert got.tolist() == list(want) and bounds.tolist() == ends
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(rng.choice([f"{chr(97 + a)}{chr(97 + b)}x" for a in range(20) for b in range(15)], 40)) + " abx" * (i % 3 * 100)) for i in range(80)]
+    docs, written = spark.createDataFrame(texts, "doc_id long, text string"), []
+    monkeypatch.setattr(mining, "cut", lambda df, real=mining.cut: written.append((df._jdf.queryExecution().toString(), real(df))) or written[-1][1])
+    w = mining.tfidf(docs)
+    assert "REPARTITION_BY_NUM" not in written[0][0]
+    got = mining.similar_texts(w, docs.where("doc_id % 4 = 1"), 3)
+    of = {}
+    for r in w.collect():
+        of.setdefault(r["doc_id"], {})[r["term"]] = r["weight"]
+    sims = {q: sorted((-sum(v * of[i].get(t, 0) for t, v in of[q].items()), i) for i in of if i != q)[:3] for q in of if q % 4 == 1}
+    assert {(r["query"], r["doc_id"]): r["similarity"] for r in got.collect()} == pytest.approx({(q, i): round(-s, 6) for q, best in sims.items() for s, i in best}, abs=1.1e-6)
+    kept, kinds = written[1][1], dict(written[1][1].dtypes)
+    assert kinds["numbers"] == kinds["counts"] == "binary"
+    assert kept.agg(F.sum(F.length("numbers") + F.length("counts")) / F.sum("size")).first()[0] < 4 and kept.where("not asks and size(asked) > 0").count() == 0
+
+
 @pytest.mark.parametrize("most", [0, 1 << 20])
 def test_term_weights_shuffle_texts_once(spark, monkeypatch, most):
     """Counts and norms stay where the texts were dealt to; terms join by broadcast or, where there are too many, by shuffle."""
